@@ -75,7 +75,7 @@ def multi_document(spark: SparkSession, path: str) -> DataFrame:
 
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
     """path, value: every file below a folder, whole."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    return spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
 def labelled(files: DataFrame) -> DataFrame:
@@ -110,7 +110,7 @@ def lines(spark: SparkSession, path: str, keep_empty: bool = False) -> DataFrame
 
 def index_list(spark: SparkSession, path: str) -> DataFrame:
     """pos, idx of a file that holds one JSON list of ordinals."""
-    value = spark.read.option("wholetext", True).text(path)
+    value = spark.read.text(path, wholetext=True)
     return value.select(F.posexplode(F.from_json("value", "array<bigint>")).alias("pos", "idx"))
 
 

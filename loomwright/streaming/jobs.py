@@ -55,5 +55,5 @@ def running_baseline(events: DataFrame) -> DataFrame:
 
 def windowed_rewards(events: DataFrame, late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
     """Reward sums by event type and tumbling window, with a watermark for late rows."""
-    grouped = events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type")
+    grouped = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type")
     return grouped.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
