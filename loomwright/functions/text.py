@@ -54,11 +54,12 @@ def cleaned(normalized: Column, replace_newline: bool = False, space_cjk: bool =
     breaks stay unless `replace_newline`), and sets spaces around CJK characters on request."""
     out = F.regexp_replace(normalized, CLEAN_CONTROL, "")
     out = F.regexp_replace(out, CLEAN_SPACE if replace_newline else rf"[{CLEAN_SPACE[1:-1]}&&[^\n]]", " ")
-    if space_cjk:
-        # one space after each; one before unless a space already stands there (also that after the last CJK character)
-        out = F.regexp_replace(out, rf"({CJK})", "$1 ")
-        out = F.regexp_replace(out, rf"(?<! )({CJK})", " $1")
-    return out
+    return spaced_cjk(out) if space_cjk else out
+
+
+def spaced_cjk(text: Column) -> Column:
+    """One space after each CJK character, and one before it unless a space stands there already."""
+    return F.regexp_replace(F.regexp_replace(text, rf"({CJK})", "$1 "), rf"(?<! )({CJK})", " $1")
 
 
 def ellipsis_path(path: Column, longest: int = -1, mark: str = "...") -> Column:

@@ -457,7 +457,7 @@ def round_robin_workers(spark, sf_dir):
     return rows.select("pair_id", ((F.col("_n") - 1) % 3).cast("int").alias("worker"))
 
 
-@query("SELECT conv_id, string_split(substr(reply, 11, length(reply) - 11), ',') AS items FROM (SELECT conv_id, 'Ranking: [' || array_to_string(list(turn ORDER BY turn DESC), ', ') || ']' AS reply FROM conversations GROUP BY conv_id)".replace("SELECT conv_id, string_split", "SELECT conv_id, array_to_string(string_split").replace(", ',') AS items", ", ','), '|') AS items"))
+@query("SELECT conv_id, array_to_string(string_split(substr(reply, 11, length(reply) - 11), ','), '|') AS items FROM (SELECT conv_id, 'Ranking: [' || array_to_string(list(turn ORDER BY turn DESC), ', ') || ']' AS reply FROM conversations GROUP BY conv_id)")
 def parse_ranking_reply(spark, sf_dir):
     t = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.reverse(F.array_sort(F.collect_list("turn"))).alias("turns"))
     reply = F.concat(F.lit("Ranking: ["), F.array_join(F.transform("turns", lambda x: x.cast("string")), ", "), F.lit("]"))
