@@ -1,7 +1,6 @@
 """Datasets with an explicit ordinal (`row_id`): lookups, slices, samples, splits, batches and retention.
 
-Global numbering goes through `numbered`, which sorts by range and counts partitions, so that no window holds all rows in
-one task.
+Global numbering goes through `numbered`, which counts by range, so that no window holds all rows in one task.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,19 +27,36 @@ def hash_order(seed: int, row_id: str = "row_id") -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(row_id).cast("string")))
 
 
-def numbered(frame: DataFrame, order: list[Column], name: str = "_n") -> DataFrame:
-    """`frame` with a number from 1 over all rows in `order`.
+def _bucket(key: Column, cuts: list, first: int = 0) -> Column:
+    """How many of the sorted `cuts` are at most `key`, by bisection."""
+    if not cuts:
+        return F.lit(first)
+    at = len(cuts) // 2
+    return F.when(key < F.lit(cuts[at]), _bucket(key, cuts[:at], first)).otherwise(_bucket(key, cuts[at + 1 :], first + at + 1))
 
-    Rows are range-partitioned and sorted; each partition's rows are counted, and the running total of these counts (a
-    row a partition) is added to the numbers inside. Two passes, but no task sees all rows.
+
+def numbered(frame: DataFrame, order: list[Column], name: str = "_n", buckets: int | None = None) -> DataFrame:
+    """`frame` with a number from 1 over all rows in ascending `order` (nulls first).
+
+    A sample of the first key gives cut points, which are then constants: any cut points give the same numbers. Rows of a
+    range are numbered in their own window, behind the running total of the smaller ranges' sizes (a row a range,
+    broadcast). No task sees all rows; many rows of one first key share a task.
     """
-    part = frame.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    inner = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    counted = part.withColumn("_inner", inner)
-    sizes = counted.groupBy("_part").agg(F.count("*").alias("_size"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = counted.join(F.broadcast(before.drop("_size")), "_part")
-    return out.withColumn(name, (F.col("_inner") + F.col("_before")).cast("long")).drop("_part", "_inner", "_before")
+    spark = frame.sparkSession
+    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = frame.withColumn("_key", order[0])
+    rows = keyed.count()
+    part = keyed.where("_key IS NOT NULL").select("_key")
+    part = part.sample(min(1.0, 40 * buckets / rows), seed=1) if rows else part
+    sample = sorted(r[0] for r in part.limit(80 * buckets).collect())  # a bounded sample
+    cuts = sorted({sample[len(sample) * i // buckets] for i in range(1, buckets)}) if sample else []
+    dealt = keyed.withColumn("_bucket", F.when(F.col("_key").isNull(), -1).otherwise(_bucket(F.col("_key"), cuts)))
+    sizes = dealt.groupBy("_bucket").agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_bucket", before.alias("_before"))  # `buckets` + 1 rows at most
+    inner = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
+    out = dealt.withColumn("_inner", inner).join(F.broadcast(offsets), "_bucket")
+    return out.withColumn(name, (F.col("_inner") + F.col("_before")).cast("long")).drop("_bucket", "_key", "_inner", "_before")
 
 
 def by_index(frame: DataFrame, indexes: DataFrame, row_id: str = "row_id") -> DataFrame:

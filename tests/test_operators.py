@@ -106,8 +106,14 @@ def test_splits(spark):
 
 def test_numbering_and_batches(spark):
     rows = spark.range(1000).withColumnRenamed("id", "row_id").repartition(7)
-    got = {r.row_id: r._n for r in datasets.numbered(rows, [F.col("row_id").desc()]).collect()}
+    got = {r.row_id: r._n for r in datasets.numbered(rows, [-F.col("row_id")]).collect()}
     assert got == {i: 1000 - i for i in range(1000)}
+    tied = spark.range(5000).selectExpr("id AS row_id", "IF(id % 7 = 0, NULL, id % 3) AS k").repartition(3)
+    for buckets in (1, 2, 50):
+        got = {r.row_id: r._n for r in datasets.numbered(tied, [F.col("k"), F.col("row_id")], buckets=buckets).collect()}
+        order = sorted(range(5000), key=lambda i: (-1 if i % 7 == 0 else i % 3, i))
+        assert got == {i: n for n, i in enumerate(order, 1)}
+    assert datasets.numbered(rows.where("false"), [F.col("row_id")]).collect() == []
     whole = datasets.batches(rows, 64, [F.col("row_id")]).groupBy("batch").count().orderBy("batch").collect()
     assert [r["count"] for r in whole] == [64] * 15 + [40]
     assert datasets.epoch(rows, 1, 0, 64).count() == 960
