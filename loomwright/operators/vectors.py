@@ -1,7 +1,9 @@
 """Embeddings: isotropy, pooling, cosine rewards, greedy matching of token vectors."""
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.arrays import cosine, normalized
 
@@ -41,16 +43,36 @@ def cosine_reward(frame: DataFrame, a: str, b: str, scale: float = 5.0) -> DataF
     return frame.withColumn("reward", cosine(F.col(a), F.col(b)) * scale)
 
 
+def _matched(hyp: np.ndarray, ref: np.ndarray, rows: int = 1024) -> tuple[float, float]:
+    """Mean best cosines of either side's vectors, in blocks of `rows`, so that long texts need no whole matrix."""
+    if not len(hyp) or not len(ref):
+        return 0.0, 0.0
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    h, r = unit(hyp), unit(ref)
+    best_h, best_r = np.empty(len(h)), np.full(len(r), -np.inf)
+    for at in range(0, len(h), rows):
+        c = h[at : at + rows] @ r.T
+        best_h[at : at + rows] = c.max(axis=1)
+        best_r = np.maximum(best_r, c.max(axis=0))
+    return float(best_h.mean()), float(best_r.mean())
+
+
 def greedy_match(frame: DataFrame, hyp: str, ref: str) -> DataFrame:
-    """`frame` with bert_p, bert_r, bert_f: each token vector's best cosine on the other side, averaged.
+    """`frame` without the vectors, with bert_p, bert_r, bert_f: each token vector's best cosine on the other side, averaged.
 
-    `hyp` and `ref` are arrays of vectors of one pair, so the comparison stays within a row. An empty side scores 0.
+    `hyp` and `ref` are arrays of vectors of one pair, so the comparison stays within a row; it is a matrix product, for
+    which arrays of arrays have no expression. An empty or null side scores 0.
     """
-    u = lambda c: F.transform(c, normalized)
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    best = lambda xs, ys: F.transform(xs, lambda x: F.array_max(F.transform(ys, lambda y: dot(x, y))))
-    mean = lambda v: F.coalesce(F.try_divide(F.aggregate(v, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0))), F.size(v).cast("double")), F.lit(0.0))
-    out = frame.withColumn("_h", u(F.col(hyp))).withColumn("_r", u(F.col(ref)))
-    out = out.withColumn("bert_p", mean(best(F.col("_h"), F.col("_r")))).withColumn("bert_r", mean(best(F.col("_r"), F.col("_h"))))
-    f = F.coalesce(F.try_divide(2 * F.col("bert_p") * F.col("bert_r"), F.col("bert_p") + F.col("bert_r")), F.lit(0.0))
-    return out.withColumn("bert_f", f).drop("_h", "_r")
+
+    rest = [f for f in frame.schema.fields if f.name not in (hyp, ref)]
+    kinds = T.StructType([*rest, *(T.StructField(f"bert_{x}", T.DoubleType()) for x in "prf")])
+
+    def run(parts):
+        matrix = lambda x: np.array([]) if x is None or len(x) == 0 else np.stack([np.asarray(v, float) for v in x])
+        for pdf in parts:
+            pr = [_matched(matrix(a), matrix(b)) for a, b in zip(pdf[hyp], pdf[ref])]
+            p, r = (np.array([x[i] for x in pr], float) for i in (0, 1))
+            f = np.divide(2 * p * r, p + r, out=np.zeros(len(pr)), where=p + r != 0)
+            yield pdf[[x.name for x in rest]].assign(bert_p=p, bert_r=r, bert_f=f)
+
+    return frame.mapInPandas(run, kinds)

@@ -625,8 +625,9 @@ def crossenc_stub(spark, sf_dir):
 @query()
 def bertscore_rank(spark, sf_dir):
     c = candidates(spark, sf_dir)
-    vector = lambda t: F.transform(text.tokens(t), lambda w: F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.conv(F.substring(F.md5(w), 1, 2), 16, 10).cast("double") / 255 + F.ascii(F.substring(F.md5(w), i, F.lit(1))) / 100))
-    scored = vectors.greedy_match(c.withColumn("h", F.slice(vector(F.col("hyp")), 1, 10_000)).withColumn("r", vector(F.col("ref"))), "h", "r")
+    # a token's vector from its md5, in place of a model's
+    vector = lambda t: F.transform(text.tokens(t), lambda w: F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.ascii(F.substring(F.md5(w), i, F.lit(1))).cast("double") - 75))
+    scored = vectors.greedy_match(c.withColumn("h", vector(F.col("hyp"))).withColumn("r", vector(F.col("ref"))), "h", "r")
     out = ranking.ranked(scored.select("conv_id", "pos", F.round("bert_f", 9).alias("score")), "conv_id", "pos", "score")
     return out.select("conv_id", F.array_join("ranking", ", ").alias("ranking"))
 
