@@ -8,7 +8,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -65,6 +65,11 @@ def has_columns(frame: DataFrame, **wanted: str) -> DataFrame:
     return frame.select(*(F.col(f"`{source}`").cast(kind).alias(name) for name, (source, kind) in wanted.items()))
 
 
+def row_key(id: str, text: str) -> Column:
+    """A 128-bit digest of doc_id and text. Rows that are equal in both have one key."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(f"`{id}`").cast("string"), F.lit("-")), F.lit("\0"), F.coalesce(F.col(f"`{text}`"), F.lit("")))))
+
+
 def unused(frame: DataFrame, name: str) -> str:
     """A column name that the frame does not have yet."""
     taken = {c.lower() for c in frame.columns}

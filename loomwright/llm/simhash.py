@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._text import append_column, has_columns, map_columns, unused
+from ._text import map_columns, row_key, unused
 from ._workspace import Workspace
 
 BITS = 2
@@ -39,20 +39,21 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
         hashes = [xxhash.xxh64_intdigest(line[s:e], 42) for s, e in zip(starts.tolist(), ends[shingle - 1 :].tolist())]
         bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int32)
-    return int((counts * 2 > n).astype(object) @ [1 << i for i in range(64)])
+    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(documents: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long): one row a row of documents. Null text: none of words, fp 0."""
+    """rid, doc_id, fp (the fingerprint as a signed long): one row a row of documents. Null text: no words, fp 0."""
 
     def start():
         def step(columns):
-            ids, texts = columns
-            return [ids, np.array([fingerprint(x) for x in texts], np.uint64).view(np.int64)]
+            rids, ids, texts = columns
+            return [rids, ids, np.array([fingerprint(x) for x in texts], np.uint64).view(np.int64)]
 
         return step
 
-    return map_columns(has_columns(documents, doc_id=(id, "long"), text=(text, "string")), start, "doc_id long, fp long")
+    rows = documents.select(row_key(id, text).alias("rid"), F.col(f"`{id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    return map_columns(rows, start, "rid binary, doc_id long, fp long")
 
 
 def _ball(value: str, width: int, radius: int) -> str:
@@ -92,13 +93,13 @@ def links(classes: DataFrame, ws: Workspace, bucket_limit: int = 512) -> DataFra
 
 
 def _classes(marked: DataFrame, ws: Workspace, bucket_limit: int) -> DataFrame:
-    """fp, component_id, keep (the struct of is-null, doc_id and fp of the row that stays) of every fingerprint in `marked`."""
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("least")
+    """fp, component_id, keep (the key of the row that stays) of every fingerprint in `marked`."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "rid")).alias("least")
     classes = ws.table(marked.groupBy("fp").agg(least), "classes")
     roots = components(ws.table(links(classes, ws, bucket_limit), "links"), ws)
     named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     keep = named.groupBy("root").agg(F.min("least").alias("keep"))
-    return ws.table(named.join(keep, "root").select("fp", F.col("keep.doc_id").alias("component_id"), "keep"), "components")
+    return ws.table(named.join(keep, "root").select("fp", F.col("keep.doc_id").alias("component_id"), F.col("keep.rid").alias("keep")), "components")
 
 
 def near_duplicates(spark: SparkSession, documents: DataFrame, text: str = "text", id: str = "doc_id", bucket_limit: int = 512) -> DataFrame:
@@ -115,16 +116,15 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, text: str = "text
 
 def deduplicated(spark: SparkSession, documents: DataFrame, text: str = "text", id: str = "doc_id", bucket_limit: int = 512) -> DataFrame:
     """`documents` with one row of each component: that of the smallest doc_id (null ids last; of repeated ids in one
-    component, the smallest fingerprint; of repeated rows, any one). All columns stay as they are."""
+    component, the smallest fingerprint and key; of repeated rows, any one). All columns stay as they are."""
     ws = Workspace(spark, "simhash")
-    fp = unused(documents, "fp")
-    whole = append_column(documents, text, lambda texts: np.array([fingerprint(x) for x in texts], np.uint64).view(np.int64), fp, "long")
     marked = ws.table(fingerprints(documents, text, id), "fingerprints")
-    keep = _classes(marked, ws, bucket_limit).select("keep.doc_id", "keep.fp").distinct()
-    rows = marked.groupBy("fp", "doc_id").agg(F.count("*").alias("n"))
-    stay = ws.table(keep.alias("k").join(rows.alias("r"), (F.col("k.fp") == F.col("r.fp")) & F.col("k.doc_id").eqNullSafe(F.col("r.doc_id"))).select(F.col("k.fp").alias("stay_fp"), F.col("k.doc_id").alias("stay_id"), "n"), "stay")
-    hit = lambda frame: (whole[fp] == frame.stay_fp) & whole[id].cast("long").eqNullSafe(frame.stay_id)
-    single, several = stay.where("n = 1"), stay.where("n > 1")
+    keep = _classes(marked, ws, bucket_limit).select(F.col("keep").alias("rid")).distinct()
+    stay = ws.table(marked.groupBy("rid").agg(F.count("*").alias("n")).join(keep, "rid"), "stay")
+    key = unused(documents, "rid")
+    whole = documents.withColumn(key, row_key(id, text))
+    of = lambda rows: whole.join(rows.select(F.col("rid").alias(key)), key, "left_semi")
+    several = stay.where("n > 1")
     if not several.take(1):
-        return whole.join(stay, hit(stay), "left_semi").drop(fp)
-    return whole.join(single, hit(single), "left_semi").union(whole.join(several, hit(several), "left_semi").dropDuplicates([id, fp])).drop(fp)
+        return of(stay).drop(key).select(documents.columns)
+    return of(stay.where("n = 1")).unionByName(of(several).dropDuplicates([key])).select(documents.columns)
