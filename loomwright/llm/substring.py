@@ -18,10 +18,10 @@ Rows are told apart by a digest of doc_id and text; rows that are equal in both
 import hashlib
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._text import gram_hashes, has_columns, map_columns, word_hashes
+from ._text import gram_hashes, map_columns, row_key, word_hashes
 from ._workspace import Workspace, partitions
 
 WINDOW, GRAM, BATCHES = 35, 10, 2
@@ -38,10 +38,6 @@ def fingerprints(words: list[bytes], window: int, gram: int = GRAM) -> tuple[np.
     return grams[at], at
 
 
-def row_key(id: str, text: str) -> Column:
-    return F.unhex(F.md5(F.concat(F.coalesce(F.col(f"`{id}`").cast("string"), F.lit("-")), F.lit("\0"), F.coalesce(F.col(f"`{text}`"), F.lit("")))))
-
-
 class FingerprintIndex:
     """Sorted runs of (h, n): fingerprints and how often each occurs, bucketed alike so that merge joins need no exchange."""
 
@@ -107,9 +103,9 @@ class SubstringDedup:
         entries = self._entries(batches)
         index = FingerprintIndex(self.ws)
         for i in range(batches):
-            index.add(entries.where(F.col("batch") == i).select("h"))
+            index.add(entries.where(F.col("batch") == i).select(F.explode(F.concat("hs", "own")).alias("h")))
         twice = index.compact().where("n > 1").select("h")
-        candidates = entries.select("h", "rid").join(twice.hint("merge"), "h").groupBy("rid").agg(F.collect_set("h").alias("hs"))
+        candidates = entries.select(F.explode("hs").alias("h"), "rid").join(twice.hint("merge"), "h").groupBy("rid").agg(F.collect_set("h").alias("hs"))
         held = self.ws.table(texts.select("rid", "text").join(candidates, "rid"), "held")
         self.changed = self._verified(held)
         self.rows = self._rows()
@@ -120,25 +116,31 @@ class SubstringDedup:
         def start():
             def step(columns):
                 rids, ids, raw = columns
-                n, sha, hs = [], [], []
+                n, sha, hs, own = [], [], [], []
                 for x in raw:
                     words = x.split()
                     n.append(len(words))
                     sha.append(hashlib.sha256(b" ".join(words)).digest())
                     h, at = fingerprints(words, window)
-                    hs.append(h[np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))].view(np.int64) if len(h) else [])
-                return [rids, ids, n, sha, hs]
+                    places = h[np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))] if len(h) else h
+                    once, times = np.unique(places.view(np.int64), return_counts=True)
+                    hs.append(once)
+                    own.append(once[times > 1])
+                return [rids, ids, n, sha, hs, own]
 
             return step
 
-        return self.ws.table(map_columns(texts, start, "rid binary, doc_id long, n_words long, sha binary, hs array<long>"), "seen")
+        return self.ws.table(map_columns(texts, start, "rid binary, doc_id long, n_words long, sha binary, hs array<long>, own array<long>"), "seen")
 
     def _entries(self, batches: int) -> DataFrame:
-        """h, rid, batch: an entry for each place in a text that gives a fingerprint. Of exact copies only the first is indexed."""
+        """rid, hs (the distinct fingerprints of a text), own (those that several places of it give), batch.
+
+        A text counts each of its fingerprints once, or twice if it repeats, so that no fingerprint has more entries than
+        two for each text. Of exact copies only the first is indexed.
+        """
         rest = self.seen.where(F.size("hs") > 0).join(self.copies, "sha", "left").where(F.col("first").isNull() | (F.col("first") == F.col("rid")))
         batch = F.pmod(F.xxhash64("rid"), F.lit(batches)).cast("int").alias("batch")
-        active = self.ws.table(rest.select("rid", "hs", batch), "active", by="batch")
-        return active.select(F.explode("hs").alias("h"), "rid", "batch")
+        return self.ws.table(rest.select("rid", "hs", "own", batch), "active", by="batch")
 
     def _verified(self, held: DataFrame) -> DataFrame:
         window = self.window
@@ -146,24 +148,34 @@ class SubstringDedup:
         def windows():
             def step(columns):
                 rids, raw, hs = columns
-                starts, digests = [], []
+                out = []
                 for x, h in zip(raw, hs):
                     words = x.split()
                     hit = np.flatnonzero(np.isin(fingerprints(words, window)[0].view(np.int64), np.array(h, np.int64)))
                     line = b" ".join(words)
                     end = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
                     first = np.concatenate(([0], end[:-1] + 1))
-                    starts.append(hit.astype(np.int32))
-                    digests.append([hashlib.blake2b(line[a:b], digest_size=16).digest() for a, b in zip(first[hit].tolist(), end[hit + window - 1].tolist())])
-                return [rids, starts, digests]
+                    found: dict[bytes, dict] = {}
+                    for at, a, b in zip(hit.tolist(), first[hit].tolist(), end[hit + window - 1].tolist()):
+                        digest = hashlib.blake2b(line[a:b], digest_size=16).digest()
+                        if (w := found.get(digest)) is None:
+                            found[digest] = {"digest": digest, "start": at, "more": None}
+                        else:
+                            w["more"] = w["more"] or []
+                            w["more"].append(at)
+                    out.append(list(found.values()))
+                return [rids, out]
 
             return step
 
-        packed = map_columns(held, windows, "rid binary, starts array<int>, digests array<binary>")
-        each = packed.select("rid", F.explode(F.arrays_zip("starts", "digests")).alias("w")).select("rid", F.col("w.starts").alias("start"), F.col("w.digests").alias("digest"))
-        each = each.repartition(partitions(self.ws.spark), "digest")  # one exchange for the count (which reads every column for that) and for the join back
-        twice = each.groupBy("digest").agg(F.count("rid").alias("n"), F.count("start").alias("m")).where("n > 1 AND m > 1").select("digest")
-        marks = each.join(twice.hint("merge"), "digest").groupBy("rid").agg(F.collect_list("start").alias("starts"))
+        packed = map_columns(held, windows, "rid binary, windows array<struct<digest: binary, start: int, more: array<int>>>")
+        # a row a text and distinct window, whatever often the text has it, so that a digest has no more rows than there are texts
+        each = packed.select("rid", F.explode("windows").alias("w")).select("rid", "w.start", "w.more", "w.digest")
+        each = each.repartition(partitions(self.ws.spark), "digest")
+        n = F.sum(F.when(F.col("more").isNull(), 1).otherwise(1 + F.size("more")))
+        twice = each.groupBy("digest").agg(n.alias("n")).where("n > 1").select("digest")
+        starts = F.concat(F.collect_list("start"), F.flatten(F.collect_list("more")))  # a text's own windows
+        marks = each.join(twice.hint("merge"), "digest").groupBy("rid").agg(starts.alias("starts"))
 
         def cut():
             def step(columns):
@@ -184,7 +196,7 @@ class SubstringDedup:
         return self.ws.table(done, "changed")
 
     def _rows(self) -> DataFrame:
-        of = self.seen.drop("hs").join(self.copies.select("sha", "copies"), "sha", "left").join(self.changed.drop("kept").dropDuplicates(["rid"]), "rid", "left")
+        of = self.seen.drop("hs", "own").join(self.copies.select("sha", "copies"), "sha", "left").join(self.changed.drop("kept").dropDuplicates(["rid"]), "rid", "left")
         gone = F.col("copies").isNotNull() & (F.col("n_words") >= self.window)
         nothing = F.lit(hashlib.sha256(b"").hexdigest())
         removed = F.when(gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
