@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._text import has_columns, map_columns
+from ._workspace import Workspace
 
 MIN_WORDS, MAX_REPEAT_PERCENT, MAX_HOST_RATE = 50, 50, 0.5
 #: The symbols that are counted.
@@ -69,7 +70,8 @@ def judged(documents: DataFrame, text: str = "text", id: str = "doc_id", host: s
     rows = has_columns(documents, doc_id=(id, "long"), host=(host, "string"), text=(text, "string"))
     counted = map_columns(rows, start, "doc_id long, host string, " + ", ".join(f"{x} long" for x in COUNTS))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    counted = counted.withColumn("base_failed", failed)
+    # a written table of counts: both the hosts' rates and the join read it, so texts are read once
+    counted = Workspace(documents.sparkSession, "rules").table(counted.withColumn("base_failed", failed), "counted")
     hosts = host_rates(counted)
     joined = counted.join(hosts, counted.host.eqNullSafe(hosts.of_host)).drop("of_host")
     return joined.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= max_host_rate))
