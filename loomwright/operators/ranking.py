@@ -54,7 +54,7 @@ def comparisons_to_make(samples: DataFrame, pairs: DataFrame, done: DataFrame |
     """
     x = samples.select(id, F.col("name").alias("x"), F.col("content").alias("content_x"))
     y = samples.select(id, F.col("name").alias("y"), F.col("content").alias("content_y"))
-    out = x.join(F.broadcast(pairs), "x").join(y, [id, "y"])
+    out = x.join(pairs, "x").join(y, [id, "y"])
     return out if done is None else out.join(done, [id, "x", "y"], "left_anti")
 
 

@@ -392,10 +392,10 @@ _TWO = f"""{CANDIDATES}, two AS (SELECT x.conv_id, 'turn-' || x.turn AS x, 'turn
 
 def _comparisons(spark, sf_dir) -> DataFrame:
     c = candidates(spark, sf_dir).select("conv_id", F.concat(F.lit("turn-"), F.col("turn").cast("string")).alias("name"), F.col("hyp").alias("content"))
-    names = c.select("name").distinct()
     number = F.regexp_extract("name", r"\d+", 0).cast("int")
-    x, y = names.select(F.col("name").alias("x"), number.alias("i")), names.select(F.col("name").alias("y"), number.alias("j"))
-    pairs = x.join(y, F.col("i") < F.col("j")).select("x", "y")  # the fixed list of ordered pairs of generator names
+    names = c.agg(F.array_sort(F.collect_set(F.struct(number.alias("i"), "name"))).alias("n"))  # the distinct names: as many as a conversation's turns
+    later = F.flatten(F.transform("n", lambda a, i: F.transform(F.slice("n", i + 2, F.size("n")), lambda b: F.struct(a["name"].alias("x"), b["name"].alias("y")))))
+    pairs = names.select(F.explode(later).alias("p")).select("p.x", "p.y")  # the fixed list of ordered pairs of names
     return ranking.comparisons_to_make(c, pairs, id="conv_id")
 
 
