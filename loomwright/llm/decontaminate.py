@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ._text import append_column, gram_hashes, has_columns, map_columns, unused, word_hashes
 
 RATE, MIN_WORDS, BLOCK = 0.2, 8, 20_000
+HITS = "array<struct<item_id: long, distance: int, end_word: long>>"
 #: ASCII letters go to lower case, digits and the bytes of other letters stay, all else separates words.
 _WORDS = bytes(x if chr(x).isalnum() and x < 128 or x > 127 else 0x20 for x in range(256))
 _SLICE = 100_000
@@ -74,30 +75,43 @@ class Pieces:
         self.min_words = min_words
         self.by = {n: (np.array(sorted(d), np.uint64), dict(d)) for n, d in by.items()}
 
-    def found(self, text: bytes | None) -> dict[int, tuple[int, int]]:
-        """Item id -> (least distance, word at which that passage ends), of all items within their budget."""
-        words = words_of(text)
+    def found(self, words: list[bytes]) -> dict[int, tuple[int, int]]:
+        """Item id -> (least distance, word at which that passage first ends), of all items within their budget."""
         out: dict[int, tuple[int, int]] = {}
         h = word_hashes(words)
         if len(h) < self.min_words:
             for item in self.whole.get(tuple(h.tolist()), ()):
                 out[item] = (0, len(h))
+        spans: dict[int, list[tuple[int, int]]] = defaultdict(list)  # where each item may lie, from its pieces' hits
         for n, (keys, where) in self.by.items():
             for start in range(0, max(0, len(h) - n + 1), _SLICE):
                 grams = gram_hashes(h[start : start + _SLICE + n - 1], n)
                 place = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
                 for i in np.flatnonzero(keys[place] == grams).tolist():
                     for at, offset in where[int(grams[i])]:
-                        item, pattern, k = self.items[at]
-                        if out.get(item, (1,))[0] == 0:
-                            continue
-                        a = max(0, start + i - offset - k)
-                        distance, end = myers(pattern, h[a : start + i - offset + len(pattern) + k].tolist())
-                        if distance <= k and (item not in out or (distance, a + end) < out[item]):
-                            out[item] = (distance, a + end)
+                        _, pattern, k = self.items[at]
+                        first = start + i - offset
+                        spans[at].append((max(0, first - k), first + len(pattern) + k))
+        for at, own in spans.items():
+            item, pattern, k = self.items[at]
+            for a, b in _merged(own):  # overlapping spans are read once, so repetitive texts cost no more than others
+                distance, end = myers(pattern, h[a:b].tolist())
+                if distance <= k and (item not in out or (distance, a + end) < out[item]):
+                    out[item] = (distance, a + end)
         return out
 
 
+def _merged(spans: list[tuple[int, int]]):
+    spans.sort()
+    a, b = spans[0]
+    for x, y in spans[1:]:
+        if x > b:
+            yield a, b
+            a, b = x, y
+        b = max(b, y)
+    yield a, b
+
+
 def blocks(spark: SparkSession, benchmark: DataFrame, item: str, text: str, rate: float, min_words: int, block: int):
     rows = iter(benchmark.select(F.col(f"`{item}`").cast("long"), F.col(f"`{text}`").cast("string")).toLocalIterator())
     while part := [(i, None if t is None else t.encode()) for i, t in islice(rows, block)]:
@@ -105,38 +119,42 @@ def blocks(spark: SparkSession, benchmark: DataFrame, item: str, text: str, rate
 
 
 def matches(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, text: str = "text", id: str = "doc_id", item: str = "item_id", item_text: str = "text", rate: float = RATE, min_words: int = MIN_WORDS, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_words, hits (array of item_id, distance, end_word, by item_id): one row a row of documents and block.
+    """doc_id, n_words, hits (array of item_id, distance, end_word): one row a row of documents.
 
     Items of fewer than `min_words` words match only a text that is the same words as a whole, since so few words occur in
     clean text; items without words match nothing. Null texts have no words; repeated rows and items stay as they are, with
     null ids as null; an empty benchmark or table of documents gives no hits or no rows. Other columns are not read.
     """
     rows = has_columns(documents, doc_id=(id, "long"), text=(text, "string"))
-    ddl = "doc_id long, n_words long, hits array<struct<item_id: long, distance: int, end_word: long>>"
-    parts = [_block_matches(rows, shared, ddl) for shared in blocks(spark, benchmark, item, item_text, rate, min_words, block)]
-    parts = parts or [_block_matches(rows, spark.sparkContext.broadcast(Pieces([], rate, min_words)), ddl)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
+    each = list(blocks(spark, benchmark, item, item_text, rate, min_words, block)) or [spark.sparkContext.broadcast(Pieces([], rate, min_words))]
+    for n, shared in enumerate(each[:-1]):  # a pass a block; hits go along with the text
+        rows = append_column(rows, "text", lambda texts, shared=shared: [_hits(shared.value, words_of(x)) for x in texts], f"hits_{n}", HITS)
+    last = each[-1]
 
-def _block_matches(rows: DataFrame, shared, ddl: str) -> DataFrame:
     def start():
         def step(columns):
-            ids, texts = columns
-            hits = [[{"item_id": i, "distance": d, "end_word": e} for i, (d, e) in sorted(shared.value.found(x).items(), key=lambda y: (y[0] is not None, y[0]))] for x in texts]
-            return [ids, [len(words_of(x)) for x in texts], hits]
+            ids, texts, *before = columns
+            n, hits = [], []
+            for i, x in enumerate(texts):
+                words = words_of(x)
+                n.append(len(words))
+                hits.append([h for c in before for h in c[i]] + _hits(last.value, words))
+            return [ids, n, hits]
 
         return step
 
-    return map_columns(rows, start, ddl)
+    return map_columns(rows, start, f"doc_id long, n_words long, hits {HITS}")
+
+
+def _hits(pieces: Pieces, words: list[bytes]) -> list[dict]:
+    found = sorted(pieces.found(words).items(), key=lambda y: (y[0] is not None, y[0] or 0))
+    return [{"item_id": i, "distance": d, "end_word": e} for i, (d, e) in found]
 
 
 def clean(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", rate: float = RATE, min_words: int = MIN_WORDS, block: int = BLOCK) -> DataFrame:
     """`documents` without those in which an item occurs within its budget; columns stay as they are."""
     name = unused(documents, "leaks")
     for shared in blocks(spark, benchmark, item, item_text, rate, min_words, block):
-        found = lambda texts, shared=shared: [len(shared.value.found(x)) for x in texts]
+        found = lambda texts, shared=shared: [len(shared.value.found(words_of(x))) for x in texts]
         documents = append_column(documents, text, found, name, "int").where(F.col(name) == 0).drop(name)
     return documents
