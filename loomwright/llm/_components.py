@@ -45,12 +45,12 @@ def components(edges: DataFrame, ws: Workspace) -> DataFrame:
     nothing changes any more; rounds grow with the logarithm of the longest chain. Nothing is gathered on the driver but
     two sums.
     """
-    now = ws.table(edges.mapInPandas(_forest, "u long, v long"), "stars-0")
+    now = ws.table(edges.mapInPandas(_forest, "u long, v long"), "stars/0")
     done, at = None, 0
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
         if state == done or not state[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         done, at = state, at + 1
-        now = ws.table(_stars(now), f"stars-{at}")
-        ws.drop(f"stars-{at - 1}")
+        now = ws.table(_stars(now), f"stars/{at}")
+        ws.drop(f"stars/{at - 1}")

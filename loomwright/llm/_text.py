@@ -31,7 +31,7 @@ def map_columns(frame: DataFrame, start: Callable, ddl: str, rows: int = 256) ->
         step = start()
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
-                columns = [c.cast(pa.binary()) if pa.types.is_string(c.type) else c for c in batch.slice(at, rows).columns]
+                columns = [c.cast(pa.binary()) if pa.types.is_string(c.type) or pa.types.is_large_string(c.type) else c for c in batch.slice(at, rows).columns]
                 out = step([c.to_pylist() for c in columns])
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow)
 

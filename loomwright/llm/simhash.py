@@ -99,7 +99,9 @@ def _classes(marked: DataFrame, ws: Workspace, bucket_limit: int) -> DataFrame:
     roots = components(ws.table(links(classes, ws, bucket_limit), "links"), ws)
     named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     keep = named.groupBy("root").agg(F.min("least").alias("keep"))
-    return ws.table(named.join(keep, "root").select("fp", F.col("keep.doc_id").alias("component_id"), F.col("keep.rid").alias("keep")), "components")
+    out = ws.table(named.join(keep, "root").select("fp", F.col("keep.doc_id").alias("component_id"), F.col("keep.rid").alias("keep")), "components")
+    ws.drop("classes", "links", "hot", "stars")
+    return out
 
 
 def near_duplicates(spark: SparkSession, documents: DataFrame, text: str = "text", id: str = "doc_id", bucket_limit: int = 512) -> DataFrame:

@@ -18,7 +18,7 @@ Rows are told apart by a digest of doc_id and text; rows that are equal in both
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._text import gram_hashes, map_columns, row_key, word_hashes
@@ -58,6 +58,11 @@ class FingerprintIndex:
         self.ws.spark.sql(f"DROP TABLE IF EXISTS {run}")
         self.ws.drop(run)
 
+    def drop(self) -> None:
+        for run in self.runs:
+            self._drop(run)
+        self.runs = []
+
     def add(self, entries: DataFrame) -> None:
         """Appends one batch's fingerprints (column h, repeats included) as a run."""
         counted = entries.groupBy("h").agg(F.count("*").alias("n"))
@@ -104,11 +109,14 @@ class SubstringDedup:
         index = FingerprintIndex(self.ws)
         for i in range(batches):
             index.add(entries.where(F.col("batch") == i).select(F.explode(F.concat("hs", "own")).alias("h")))
-        twice = index.compact().where("n > 1").select("h")
+            known = index.compact()  # the new run is merge-joined with the history
+        twice = known.where("n > 1").select("h")
         candidates = entries.select(F.explode("hs").alias("h"), "rid").join(twice.hint("merge"), "h").groupBy("rid").agg(F.collect_set("h").alias("hs"))
         held = self.ws.table(texts.select("rid", "text").join(candidates, "rid"), "held")
         self.changed = self._verified(held)
         self.rows = self._rows()
+        index.drop()
+        self.ws.drop("active", "held")
 
     def _seen(self, texts: DataFrame) -> DataFrame:
         window = self.window
@@ -171,11 +179,11 @@ class SubstringDedup:
         packed = map_columns(held, windows, "rid binary, windows array<struct<digest: binary, start: int, more: array<int>>>")
         # a row a text and distinct window, whatever often the text has it, so that a digest has no more rows than there are texts
         each = packed.select("rid", F.explode("windows").alias("w")).select("rid", "w.start", "w.more", "w.digest")
-        each = each.repartition(partitions(self.ws.spark), "digest")
-        n = F.sum(F.when(F.col("more").isNull(), 1).otherwise(1 + F.size("more")))
-        twice = each.groupBy("digest").agg(n.alias("n")).where("n > 1").select("digest")
+        # digests' counts and occurrences meet in the digest's hash partition: one exchange for both
+        n = F.sum(F.when(F.col("more").isNull(), 1).otherwise(1 + F.size("more"))).over(Window.partitionBy("digest"))
+        twice = each.withColumn("n", n).where("n > 1")
         starts = F.concat(F.collect_list("start"), F.flatten(F.collect_list("more")))  # a text's own windows
-        marks = each.join(twice.hint("merge"), "digest").groupBy("rid").agg(starts.alias("starts"))
+        marks = twice.groupBy("rid").agg(starts.alias("starts"))
 
         def cut():
             def step(columns):
