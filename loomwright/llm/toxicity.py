@@ -86,18 +86,18 @@ class Toxicity:
     def __init__(self, spark: SparkSession, documents: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", id: str = "doc_id", learn=None, sample: int = SAMPLE, ftrl: Ftrl | None = None):
         ids = sampled(labels, label, F.lit(True) if learn is None else learn, sample)
         rows = has_columns(documents, doc_id=(id, "long"), text=(text, "string"))
-        rows = rows.join(F.broadcast(ids), "doc_id").select("y", "text")  # `sample` ids at most
+        rows = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text")  # `sample` ids at most
 
         def start():
             def step(columns):
-                y, texts = columns
-                return [y, [np.unique(np.concatenate([*places(x), np.empty(0, np.int32)])).tobytes() for x in texts]]
+                ids, y, texts = columns
+                return [ids, y, [np.unique(np.concatenate([*places(x), np.empty(0, np.int32)])).tobytes() for x in texts]]
 
             return step
 
-        # Repeated ids repeat their row; rows of one sample stay in bounds as long as ids do not repeat without bound.
-        got = map_columns(rows, start, "y int, at binary").limit(2 * sample).toArrow().to_pandas()
-        got = got.sort_values(["at", "y"], kind="stable")  # the same model whatever order the rows arrive in
+        # of repeated ids one text, so that the sample stays in bounds
+        got = map_columns(rows, start, "doc_id long, y int, at binary").groupBy("doc_id", "y").agg(F.min("at").alias("at")).toArrow().to_pandas()
+        got = got.sort_values("doc_id")  # the same model whatever order the rows arrive in
         self.places, self.weights, self.bias = (ftrl or Ftrl()).fit([np.frombuffer(x, np.int32) for x in got["at"]], got["y"].to_numpy(np.float64))
         self.shared = spark.sparkContext.broadcast((self.places, self.weights, self.bias))
 
