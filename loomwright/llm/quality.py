@@ -122,15 +122,16 @@ class Quality:
     def __init__(self, spark: SparkSession, documents: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", id: str = "doc_id", learn=None, sample: int = SAMPLE):
         ids = sampled(labels, label, F.lit(True) if learn is None else learn, sample)
         rows = has_columns(documents, doc_id=(id, "long"), text=(text, "string"))
-        rows = rows.join(F.broadcast(ids), "doc_id").select("y", "text")  # `sample` ids at most
+        rows = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text")  # `sample` ids at most
 
         def start():
-            return lambda columns: [columns[0], [statistics(x) for x in columns[1]]]
+            return lambda columns: [columns[0], columns[1], [statistics(x) for x in columns[2]]]
 
-        got = map_columns(rows, start, "y int, x array<double>").limit(2 * sample).toArrow().to_pandas()
+        # of repeated ids one text, so that the sample stays in bounds
+        got = map_columns(rows, start, "doc_id long, y int, x array<double>").groupBy("doc_id", "y").agg(F.min("x").alias("x")).toArrow().to_pandas()
+        got = got.sort_values("doc_id")  # the same model whatever order the rows arrive in
         x = np.array(got["x"].tolist(), np.float64).reshape(len(got), FEATURES)
-        order = np.lexsort((*x.T, got["y"].to_numpy()))  # the same model whatever order the rows arrive in
-        self.forest = grow(x[order], got["y"].to_numpy(np.float64)[order])
+        self.forest = grow(x, got["y"].to_numpy(np.float64))
         self.shared = spark.sparkContext.broadcast(self.forest)
 
     def scores(self, documents: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
