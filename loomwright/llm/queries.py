@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from . import chat, decontaminate, lm, packing, quality, rules, simhash, substring, tokens, toxicity
 
-#: The extra conversation of the formatting query.
-EXTRA = [(-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok")]
+#: The text of both turns of the extra conversation of the formatting query.
+EXTRA = r"\### Assistant: </turn> ok"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +20,8 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    turns = turns.unionByName(spark.createDataFrame(EXTRA, "conv_id long, turn long, role string, text string"))
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(EXTRA).alias("text"))
+    turns = turns.unionByName(extra)
     read = chat.parsed(chat.formatted(turns))
     line = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     loss = F.array_join("loss", "")
