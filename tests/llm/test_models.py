@@ -89,7 +89,7 @@ def test_ftrl_is_sparse_and_accurate():
 
 
 # language model --------------------------------------------------------------------------------------------------------
-def brute_lm(rows, vocabulary, backoff=0.4, least=2):
+def brute_lm(rows, vocabulary, backoff=0.4, least=2, order=3):
     texts = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for _, t in rows]
     count = Counter(w for t in texts for w in t)
     h = {w: int(lm.word_hashes([w.encode()]).view(np.int64)[0]) for w in count}
@@ -97,21 +97,26 @@ def brute_lm(rows, vocabulary, backoff=0.4, least=2):
     texts = [[w if w in known else None for w in t] for t in texts]
     ones = Counter(w for t in texts for w in t)
     pairs = Counter(p for t in texts for p in zip(t, t[1:]))
+    triples = Counter(p for t in texts for p in zip(t, t[1:], t[2:]))
     n = sum(ones.values())
     out = []
-    for (i, _), t in zip(rows, texts):
+    for (doc, _), t in zip(rows, texts):
         s = math.log(ones[t[0]] / n) if t else 0.0
-        for a, b in zip(t, t[1:]):
-            s += math.log(pairs[a, b] / ones[a]) if pairs[a, b] >= least else math.log(backoff * ones[b] / n)
-        out.append((i, len(t), round(s, 6)))
+        for i, b in enumerate(t[1:], 1):
+            a, before = t[i - 1], t[i - 2] if i > 1 else None
+            two = pairs[a, b] / ones[a] if pairs[a, b] >= least else backoff * ones[b] / n
+            if i > 1 and order == 3:
+                two = triples[before, a, b] / pairs[before, a] if triples[before, a, b] >= least else backoff * two
+            s += math.log(two)
+        out.append((doc, len(t), round(s, 6)))
     return out
 
 
-@pytest.mark.parametrize("vocabulary", [5, 300, 65_535])
-def test_scores_match_brute_force(spark, vocabulary):
+@pytest.mark.parametrize("vocabulary, order", [(5, 2), (5, 3), (300, 2), (300, 3), (65_535, 2), (65_535, 3)])
+def test_scores_match_brute_force(spark, vocabulary, order):
     docs = messy(spark)
-    got = lm.scored(spark, docs, vocabulary=vocabulary).collect()
-    want = brute_lm([(r.doc_id, r.text) for r in docs.collect()], vocabulary)
+    got = lm.scored(spark, docs, vocabulary=vocabulary, order=order).collect()
+    want = brute_lm([(r.doc_id, r.text) for r in docs.collect()], vocabulary, order=order)
     key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
     got = sorted(((r.doc_id, r.n_words, r.log_score) for r in got), key=key)
     for a, b in zip(got, sorted(want, key=key), strict=True):
@@ -121,6 +126,6 @@ def test_scores_match_brute_force(spark, vocabulary):
 def test_lm_of_random_texts_and_of_none(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(f"v{min(rng.randrange(30), rng.randrange(30))}" for _ in range(rng.randrange(50)))) for i in range(80)]
-    got = {r.doc_id: r.log_score for r in lm.scored(spark, spark.createDataFrame(rows, "doc_id long, text string"), vocabulary=20).collect()}
+    got = {r.doc_id: r.log_score for r in lm.scored(spark, spark.createDataFrame(rows, "doc_id long, text string"), vocabulary=20, order=3).collect()}
     assert all(got[i] == pytest.approx(s, abs=1e-5) for i, _, s in brute_lm(rows, 20))
     assert lm.scored(spark, empty(spark)).collect() == []
