@@ -32,6 +32,7 @@ def fingerprints(words: list[bytes], window: int, gram: int = GRAM) -> tuple[np.
     """For each window of the words, in order: its fingerprint, and the position of the run of words that it comes from."""
     if len(words) < window:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
+    gram = min(gram, window)
     grams, wide = gram_hashes(word_hashes(words), gram), window - gram + 1
     least = [np.lib.stride_tricks.sliding_window_view(grams[at : at + _SLICE + wide - 1], wide).argmin(axis=1) for at in range(0, len(grams) - wide + 1, _SLICE)]
     at = np.concatenate(least) + np.arange(len(grams) - wide + 1)

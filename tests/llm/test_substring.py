@@ -29,8 +29,9 @@ def check(spark, docs, **options):
     assert sorted(map(repr, [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()])) == sorted(map(repr, want))
 
 
-def test_awkward_texts(spark):
-    check(spark, messy(spark))
+@pytest.mark.parametrize("window", [35, 5])
+def test_awkward_texts(spark, window):
+    check(spark, messy(spark), window=window)
 
 
 @pytest.mark.parametrize("batches", [1, 3])
