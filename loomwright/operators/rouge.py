@@ -44,27 +44,38 @@ def gram_bags(pairs: DataFrame, id: str, hyp: Column, ref: Column, n: int) -> Da
     return each.groupBy(id, "gram").agg(F.sum("h").alias("h"), F.sum(1 - F.col("h")).alias("r"))
 
 
-def overlaps(pairs: DataFrame, id: str, hyp: str, ref: str, n: int, tokenized: bool = False) -> DataFrame:
-    """id, matches (clipped), hyp_size, ref_size of each pair; pairs without n-grams have zeros. Ids must be unique."""
+def overlaps_by_size(pairs: DataFrame, id: str, hyp: str, ref: str, ns: tuple[int, ...], tokenized: bool = False) -> DataFrame:
+    """id, and for each n matches_n (clipped), hyp_size_n, ref_size_n of each pair, in one exchange for all n.
+
+    Pairs without n-grams have zeros. Ids must be unique.
+    """
     dealt = pairs.select(id, hyp, ref).repartition(F.col(id))
     cut = (lambda c: F.col(c)) if tokenized else (lambda c: tokens(F.col(c)))
     dealt = dealt.select(id, cut(hyp).alias("hyp_tokens"), cut(ref).alias("ref_tokens"))
-    marker = F.struct(F.lit(None).cast("string").alias("gram"), F.lit(0).alias("h"), F.lit(0).alias("r"))
-    side = lambda c, h: F.transform(ngrams(F.col(c), n), lambda g: F.struct(g.alias("gram"), F.lit(h).alias("h"), F.lit(1 - h).alias("r")))
-    each = dealt.select(id, F.explode(F.concat(F.array(marker), side("hyp_tokens", 1), side("ref_tokens", 0))).alias("x"))
-    bags = each.select(id, "x.gram", "x.h", "x.r").groupBy(id, "gram").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    return bags.groupBy(id).agg(total(F.least("h", "r")).alias("matches"), total("h").alias("hyp_size"), total("r").alias("ref_size"))
+    marker = F.struct(F.lit(0).alias("n"), F.lit(None).cast("string").alias("gram"), F.lit(0).alias("h"), F.lit(0).alias("r"))
+    side = lambda c, n, h: F.transform(ngrams(F.col(c), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"), F.lit(h).alias("h"), F.lit(1 - h).alias("r")))
+    sides = [side(c, n, h) for n in ns for c, h in (("hyp_tokens", 1), ("ref_tokens", 0))]
+    each = dealt.select(id, F.explode(F.concat(F.array(marker), *sides)).alias("x")).select(id, "x.n", "x.gram", "x.h", "x.r")
+    bags = each.groupBy(id, "n", "gram").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
+    total = lambda c, n: F.coalesce(F.sum(F.when(F.col("n") == n, c)), F.lit(0)).cast("long")
+    sizes = [x for n in ns for x in (total(F.least("h", "r"), n).alias(f"matches_{n}"), total(F.col("h"), n).alias(f"hyp_size_{n}"), total(F.col("r"), n).alias(f"ref_size_{n}"))]
+    return bags.groupBy(id).agg(*sizes)
+
+
+def overlaps(pairs: DataFrame, id: str, hyp: str, ref: str, n: int, tokenized: bool = False) -> DataFrame:
+    """id, matches, hyp_size, ref_size of each pair, for one n."""
+    out = overlaps_by_size(pairs, id, hyp, ref, (n,), tokenized)
+    return out.select(id, *(F.col(f"{c}_{n}").alias(c) for c in ("matches", "hyp_size", "ref_size")))
 
 
 def rouge(pairs: DataFrame, id: str, hyp: str, ref: str, ns: tuple[int, ...] = (1, 2), alpha: float = 0.5, tokenized: bool = False) -> DataFrame:
     """id and rouge{n}_p, rouge{n}_r, rouge{n}_f for each n."""
-    out = None
+    out = overlaps_by_size(pairs, id, hyp, ref, ns, tokenized)
+    columns = []
     for n in ns:
-        p, r, f = scores(F.col("matches"), F.col("hyp_size"), F.col("ref_size"), alpha)
-        part = overlaps(pairs, id, hyp, ref, n, tokenized).select(id, p.alias(f"rouge{n}_p"), r.alias(f"rouge{n}_r"), f.alias(f"rouge{n}_f"))
-        out = part if out is None else out.join(part, id)
-    return out
+        p, r, f = scores(F.col(f"matches_{n}"), F.col(f"hyp_size_{n}"), F.col(f"ref_size_{n}"), alpha)
+        columns += [p.alias(f"rouge{n}_p"), r.alias(f"rouge{n}_r"), f.alias(f"rouge{n}_f")]
+    return out.select(id, *columns)
 
 
 def macro(scored: DataFrame, ns: tuple[int, ...] = (1, 2), alpha: float = 0.5) -> DataFrame:
