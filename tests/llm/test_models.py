@@ -129,3 +129,20 @@ def test_lm_of_random_texts_and_of_none(spark):
     got = {r.doc_id: r.log_score for r in lm.scored(spark, spark.createDataFrame(rows, "doc_id long, text string"), vocabulary=20, order=3).collect()}
     assert all(got[i] == pytest.approx(s, abs=1e-5) for i, _, s in brute_lm(rows, 20))
     assert lm.scored(spark, empty(spark)).collect() == []
+
+
+@pytest.mark.parametrize("least", [1, 2])
+def test_every_word_has_its_own_key(spark, least):
+    docs = messy(spark)
+    got = lm.scored(spark, docs, least=least, ranked=300).collect()
+    want = brute_lm([(r.doc_id, r.text) for r in docs.collect()], None, least=least, order=2)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+    got = sorted(((r.doc_id, r.n_words, r.log_score) for r in got), key=key)
+    for a, b in zip(got, sorted(want, key=key), strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=1e-5)
+
+
+def test_words_beyond_the_ranked_ones_keep_their_counts(spark):
+    rows = [(i, f"u{2 * i} u{2 * i + 1}") for i in range(33_000)] * 2  # 66,000 words, more than have a rank
+    got = {r.doc_id: r.log_score for r in lm.scored(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == 33_000 and all(x == pytest.approx(math.log(2 / 132_000)) for x in got.values())
