@@ -13,8 +13,9 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of fingerprints linked at two bits or fewer, the document with the smallest id stays."""
-    return simhash.deduplicated(spark, docs)
+    """Of each group of texts linked by a Jaccard similarity of 0.8 or more over five-word shingles, the document with the
+    smallest id stays."""
+    return simhash.deduplicated(spark, docs, similar_by=5)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,11 +11,14 @@ enumerates instead what is left of the ball in the other segment and matches who
 once: at most 529 exact lookups a fingerprint and key, whatever the bucket's size. No case is dropped.
 """
 
+from collections.abc import Callable
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import similar
 from ._components import components
 from ._text import map_columns, row_key, unused
 from ._workspace import Workspace
@@ -92,11 +95,11 @@ def links(classes: DataFrame, ws: Workspace, bucket_limit: int = 512) -> DataFra
     return near.unionByName(exact.where(once & apart.between(1, BITS)).select(F.col("p").alias("u"), F.col("fp").alias("v")))
 
 
-def _classes(marked: DataFrame, ws: Workspace, bucket_limit: int) -> DataFrame:
+def _classes(marked: DataFrame, ws: Workspace, linked: Callable) -> DataFrame:
     """fp, component_id, keep (the key of the row that stays) of every fingerprint in `marked`."""
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "rid")).alias("least")
     classes = ws.table(marked.groupBy("fp").agg(least), "classes")
-    roots = components(ws.table(links(classes, ws, bucket_limit), "links"), ws)
+    roots = components(ws.table(linked(classes), "links"), ws)
     named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     keep = named.groupBy("root").agg(F.min("least").alias("keep"))
     out = ws.table(named.join(keep, "root").select("fp", F.col("keep.doc_id").alias("component_id"), F.col("keep.rid").alias("keep")), "components")
@@ -113,15 +116,23 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, text: str = "text
     """
     ws = Workspace(spark, "simhash")
     marked = ws.table(fingerprints(documents, text, id), "fingerprints")
-    return marked.join(_classes(marked, ws, bucket_limit), "fp").select("doc_id", "fp", "component_id")
+    return marked.join(_classes(marked, ws, lambda classes: links(classes, ws, bucket_limit)), "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicated(spark: SparkSession, documents: DataFrame, text: str = "text", id: str = "doc_id", bucket_limit: int = 512) -> DataFrame:
+def deduplicated(spark: SparkSession, documents: DataFrame, text: str = "text", id: str = "doc_id", bucket_limit: int = 512, similar_by: int | None = None) -> DataFrame:
     """`documents` with one row of each component: that of the smallest doc_id (null ids last; of repeated ids in one
-    component, the smallest fingerprint and key; of repeated rows, any one). All columns stay as they are."""
+    component, the smallest fingerprint and key; of repeated rows, any one). All columns stay as they are.
+
+    With `similar_by`, texts link instead where their shingles of so many words have a Jaccard similarity of 0.8 or more.
+    """
     ws = Workspace(spark, "simhash")
-    marked = ws.table(fingerprints(documents, text, id), "fingerprints")
-    keep = _classes(marked, ws, bucket_limit).select(F.col("keep").alias("rid")).distinct()
+    if similar_by:
+        marked = similar.sets(spark, documents, text, id, ws, similar_by)
+        linked = lambda classes: similar.links(documents, text, id, marked, ws, similar_by)
+    else:
+        marked = ws.table(fingerprints(documents, text, id), "fingerprints")
+        linked = lambda classes: links(classes, ws, bucket_limit)
+    keep = _classes(marked, ws, linked).select(F.col("keep").alias("rid")).distinct()
     stay = ws.table(marked.groupBy("rid").agg(F.count("*").alias("n")).join(keep, "rid"), "stay")
     key = unused(documents, "rid")
     whole = documents.withColumn(key, row_key(id, text))

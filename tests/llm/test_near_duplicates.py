@@ -101,3 +101,31 @@ def test_one_row_of_each_component_stays(spark):
 def test_empty(spark):
     assert simhash.near_duplicates(spark, empty(spark)).collect() == []
     assert simhash.deduplicated(spark, empty(spark)).collect() == []
+
+
+def test_similar_texts_against_all_pairs(spark):
+    rng = random.Random(8)
+    texts = [None, "", "one", "two words", "Two words"]
+    for n in (6, 20, 60, 300):
+        for _ in range(4):
+            base = [f"w{rng.randrange(5000)}" for _ in range(n)]
+            texts.append(" ".join(base))
+            for change in (1, 2, n // 40 + 1, n // 20 + 1):
+                words = list(base)
+                for i in rng.sample(range(n), change):
+                    words[i] = "other"
+                texts.append(" ".join(words))
+            texts.append(" ".join(base + base[: n // 9]))
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or {" ".join(w)} - {""})
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or 10 * len(a & sets[j]) >= 8 * len(a | sets[j]):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(r.doc_id for r in simhash.deduplicated(spark, docs, similar_by=5).collect())
+    assert got == sorted(set(root))
+    assert len(got) < simhash.deduplicated(spark, docs).count()
