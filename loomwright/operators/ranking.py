@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import new_path
+
 
 def ranked(candidates: DataFrame, id: str, pos: str, score: str) -> DataFrame:
     """id, ranking: each item's candidate numbers (1-based positions), best score first, ties in input order."""
@@ -86,10 +88,18 @@ def tournament(comparisons: DataFrame, id: str = "sample_id") -> DataFrame:
     return per.select(id, F.when(good, F.transform("o", lambda x: x["name"])).alias("ranking"), status.alias("status"))
 
 
-def closure(edges: DataFrame, id: str = "sample_id", depth: int = 5) -> DataFrame:
-    """id, w, l: who beats whom over chains of up to 2^depth comparisons; (a, a) tells a cycle."""
+def closure(edges: DataFrame, id: str = "sample_id", depth: int | None = None) -> DataFrame:
+    """id, w, l: who beats whom over chains of comparisons; (a, a) tells a cycle. Each round doubles the chains' length and
+    is a written table; it ends once the edges no longer grow, or after `depth` rounds."""
+    spark, size, rounds = edges.sparkSession, -1, 0
     edges = edges.select(id, "w", "l").distinct()
-    for _ in range(depth):
+    while True:
+        path = new_path(spark, "closure")
+        edges.write.parquet(path)
+        edges = spark.read.schema(edges.schema).parquet(path)
+        before, size = size, edges.count()
+        if size == before or rounds == depth:
+            return edges
         step = edges.alias("a").join(edges.alias("b"), (F.col(f"a.{id}") == F.col(f"b.{id}")) & (F.col("a.l") == F.col("b.w")))
         edges = edges.union(step.select(F.col(f"a.{id}"), F.col("a.w"), F.col("b.l"))).distinct()
-    return edges
+        rounds += 1

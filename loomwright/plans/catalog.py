@@ -440,7 +440,7 @@ SELECT conv_id, count(*) AS n_ordered, count(*) FILTER (WHERE w = l) AS n_cycles
 def preference_closure(spark, sf_dir):
     p = _preferences(spark, sf_dir)
     w, l = (F.when(F.col("preferred") == v, F.col("x")).otherwise(F.col("y")) for v in (1, -1))  # noqa: E741
-    closed = ranking.closure(p.select("conv_id", w.alias("w"), l.alias("l")), "conv_id", depth=3)
+    closed = ranking.closure(p.select("conv_id", w.alias("w"), l.alias("l")), "conv_id")
     return closed.groupBy("conv_id").agg(F.count("*").alias("n_ordered"), F.count_if(F.col("w") == F.col("l")).alias("n_cycles"))
 
 

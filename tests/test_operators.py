@@ -89,6 +89,12 @@ def test_tournaments(spark):
     assert ranking.closure(edges).where("w = l").count() == 3
 
 
+def test_closure_of_long_chains(spark):
+    chain = spark.createDataFrame([("s", f"{i:02}", f"{i + 1:02}") for i in range(40)], "sample_id string, w string, l string")
+    assert ranking.closure(chain).count() == 41 * 40 // 2
+    assert ranking.closure(chain, depth=1).count() == 40 + 39
+
+
 def test_preferences(spark):
     frame = spark.createDataFrame([("a.b", "c", "a.b!"), ("a.b", "c", "axb"), ("a.b", "c", "c then a.b"), ("a.b", "c", "c")], "x string, y string, completion string")
     got = [(r.preferred, r.warning) for r in generation.preferences(frame).collect()]
