@@ -38,19 +38,19 @@ def _stars(edges: DataFrame) -> DataFrame:
     return small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, ws: Workspace) -> DataFrame:
+def components(edges: DataFrame, ws: Workspace, name: str = "stars") -> DataFrame:
     """node, root (the smallest node of its component) for every node that has an edge.
 
     Each round's edges are a written table. A round leaves every node with one edge to its component's smallest node once
     nothing changes any more; rounds grow with the logarithm of the longest chain. Nothing is gathered on the driver but
     two sums.
     """
-    now = ws.table(edges.mapInPandas(_forest, "u long, v long"), "stars/0")
+    now = ws.table(edges.mapInPandas(_forest, "u long, v long"), f"{name}/0")
     done, at = None, 0
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
         if state == done or not state[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         done, at = state, at + 1
-        now = ws.table(_stars(now), f"stars/{at}")
-        ws.drop(f"stars/{at - 1}")
+        now = ws.table(_stars(now), f"{name}/{at}")
+        ws.drop(f"{name}/{at - 1}")

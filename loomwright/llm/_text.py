@@ -70,6 +70,16 @@ def row_key(id: str, text: str) -> Column:
     return F.unhex(F.md5(F.concat(F.coalesce(F.col(f"`{id}`").cast("string"), F.lit("-")), F.lit("\0"), F.coalesce(F.col(f"`{text}`"), F.lit("")))))
 
 
+#: Rows of a table of keys that is broadcast: some 50 MB.
+BROADCAST_ROWS = 500_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A written table of short rows, marked for a broadcast if it has BROADCAST_ROWS at most; a larger one is joined by
+    an exchange of both sides."""
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+
+
 def unused(frame: DataFrame, name: str) -> str:
     """A column name that the frame does not have yet."""
     taken = {c.lower() for c in frame.columns}

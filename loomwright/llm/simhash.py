@@ -11,8 +11,6 @@ enumerates instead what is left of the ball in the other segment and matches who
 once: at most 529 exact lookups a fingerprint and key, whatever the bucket's size. No case is dropped.
 """
 
-from collections.abc import Callable
-
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import similar
 from ._components import components
-from ._text import map_columns, row_key, unused
+from ._text import map_columns, row_key, small, unused
 from ._workspace import Workspace
 
 BITS = 2
@@ -95,11 +93,11 @@ def links(classes: DataFrame, ws: Workspace, bucket_limit: int = 512) -> DataFra
     return near.unionByName(exact.where(once & apart.between(1, BITS)).select(F.col("p").alias("u"), F.col("fp").alias("v")))
 
 
-def _classes(marked: DataFrame, ws: Workspace, linked: Callable) -> DataFrame:
+def _classes(marked: DataFrame, ws: Workspace, bucket_limit: int) -> DataFrame:
     """fp, component_id, keep (the key of the row that stays) of every fingerprint in `marked`."""
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "rid")).alias("least")
     classes = ws.table(marked.groupBy("fp").agg(least), "classes")
-    roots = components(ws.table(linked(classes), "links"), ws)
+    roots = components(ws.table(links(classes, ws, bucket_limit), "links"), ws)
     named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     keep = named.groupBy("root").agg(F.min("least").alias("keep"))
     out = ws.table(named.join(keep, "root").select("fp", F.col("keep.doc_id").alias("component_id"), F.col("keep.rid").alias("keep")), "components")
@@ -110,34 +108,41 @@ def _classes(marked: DataFrame, ws: Workspace, linked: Callable) -> DataFrame:
 def near_duplicates(spark: SparkSession, documents: DataFrame, text: str = "text", id: str = "doc_id", bucket_limit: int = 512) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable over links).
 
-    One row a row of documents. Null or empty text has fingerprint zero and links like any other; repeated rows share a
-    class; a null doc_id is a component's id only if all its ids are null; an empty table gives an empty result. Columns
-    besides id and text are not read.
+    One row a row of documents. Null or empty text has fingerprint zero and links like any other; a very long text is
+    counted in chunks; repeated rows share a class; a null doc_id is a component's id only if all its ids are null; an
+    empty table gives an empty result. Columns besides id and text are not read, whatever their names.
     """
     ws = Workspace(spark, "simhash")
     marked = ws.table(fingerprints(documents, text, id), "fingerprints")
-    return marked.join(_classes(marked, ws, lambda classes: links(classes, ws, bucket_limit)), "fp").select("doc_id", "fp", "component_id")
+    return marked.join(_classes(marked, ws, bucket_limit), "fp").select("doc_id", "fp", "component_id")
 
 
 def deduplicated(spark: SparkSession, documents: DataFrame, text: str = "text", id: str = "doc_id", bucket_limit: int = 512, similar_by: int | None = None) -> DataFrame:
     """`documents` with one row of each component: that of the smallest doc_id (null ids last; of repeated ids in one
-    component, the smallest fingerprint and key; of repeated rows, any one). All columns stay as they are.
+    component, the smallest fingerprint and key; of rows equal in id and text, the first in the order of their JSON).
+
+    With `similar_by`, texts link instead where their shingles of so many words have a Jaccard similarity of 0.8 or more:
+    multi-index hashing finds most such links, and `similar` those that lie beyond its radius.
 
-    With `similar_by`, texts link instead where their shingles of so many words have a Jaccard similarity of 0.8 or more.
+    Null and empty texts are copies of one another. All columns stay as they are, whatever their names; an empty table
+    gives an empty result. Texts are not shuffled unless very many rows go (`small`).
     """
     ws = Workspace(spark, "simhash")
     if similar_by:
         marked = similar.sets(spark, documents, text, id, ws, similar_by)
-        linked = lambda classes: similar.links(documents, text, id, marked, ws, similar_by)
+        kept = similar.Similar(documents, text, id, marked, ws, lambda classes: links(classes, ws, bucket_limit), similar_by).kept()
     else:
         marked = ws.table(fingerprints(documents, text, id), "fingerprints")
-        linked = lambda classes: links(classes, ws, bucket_limit)
-    keep = _classes(marked, ws, linked).select(F.col("keep").alias("rid")).distinct()
-    stay = ws.table(marked.groupBy("rid").agg(F.count("*").alias("n")).join(keep, "rid"), "stay")
+        kept = _classes(marked, ws, bucket_limit)
+    keep = kept.select(F.col("keep").alias("rid")).distinct().withColumn("keeps", F.lit(True))
+    told = marked.groupBy("rid").agg(F.count("*").alias("n")).join(keep, "rid", "left")
+    told = ws.table(told.where("keeps IS NULL OR n > 1").select("rid", F.coalesce("keeps", F.lit(False)).alias("keeps")), "told")
     key = unused(documents, "rid")
     whole = documents.withColumn(key, row_key(id, text))
-    of = lambda rows: whole.join(rows.select(F.col("rid").alias(key)), key, "left_semi")
-    several = stay.where("n > 1")
+    rest = whole.join(small(told.select(F.col("rid").alias(key))), key, "left_anti").select(documents.columns)
+    several = told.where("keeps").select(F.col("rid").alias(key))
     if not several.take(1):
-        return of(stay).drop(key).select(documents.columns)
-    return of(stay.where("n = 1")).unionByName(of(several).dropDuplicates([key])).select(documents.columns)
+        return rest
+    row = F.struct(*(F.col(f"`{c}`") for c in documents.columns))
+    one = whole.join(small(several), key, "left_semi").groupBy(key).agg(F.min_by(row, F.to_json(row)).alias("row"))
+    return rest.unionByName(one.select("row.*"))

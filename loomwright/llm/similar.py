@@ -1,23 +1,37 @@
-"""All pairs of texts whose sets of word shingles have a Jaccard similarity of 0.8 or more, without a miss, by prefix filtering.
+"""Near copies for deduplication: texts whose sets of word shingles have a Jaccard similarity of 0.8 or more, without a miss.
 
-Each text's distinct shingles are put in one order that holds for all texts. Of two sets of n and m shingles, 4 (n + m) / 9
-must be shared; so the first shared one is among the first n - ceil(0.8 n) + 1 of either set. These prefixes are joined by
-shingle, pairs whose sizes or places leave too few shared ones go, and the others are verified on their whole sets.
+Three steps give a component for every distinct set; each keeps what it forms linear in the size of a group of copies.
 
-Any order gives the same pairs. Shingles that are frequent in a sample come last, as they would give many candidates.
+1. SimHash: the sets' 64-bit fingerprints are matched by multi-index hashing (`simhash.links`), and sets of one fingerprint
+   with the first of them.
+2. Hubs: similarity 0.8 means that of sets of n and m shingles 4 (n + m) / 9 are shared. In one order of all shingles, the
+   first shared one is then among the first n - ceil(0.8 n) + 1 of either set (its prefix). Each shingle that several prefixes have
+   points at one hub, the set whose prefix is the most common, and its sets are matched with the hub only.
+3. The rest: what lies beyond a fingerprint's radius and is similar to no hub. Prefixes are joined by shingle, but only
+   sets that are not in one component yet, and a shingle whose sets are all in one is left out before the join.
+
+Every match is verified on the whole sets. Before that, a match goes if the sets' sizes, places in the prefix, or odd
+sketches (512 parities; each differing one takes a shingle that one set alone has) prove that too few are shared.
+
+Any order of shingles gives the same result. Those that are frequent in a sample come last, as they give many matches.
 """
 
+from collections.abc import Callable
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._text import gram_hashes, has_columns, map_columns, row_key, word_hashes
+from ._components import components
+from ._text import gram_hashes, has_columns, map_columns, row_key, small, word_hashes
 from ._workspace import Workspace
 
 SHINGLE = 5
 #: Texts and shingles of the sample that sets the order; they do not bear on the result.
 _TEXTS, _FREQUENT = 20_000, 65_535
+_LANES = 8
+_CHUNK = 50_000
 
 
 def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -26,6 +40,24 @@ def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(gram_hashes(h, min(shingle, len(h)))) if len(h) else np.empty(0, np.uint64)
 
 
+def simhash(h: np.ndarray) -> int:
+    """64 bits, each set if over half of the hashes have it."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(h), _CHUNK):
+        counts += np.unpackbits(h[at : at + _CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")[0])
+
+
+def sketch(h: np.ndarray) -> np.ndarray:
+    """Parities of how many hashes fall on each of 64 * _LANES places, as longs."""
+    odd = np.bincount((h >> np.uint64(55)).astype(np.int64), minlength=64 * _LANES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def prefix_length(n: int) -> int:
+    return n - (4 * n + 4) // 5 + 1 if n else 0
+
+
 def _frequent(documents: DataFrame, shingle: int) -> np.ndarray:
     """Sorted hashes of shingles that three or more texts of the sample have."""
     rows = documents.select("text").where("text IS NOT NULL")
@@ -41,7 +73,7 @@ def _frequent(documents: DataFrame, shingle: int) -> np.ndarray:
 
 
 def sets(spark: SparkSession, documents: DataFrame, text: str, id: str, ws: Workspace, shingle: int = SHINGLE) -> DataFrame:
-    """rid, doc_id, fp (a hash of the whole set), n (its size), prefix: one row a row of documents."""
+    """rid, doc_id, fp (a hash of the whole set), n (its size), sim (its SimHash), sketch, prefix: one row a row of documents."""
     frequent = spark.sparkContext.broadcast(_frequent(has_columns(documents, text=(text, "string")), shingle))
 
     def start():
@@ -49,36 +81,96 @@ def sets(spark: SparkSession, documents: DataFrame, text: str, id: str, ws: Work
 
         def step(columns):
             rids, ids, texts = columns
-            fps, sizes, prefixes = [], [], []
+            fps, sizes, sims, sketches, prefixes = [], [], [], [], []
             for x in texts:
                 h = shingles(x, shingle)
                 fps.append(xxhash.xxh3_64_intdigest(h.tobytes()))
                 sizes.append(len(h))
+                sims.append(simhash(h))
+                sketches.append(sketch(h))
                 last = late[np.minimum(np.searchsorted(late, h), len(late) - 1)] == h if len(late) else np.zeros(len(h), bool)
-                prefixes.append(np.concatenate((h[~last], h[last]))[: len(h) - (4 * len(h) + 4) // 5 + 1].view(np.int64))
-            return [rids, ids, np.array(fps, np.uint64).view(np.int64), sizes, prefixes]
+                prefixes.append(np.concatenate((h[~last], h[last]))[: prefix_length(len(h))].view(np.int64))
+            return [rids, ids, np.array(fps, np.uint64).view(np.int64), sizes, np.array(sims, np.uint64).view(np.int64), sketches, prefixes]
 
         return step
 
     rows = documents.select(row_key(id, text).alias("rid"), F.col(f"`{id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    return ws.table(map_columns(rows, start, "rid binary, doc_id long, fp long, n int, prefix array<long>"), "sets")
-
-
-def links(documents: DataFrame, text: str, id: str, marked: DataFrame, ws: Workspace, shingle: int = SHINGLE) -> DataFrame:
-    """u, v: all pairs of distinct sets (of `marked`, by fp) that are similar."""
-    one = ws.table(marked.groupBy("fp").agg(F.min("rid").alias("rid")), "one")  # a row of each set
-    index = marked.join(one, ["fp", "rid"], "left_semi").select("fp", "n", F.posexplode("prefix").alias("at", "h")).distinct()
-    a, b = (index.select(F.col("h"), *(F.col(c).alias(f"{c}_{k}") for c in ("fp", "n", "at"))) for k in "ab")
-    enough = F.expr("fp_a < fp_b AND 9L * least(n_a - at_a, n_b - at_b) >= 4L * (n_a + n_b)")
-    near = ws.table(a.join(b, "h").where(enough).select(F.col("fp_a").alias("u"), F.col("fp_b").alias("v")).distinct(), "candidates")
-    nodes = near.select(F.col("u").alias("fp")).union(near.select(F.col("v").alias("fp"))).distinct()
-    chosen = ws.table(one.join(nodes, "fp"), "nodes")
-
-    def start():
-        return lambda columns: [columns[0], [shingles(x, shingle).view(np.int64) for x in columns[1]]]
-
-    texts = documents.select(row_key(id, text).alias("rid"), F.col(f"`{text}`").cast("string").alias("text")).join(chosen, "rid").select("fp", "text").dropDuplicates(["fp"])
-    whole = ws.table(map_columns(texts, start, "fp long, h array<long>"), "whole")
-    u, v = (whole.select(F.col("fp").alias(c), F.col("h").alias(f"h_{c}")) for c in "uv")
-    shared = F.size(F.array_intersect("h_u", "h_v"))
-    return near.join(u, "u").join(v, "v").where(9 * shared >= 4 * (F.size("h_u") + F.size("h_v"))).select("u", "v")
+    return ws.table(map_columns(rows, start, "rid binary, doc_id long, fp long, n int, sim long, sketch array<long>, prefix array<long>"), "sets")
+
+
+def _apart(a: str, b: str) -> str:
+    """SQL for the number of differing parities of two sketches."""
+    return " + ".join(f"bit_count({a}.sketch[{i}] ^ {b}.sketch[{i}])" for i in range(_LANES))
+
+
+class Similar:
+    """Components of the distinct sets of `marked` (what `sets` gives); `linked` matches fingerprints by multi-index hashing."""
+
+    def __init__(self, documents: DataFrame, text: str, id: str, marked: DataFrame, ws: Workspace, linked: Callable, shingle: int = SHINGLE):
+        self.documents, self.text, self.id, self.ws, self.shingle = documents, text, id, ws, shingle
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("least")
+        first = (F.first(c).alias(c) for c in ("n", "sim", "sketch", "prefix"))  # equal for all rows of a set
+        self.one = ws.table(marked.groupBy("fp").agg(least, F.min("rid").alias("rid"), *first), "one")
+        self.index = self._index()
+        found = ws.table(self._verified(self._by_fingerprint(linked).union(self._by_hub()).distinct(), "first"), "found")
+        roots = components(found, ws, "first_roots")
+        rest = ws.table(self._verified(self._across(roots), "second"), "rest")
+        self.links = found.unionByName(rest)
+        self.roots = components(self.links, ws, "roots") if rest.take(1) else roots
+
+    def _index(self) -> DataFrame:
+        """h, fp, n, at, c: the prefixes' shingles that c > 1 sets have in their prefixes."""
+        every = self.one.select("fp", "n", F.posexplode("prefix").alias("at", "h"))
+        shared = every.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+        return self.ws.table(every.join(shared, "h"), "index")
+
+    def _by_fingerprint(self, linked: Callable) -> DataFrame:
+        """u, v: sets of one fingerprint, each with the first; and the first sets of linked fingerprints."""
+        firsts = self.ws.table(self.one.groupBy(F.col("sim").alias("fp")).agg(F.min("fp").alias("u")), "fingerprints")
+        same = self.one.select(F.col("fp").alias("v"), F.col("sim")).join(firsts, F.col("sim") == firsts.fp).where("u <> v").select("u", "v")
+        near = linked(firsts.select("fp")).select(F.col("u").alias("s"), F.col("v").alias("t"))
+        first = lambda c, out: firsts.select(F.col("fp").alias(c), F.col("u").alias(out))
+        return same.union(near.join(first("s", "u"), "s").join(first("t", "v"), "t").select("u", "v"))
+
+    def _by_hub(self) -> DataFrame:
+        """u, v: each shingle's sets with its hub."""
+        common = self.index.groupBy("fp").agg(F.sum("c").alias("common"))
+        hub = F.max(F.struct("common", "fp", "n", "at")).alias("hub")
+        hubs = self.index.join(common, "fp").groupBy("h").agg(hub)
+        met = self.index.join(hubs, "h").where("fp <> hub.fp AND 9L * least(n - at, hub.n - hub.at) >= 4L * (n + hub.n)")
+        return met.select(F.least("fp", "hub.fp").alias("u"), F.greatest("fp", "hub.fp").alias("v"))
+
+    def _across(self, roots: DataFrame) -> DataFrame:
+        """u, v: sets that share a shingle of their prefixes, pass the filters and are in different components."""
+        named = self.index.join(roots, self.index.fp == roots.node, "left").select("h", "fp", "n", "at", F.coalesce("root", "fp").alias("root"))
+        named = self.ws.table(named, "named")
+        mixed = named.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("h")
+        rows = self.ws.table(named.join(mixed, "h").join(self.one.select("fp", "sketch"), "fp"), "mixed")
+        a, b = rows.alias("a"), rows.alias("b")
+        enough = f"a.h = b.h AND a.fp < b.fp AND a.root <> b.root AND 9L * least(a.n - a.at, b.n - b.at) >= 4L * (a.n + b.n) AND 9 * ({_apart('a', 'b')}) <= a.n + b.n"
+        return a.join(b, F.expr(enough)).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).distinct()
+
+    def _verified(self, pairs: DataFrame, name: str) -> DataFrame:
+        """Those pairs whose whole sets are similar."""
+        side = lambda c: self.one.select(F.col("fp").alias(c), F.struct("n", "sketch").alias(f"of_{c}"))
+        likely = pairs.join(side("u"), "u").join(side("v"), "v").where(F.expr(f"9 * ({_apart('of_u', 'of_v')}) <= of_u.n + of_v.n"))
+        near = self.ws.table(likely.select("u", "v"), f"{name}_pairs")
+        nodes = near.select(F.col("u").alias("fp")).union(near.select(F.col("v").alias("fp"))).distinct()
+        chosen = self.ws.table(self.one.select("fp", "rid").join(nodes, "fp"), f"{name}_nodes")
+
+        def start():
+            return lambda columns: [columns[0], [shingles(x, self_shingle).view(np.int64) for x in columns[1]]]
+
+        self_shingle = self.shingle
+        texts = self.documents.select(row_key(self.id, self.text).alias("rid"), F.col(f"`{self.text}`").cast("string").alias("text"))
+        texts = texts.join(small(chosen), "rid").select("fp", "text").dropDuplicates(["fp"])
+        whole = self.ws.table(map_columns(texts, start, "fp long, h array<long>"), f"{name}_whole")
+        u, v = (whole.select(F.col("fp").alias(c), F.col("h").alias(f"h_{c}")) for c in "uv")
+        shared = F.size(F.array_intersect("h_u", "h_v"))
+        return near.join(u, "u").join(v, "v").where(9 * shared >= 4 * (F.size("h_u") + F.size("h_v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+
+    def kept(self) -> DataFrame:
+        """fp, component_id, keep (the key of the row that stays): one row a distinct set."""
+        named = self.one.join(self.roots, self.one.fp == self.roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+        keep = named.groupBy("root").agg(F.min("least").alias("keep"))
+        return named.join(keep, "root").select("fp", F.col("keep.doc_id").alias("component_id"), F.col("keep.rid").alias("keep"))

@@ -5,7 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from loomwright.llm import simhash
+from loomwright.llm import simhash, similar
 from loomwright.llm._components import components
 from loomwright.llm._workspace import Workspace
 
@@ -116,16 +116,70 @@ def test_similar_texts_against_all_pairs(spark):
                     words[i] = "other"
                 texts.append(" ".join(words))
             texts.append(" ".join(base + base[: n // 9]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(r.doc_id for r in simhash.deduplicated(spark, docs, similar_by=5).collect())
+    assert got == brute_similar(list(enumerate(texts)))
+    assert len(got) < simhash.deduplicated(spark, docs).count()
+
+
+def brute_similar(rows, n=5):
+    """The smallest id of each component of texts, all pairs of which are compared."""
     sets = []
-    for t in texts:
-        w = (t or "").lower().split()
-        sets.append({" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or {" ".join(w)} - {""})
-    root = list(range(len(texts)))
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        sets.append({" ".join(w[i : i + n]) for i in range(len(w) - n + 1)} or {" ".join(w)} - {""})
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
     for i, a in enumerate(sets):
         for j in range(i):
             if a == sets[j] or 10 * len(a & sets[j]) >= 8 * len(a | sets[j]):
-                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+                root[find(i)] = find(j)
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        least[find(i)] = min(doc, least.get(find(i), doc))
+    return sorted(least.values())
+
+
+def test_large_group_of_near_copies_against_all_pairs(spark):
+    """Copies that lie around one text, at all distances, and a second group that shares some of its words."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(9000)}" for _ in range(150)]
+    other = base[:60] + [f"v{rng.randrange(9000)}" for _ in range(90)]
+    texts = []
+    for k in range(240):
+        words = list(base if k % 3 else other)
+        for i in rng.sample(range(150), k % 12):
+            words[i] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = sorted(r.doc_id for r in simhash.deduplicated(spark, docs, similar_by=5).collect())
-    assert got == sorted(set(root))
-    assert len(got) < simhash.deduplicated(spark, docs).count()
+    ws = Workspace(spark, "t")
+    marked = similar.sets(spark, docs, "text", "doc_id", ws)
+    found = similar.Similar(docs, "text", "doc_id", marked, ws, lambda c: simhash.links(c, ws))
+    assert sorted({r.component_id for r in found.kept().collect()}) == brute_similar(list(enumerate(texts)))
+    sets = {i: set(similar.shingles(t.encode()).tolist()) for i, t in enumerate(texts)}
+    similar_pairs = sum(10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]) for i in sets for j in range(i))
+    assert spark.read.parquet(ws.path("first_pairs")).count() + spark.read.parquet(ws.path("second_pairs")).count() < similar_pairs / 2
+
+
+def test_repeated_rows_that_differ_elsewhere(spark):
+    rows = [(1, "same text here", x) for x in ("b", "a", None, "c")] + [(2, "same text here", "0"), (3, "other words", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for by in (None, 5):
+        got = sorted((r.doc_id, r.source) for r in simhash.deduplicated(spark, docs.repartition(3), similar_by=by).collect())
+        assert got == [(1, "a"), (3, "z")]
+
+
+def test_similar_rows_with_clashing_columns_and_nulls(spark):
+    docs = messy(spark)
+    for name in ("sketch", "sim", "prefix", "keeps", "row"):
+        docs = docs.withColumn(name, F.lit(1))
+    kept = simhash.deduplicated(spark, docs, similar_by=5)
+    assert kept.columns == docs.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert 1 in ids and 2 not in ids and 3 not in ids and ids.count(13) == 1 and kept.where("doc_id IN (4, 5, 6)").count() == 1
+    assert simhash.deduplicated(spark, empty(spark), similar_by=5).collect() == []

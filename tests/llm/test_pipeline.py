@@ -5,7 +5,7 @@ import corpus_pipeline
 from loomwright.llm import decontaminate, queries
 
 from .cases import empty, messy
-from .test_near_duplicates import brute_fingerprint, brute_roots
+from .test_near_duplicates import brute_similar
 from .test_substring import brute as brute_substring
 
 
@@ -25,12 +25,7 @@ def test_stages_against_brute_force(spark, sf):
 
     one = of["simhash_near_dedup"](spark, clean, sf)
     rows = clean.collect()
-    fps = {r.doc_id: brute_fingerprint(r.text) for r in rows}
-    roots = brute_roots(set(fps.values()))
-    least = {}
-    for i, f in sorted(fps.items()):
-        least.setdefault(roots[f], i)
-    assert sorted(r.doc_id for r in one.collect()) == sorted(least.values())
+    assert sorted(r.doc_id for r in one.collect()) == brute_similar([(r.doc_id, r.text) for r in rows])
 
     kept = spark.createDataFrame(one.collect(), docs.schema)
     cut = {r.doc_id: r for r in of["substring_dedup"](spark, kept, sf).collect()}
