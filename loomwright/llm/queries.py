@@ -59,7 +59,10 @@ FROM sized GROUP BY conv_id
 
 
 def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.SubstringDedup(spark, _table(spark, sf_dir, "documents")).rows.drop("rid")
+    dedup = substring.SubstringDedup(spark, _table(spark, sf_dir, "documents"))
+    rows = dedup.rows
+    dedup.drop()
+    return rows.drop("rid")
 
 
 OP3_SQL = r"""

@@ -61,25 +61,69 @@ def test_applied_keeps_clean_texts_and_columns(spark):
 
 
 def test_index_of_batches(spark):
-    ws = Workspace(spark, "t")
-    index = FingerprintIndex(ws)
-    one, two = ([(h,) for h in hs] for hs in ([1, 1, 2, 3], [3, 4]))
-    index.add(spark.createDataFrame(one, "h long"))
-    new = spark.createDataFrame(two, "h long")
-    assert [r.h for r in index.known(new).collect()] == [3]
-    index.add(new)
-    assert sorted(map(tuple, index.compact().collect())) == [(1, 2), (2, 1), (3, 2), (4, 1)]
-    assert len(index.runs) == 1
+    index = FingerprintIndex(Workspace(spark, "t"))
+    batch = lambda *hs: spark.createDataFrame([(h,) for h in hs], "h long")
+    said = lambda hs: sorted(map(tuple, index.add(batch(*hs)).collect()))
+    assert said([1, 1, 2, 3, 5, 6, 7, 8, 9]) == [(1, False)]
+    index.compact()
+    assert said([3, 4, 1]) == [(1, False), (3, True)]
+    index.compact()  # the older run is much longer, so it is not rewritten
+    assert [n for _, n in index.runs] == [9, 3]
+    assert said([3, 4, 5, 10]) == [(3, True), (4, True), (5, True)]
+    index.compact()  # the two short runs become one, and that one and the long one too
+    assert [n for _, n in index.runs] == [16]
+    assert sorted(map(tuple, spark.table(index.runs[0][0]).collect())) == [(1, 3), (2, 1), (3, 3), (4, 2), (5, 2), (6, 1), (7, 1), (8, 1), (9, 1), (10, 1)]
+    index.drop()
+    assert index.runs == []
 
 
 def test_history_is_not_dealt_again(spark):
-    ws = Workspace(spark, "t")
-    index = FingerprintIndex(ws)
-    for k in range(2):
-        index.add(spark.range(1000).selectExpr(f"id * {k + 2} AS h"))
-    a, b = (spark.table(r) for r in index.runs)
-    plan = a.hint("merge").join(b.withColumnRenamed("n", "m"), "h", "full")._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan
+    index = FingerprintIndex(Workspace(spark, "t"))
+    index.add(spark.range(1000).selectExpr("id * 2 AS h"))
+    met = index.add(spark.range(1000).selectExpr("id * 3 AS h"))
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def _random(rng, n, first=0):
+    passages = [[f"p{k}_{i}" for i in range(45)] for k in range(6)]
+    rows = []
+    for i in range(first, first + n):
+        w = [f"u{i}_{j}" for j in range(rng.randrange(0, 60))]
+        for p in rng.sample(passages, rng.randrange(0, 3)):
+            at = rng.randrange(len(w) + 1)
+            w[at:at] = p[rng.randrange(3) :]
+        rows.append((i, " ".join(w), None, None, None))
+    return rows
+
+
+def test_later_batches_against_a_kept_index(spark):
+    """After each batch, all documents so far are judged as if they had come at once."""
+    rng = random.Random(11)
+    one, two = _random(rng, 40), _random(rng, 12, 100)
+    alone = (500, " ".join(f"a{i}" for i in range(50)), None, None, None)  # in one batch, then repeated in the next
+    three = [(600, "x " + alone[1], None, None, None), (601, alone[1], None, None, None), one[5], two[3], two[3], (602, None, None, None, None)]
+    dedup, sofar = SubstringDedup(spark), []
+    for rows in (one + [alone], two, three, messy(spark, extra=False).collect()):
+        batch = spark.createDataFrame(rows, DDL)
+        dedup.add(batch)
+        sofar += [(r[0], r[1]) for r in rows]
+        got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in dedup.rows.collect()]
+        assert sorted(map(repr, got)) == sorted(map(repr, brute(sofar)))
+    assert len(dedup.index.runs) <= 4
+    dedup.drop()
+    assert dedup.rows.count() == len(sofar)
+
+
+def test_passage_of_very_many_texts(spark):
+    """Its fingerprints are frequent, so that its windows are counted apart."""
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, f"u{i} v{i} {passage} w{i}", None, None, None) for i in range(150)] + [(900 + i, passage + f" z{i}", None, None, None) for i in range(2)]
+    docs = spark.createDataFrame(rows, DDL)
+    dedup = SubstringDedup(spark, docs)
+    assert len(dedup.index.frequent())
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in dedup.rows.collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, brute([(r[0], r[1]) for r in rows])))
 
 
 def test_empty(spark):
