@@ -1,22 +1,80 @@
 """Conflict-constrained best-fit packing of documents into training sequences.
 
-Every bin holds `capacity` characters. Texts longer than that are cut into pieces of `capacity` and a rest. No two pieces
-in a bin share a source or a duplicate cluster. Packing is sequential, so rows are dealt by hash into shards of about
-`shard_rows` rows, and each is packed alone, best fit decreasing: open bins lie in order of what they have left and carry
-bitmaps of their sources and clusters; the search starts at the first bin that is large enough and goes on to the next
-larger until one is compatible, which is the tightest compatible bin. Only lengths and keys are shuffled, never texts. A
-hot source or cluster spreads over all shards.
+Every bin (sequence) holds `capacity` units: words, or tokens of a given tokenizer. Longer texts are cut into pieces of at
+most so many, between words or pre-tokens; a text's pieces put together are the text. No two pieces in a bin share a
+source or a duplicate cluster. Packing is sequential, so pieces are dealt by hash into shards of about `shard_rows`, and each is
+packed alone, best fit decreasing: open bins lie in order of what they have left and carry bitmaps of their sources and
+clusters; the search starts at the first bin that is large enough and goes on to the next larger until one is compatible,
+which is the tightest compatible bin. A hot source, cluster or repeated row spreads over all shards. Texts go along with
+their pieces through the one exchange, so that each shard gives whole sequences.
 """
 
 import math
 from bisect import bisect_left, insort
+from collections.abc import Callable
+from itertools import accumulate
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-CAPACITY, SHARD_ROWS = 8192, 8192
-ROW = "bin_id long, doc_id long, piece int, piece_start long, length long, bin_offset long, bin_used long"
+from ._text import map_columns, schema_of
+from .tokens import Tokens
+
+CAPACITY, SHARD_ROWS = 2048, 8192
+PIECE = "struct<doc_id: long, piece: int, piece_start: long, length: long, text: string>"
+SEQUENCE = f"bin_id long, bin_used long, pieces array<{PIECE}>"
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+class Words:
+    """Cuts texts by words (runs of bytes other than white space); white space stays with the word before it."""
+
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+
+    def load(self) -> Callable[[list[bytes]], list[list[tuple[bytes, int]]]]:
+        return lambda texts: [self._cut(x) for x in texts]
+
+    def _cut(self, text: bytes) -> list[tuple[bytes, int]]:
+        n = len(text.split())
+        if n <= self.capacity:
+            return [(text, n)]
+        space = _SPACE[np.frombuffer(text, np.uint8)]
+        starts = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
+        ends = [*starts[self.capacity :: self.capacity].tolist(), len(text)]
+        sizes = [self.capacity] * (len(ends) - 1)
+        return list(zip((text[a:b] for a, b in zip([0, *ends], ends)), [*sizes, n - sum(sizes)]))
+
+
+class TokenPieces:
+    """Cuts texts by a tokenizer's tokens, at starts of pre-tokens; one that is longer than a piece is cut at a character."""
+
+    def __init__(self, capacity: int, vocabulary: str, **options):
+        self.capacity, self.tokens = capacity, Tokens(vocabulary, **options)
+
+    def load(self) -> Callable[[list[bytes]], list[list[tuple[bytes, int]]]]:
+        def cut(texts):
+            counts = self.tokens.counts(texts)
+            return [[(x, n)] if n <= self.capacity else self._cut(x.decode(), n) for x, n in zip(texts, counts)]
+
+        return cut
+
+    def _cut(self, text: str, n: int) -> list[tuple[bytes, int]]:
+        at, before = self.tokens.boundaries(text)  # positions of pre-tokens, and the tokens before each
+        at, before = [*at, len(text)], [*before, n]
+        out, i = [], 0
+        while i < len(at) - 1:
+            j = max(i + 1, int(np.searchsorted(before, before[i] + self.capacity, "right")) - 1)
+            part, size = text[at[i] : at[j]], before[j] - before[i]
+            pieces = max(1, -(-size // self.capacity))
+            cuts = [len(part) * k // pieces for k in range(pieces + 1)]
+            sizes = [size * (k + 1) // pieces - size * k // pieces for k in range(pieces)]
+            out += [(part[a:b].encode(), m) for a, b, m in zip(cuts, cuts[1:], sizes)]
+            i = j
+        return out
 
 
 def best_fit(items: list[tuple[int, object, object]], capacity: int) -> list[int]:
@@ -57,35 +115,76 @@ def best_fit(items: list[tuple[int, object, object]], capacity: int) -> list[int
     return out
 
 
-def packed(spark: SparkSession, documents: DataFrame, text: str = "text", id: str = "doc_id", source: str = "source", cluster: str | None = None, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """bin_id, doc_id, piece, piece_start, length, bin_offset, bin_used: one row a piece, all in characters (code points).
+def sequences(spark: SparkSession, documents: DataFrame, text: str = "text", id: str = "doc_id", source: str = "source", cluster: str | None = None, capacity: int = CAPACITY, cutter=None, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """bin_id, bin_used (units), pieces (doc_id, piece, piece_start in code points, length in units, text): a row a sequence,
+    with its pieces in order.
 
-    `cluster` names a column of duplicate clusters; without it, texts that are equal but for case are one cluster. Null
-    or empty texts have nothing to pack: one row with null bin_id, bin_offset and bin_used, and length 0. Null sources
-    are one source. Repeated rows are packed each, in different bins, as they share a cluster. Ties go by length, then doc_id,
-    piece, source, cluster. An empty table gives an empty result. Other columns are not read.
+    `cutter` cuts and measures texts; without it, `Words`. `cluster` names a column of duplicate clusters; without it, texts
+    that are equal but for case are one cluster. Null, empty and blank texts have nothing to pack: a row of its own with
+    null bin_id, bin_used 0 and one piece of length 0. Null sources are one source; null clusters conflict with none. Repeated rows are packed each, in different
+    bins, as they share a cluster. Ties go by length, then doc_id, piece, source, cluster. An empty table gives an empty
+    result. Other columns are not read, whatever their names.
     """
     rows = documents.select(
         F.col(f"`{id}`").cast("long").alias("doc_id"),
-        F.coalesce(F.length(F.col(f"`{text}`")), F.lit(0)).cast("long").alias("n"),
+        F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"),
         F.xxhash64(F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("\0"))).alias("source"),
-        (F.xxhash64(F.lower(F.col(f"`{text}`"))) if cluster is None else F.xxhash64(F.col(f"`{cluster}`"))).alias("cluster"),
+        (F.xxhash64(F.lower(F.col(f"`{text}`"))) if cluster is None else F.when(F.col(f"`{cluster}`").isNotNull(), F.xxhash64(F.col(f"`{cluster}`")))).alias("cluster"),
     )
-    shards = max(1, math.ceil(documents.count() / shard_rows))
-    cut = F.explode(F.sequence(F.lit(0), F.greatest(F.expr(f"cast((n - 1) div {capacity} as int)"), F.lit(0)))).alias("piece")
-    pieces = rows.select("*", cut).withColumn("piece_start", F.col("piece").cast("long") * capacity).withColumn("length", F.least(F.col("n") - F.col("piece_start"), F.lit(capacity)))
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "cluster"), F.lit(shards)))
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece", "source", "cluster"], ascending=[False, True, True, True, True], kind="stable")
-        fits = pdf["length"].to_numpy() > 0
-        some = pdf[fits]
-        b = best_fit(list(zip(some["length"].tolist(), some["source"].tolist(), some["cluster"].tolist())), capacity)
-        out = pdf[["doc_id", "piece", "piece_start", "length"]].copy()
-        out["bin_id"] = pd.Series(b, index=some.index, dtype="Int64") + (int(pdf["shard"].iloc[0]) << 32) if len(b) else pd.Series(pd.NA, index=pdf.index, dtype="Int64")
-        used = out.groupby("bin_id")["length"]
-        out["bin_offset"] = (used.cumsum() - out["length"]).where(fits).astype("Int64")
-        out["bin_used"] = used.transform("sum").where(fits).astype("Int64")
-        return out[["bin_id", "doc_id", "piece", "piece_start", "length", "bin_offset", "bin_used"]]
-
-    return pieces.select("shard", "doc_id", "piece", "piece_start", "length", "source", "cluster").groupBy("shard").applyInPandas(pack, ROW)
+    n, chars = rows.agg(F.count("*"), F.sum(F.length("text"))).first()
+    shards = max(1, math.ceil((n + (chars or 0) // (2 * capacity)) / shard_rows))
+    cutter = cutter or Words(capacity)
+    schema = to_arrow_schema(schema_of(SEQUENCE))
+
+    def start():
+        cut, nth = cutter.load(), {}
+
+        def step(columns):
+            ids, texts, sources, clusters = columns
+            out = [[] for _ in range(8)]
+            for i, s, c, pieces in zip(ids, sources, clusters, cut(texts)):
+                key = (i, c)
+                if len(nth) > 100_000:
+                    nth.clear()
+                nth[key] = again = nth.get(key, -1) + 1  # repeated rows of a task go to different shards
+                starts = accumulate((len(x.decode()) for x, _ in pieces), initial=0)
+                for k, ((part, size), first) in enumerate(zip(pieces, starts)):
+                    for column, value in zip(out, (again, i, k, first, size, s, c, part.decode())):
+                        column.append(value)
+            return out
+
+        return step
+
+    pieces = map_columns(rows, start, "again int, doc_id long, piece int, piece_start long, length long, source long, cluster long, text string")
+    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "cluster", "again"), F.lit(shards))).drop("again")
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("length", "descending"), *((c, "ascending") for c in ("doc_id", "piece", "source", "cluster"))])
+        length = table.column("length").to_numpy()
+        some = int((length > 0).sum())  # sorted: those that have something to pack come first
+        b = best_fit(list(zip(length[:some].tolist(), table.column("source").to_pylist(), table.column("cluster").to_pylist())), capacity)
+        b = np.concatenate((np.array(b, np.int64), np.arange(some, len(length))))  # each of the others stands alone
+        order = np.argsort(b, kind="stable")
+        _, first = np.unique(b[order], return_index=True)
+        used = np.add.reduceat(length[order], first) if len(order) else length
+        bins = (b[order][first]) + (table.column("shard")[0].as_py() << 32)
+        moved = table.take(pa.array(order)).combine_chunks()
+        fields = schema.field("pieces").type.value_type
+        items = pa.StructArray.from_arrays([_whole(moved.column(f.name)).cast(f.type) for f in fields], fields=list(fields))
+        lists = pa.ListArray.from_arrays(pa.array([*first, len(order)], pa.int32()), items)
+        return pa.Table.from_arrays([pa.array(bins, mask=used == 0), pa.array(used), lists.cast(schema.field("pieces").type)], schema=schema)
+
+    return pieces.groupBy("shard").applyInArrow(pack, SEQUENCE)
+
+
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
+def packed(spark: SparkSession, documents: DataFrame, **options) -> DataFrame:
+    """bin_id, doc_id, piece, piece_start, length, bin_offset, bin_used, text: one row a piece; options, awkward cases and units
+    are those of `sequences`. Rows of null bin_id, for texts without anything to pack, have bin_offset 0."""
+    each = sequences(spark, documents, **options)
+    before = F.transform("pieces", lambda p, i: F.struct(p.alias("p"), F.aggregate(F.slice("pieces", 1, i), F.lit(0).cast("long"), lambda a, x: a + x["length"]).alias("at")))
+    rows = each.select("bin_id", "bin_used", F.explode(before).alias("x"))
+    return rows.select("bin_id", "x.p.doc_id", "x.p.piece", "x.p.piece_start", "x.p.length", F.col("x.at").alias("bin_offset"), "bin_used", "x.p.text")

@@ -15,7 +15,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(spark, _table(spark, sf_dir, "documents"))
+    rows = packing.packed(spark, _table(spark, sf_dir, "documents"))
+    return rows.withColumn("text_sha256", F.sha2("text", 256)).drop("text")
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,9 +10,9 @@ A tokenizer without pre-tokens (kind .model) has no boundary that is proven this
 """
 
 import os
+from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 from pyspark.sql import DataFrame
 
 from ._text import has_columns, map_columns
@@ -46,14 +46,13 @@ def _boundaries(encoding, base: int) -> dict[int, int]:
     return out
 
 
-def count_long(tokenizer, text: str, chunk: int, overlap: int) -> int:
-    """Tokens of a text of any length, the same as of the whole text at once."""
-    if len(text) <= chunk:
-        return len(tokenizer.encode(text, add_special_tokens=False).ids)
-    total, at = 0, 0  # all before `at` is counted, and `at` is a stable boundary
+def spliced(tokenizer, text: str, chunk: int, overlap: int) -> Iterator[tuple[dict[int, int], int]]:
+    """Of a text of any length, chunk by chunk: the boundaries (position -> tokens before it, of the whole text) up to the
+    next splice, and how many tokens there are up to it. Together they are those of the whole text at once."""
+    total, at = 0, 0  # all before `at` is told, and `at` is a stable boundary
     end = min(chunk, len(text))
     encoding = tokenizer.encode(text[at:end], add_special_tokens=False)
-    marks = _boundaries(encoding, at)
+    marks, count = _boundaries(encoding, at), len(encoding.ids)
     while end < len(text):
         wide = overlap
         while True:
@@ -66,52 +65,87 @@ def count_long(tokenizer, text: str, chunk: int, overlap: int) -> int:
                 break
             wide *= 2  # no common boundary: widen
         p = max(common) if common else at
-        total += marks[p] if p in marks else 0
+        known = marks[p] if p in marks else 0
+        yield {q: total + n for q, n in marks.items() if q < p}, total + known
+        total += known
         skipped = then.get(p, 0)
-        marks = {q: n - skipped for q, n in then.items() if q >= p}
-        count = len(following.ids) - skipped
+        marks, count = {q: n - skipped for q, n in then.items() if q >= p}, len(following.ids) - skipped
         at, end = p, stop
-        if end == len(text):
-            return total + count
-    return total + len(encoding.ids)
+    yield {q: total + n for q, n in marks.items()}, total + count
+
+
+def count_long(tokenizer, text: str, chunk: int, overlap: int) -> int:
+    """Tokens of a text of any length, the same as of the whole text at once."""
+    if len(text) <= chunk:
+        return len(tokenizer.encode(text, add_special_tokens=False).ids)
+    n = 0
+    for _, n in spliced(tokenizer, text, chunk, overlap):
+        pass
+    return n
+
+
+class Tokens:
+    """A tokenizer file's counts and boundaries of whole texts; loaded where it is used, once a process."""
+
+    def __init__(self, vocabulary: str, whole_chars: int = 100_000, overlap: int = 2_000):
+        self.vocabulary, self.whole_chars, self.overlap = vocabulary, whole_chars, overlap
+        self.plain = vocabulary.endswith(".model")  # a tokenizer without pre-tokens
+
+    def counts(self, texts: list[bytes]) -> list[int]:
+        tokenizer = _loaded(self.vocabulary)
+        n = [0] * len(texts)
+        held: list[int] = []
+        size = 0
+
+        def flush():
+            if held:
+                batch = [texts[i].decode() for i in held]
+                found = tokenizer.encode(batch, num_threads=1) if self.plain else tokenizer.encode_batch_fast(batch, add_special_tokens=False)
+                for i, x in zip(held, found):
+                    n[i] = len(x)
+                held.clear()
+
+        for i, x in enumerate(texts):
+            if len(x) > self.whole_chars and not self.plain:
+                n[i] = count_long(tokenizer, x.decode(), self.whole_chars, self.overlap)
+                continue
+            if size + len(x) > BATCH_CHARS:
+                flush()
+                size = 0
+            held.append(i)
+            size += len(x)
+        flush()
+        return n
+
+    def boundaries(self, text: str) -> tuple[list[int], list[int]]:
+        """Positions of the starts of pre-tokens, in order, and the tokens before each. Without pre-tokens: the start alone."""
+        if self.plain:
+            return [0], [0]
+        tokenizer = _loaded(self.vocabulary)
+        if len(text) <= self.whole_chars:
+            marks = _boundaries(tokenizer.encode(text, add_special_tokens=False), 0)
+        else:
+            marks = {p: n for some, _ in spliced(tokenizer, text, self.whole_chars, self.overlap) for p, n in some.items()}
+        marks = {0: 0} | {p: n for p, n in marks.items() if p}
+        return list(marks), list(marks.values())
 
 
 def token_counts(documents: DataFrame, vocabulary: str, text: str = "text", id: str = "doc_id", limit: int = 512, whole_chars: int = 100_000, overlap: int = 2_000) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit, one row a row of documents.
 
     `vocabulary` is the path of a tokenizer file that every executor has. Null text counts as empty (zero bytes and
-    tokens); repeated rows are counted each; an empty table gives an empty result; columns besides id and text are not
-    read. No special tokens are added, nothing is truncated or padded.
+    tokens); texts of over `whole_chars` bytes are spliced; repeated rows are counted each; an empty table gives an empty
+    result; columns besides id and text are not read, whatever their names. No special tokens are added, nothing is
+    truncated or padded.
     """
+    tokens = Tokens(vocabulary, whole_chars, overlap)
 
     def start():
-        tokenizer = _loaded(vocabulary)
-        pieces = vocabulary.endswith(".model")
-
         def step(columns):
             ids, raw = columns
             raw = [x or b"" for x in raw]
-            n = np.zeros(len(raw), np.int64)
-            held: list[int] = []
-
-            def flush():
-                if held:
-                    batch = [raw[i].decode() for i in held]
-                    n[held] = [len(x) for x in tokenizer.encode(batch, num_threads=1)] if pieces else [len(x) for x in tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
-                    held.clear()
-
-            size = 0
-            for i, x in enumerate(raw):
-                if len(x) > whole_chars and not pieces:
-                    n[i] = count_long(tokenizer, x.decode(), whole_chars, overlap)
-                    continue
-                if size + len(x) > BATCH_CHARS:
-                    flush()
-                    size = 0
-                held.append(i)
-                size += len(x)
-            flush()
-            return [ids, [len(x) for x in raw], n, n > limit]
+            n = tokens.counts(raw)
+            return [ids, [len(x) for x in raw], n, [x > limit for x in n]]
 
         return step
 

@@ -1,10 +1,12 @@
 import random
 import weakref
+from collections import Counter
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from loomwright.llm import decontaminate, packing
+from loomwright.llm import decontaminate, packing, tokens
 
 from .cases import empty, messy, prose
 
@@ -32,37 +34,84 @@ def test_best_fit_matches_brute_force(seed):
     assert packing.best_fit(items, 100) == brute_fit(items, 100)
 
 
+def rebuilt(docs, sequences, capacity):
+    """Checks that sequences hold every text once, whole and in order, within capacity and without conflicts."""
+    texts = Counter((r.doc_id, r.text or "") for r in docs.collect())
+    sources = {(r.doc_id, r.text or ""): r.source for r in docs.collect()}
+    parts = {}
+    for r in sequences:
+        assert (r.bin_id is None) == (r.bin_used == 0) and r.bin_used == sum(p.length for p in r.pieces) <= capacity
+        for p in r.pieces:
+            parts.setdefault(p.doc_id, []).append((p.piece, p.piece_start, p.text, r.bin_id))
+    got = Counter()
+    for doc, own in parts.items():
+        by = {}
+        for k, at, text, _ in sorted(own, key=lambda x: x[:3]):
+            by.setdefault(k, []).append((at, text))
+        tails = {}  # texts so far -> how many
+        for k in sorted(by):
+            if k == 0:
+                tails = Counter(t for _, t in by[0])
+                continue
+            for at, t in by[k]:
+                head = next(h for h in tails if len(h) == at and tails[h] > 0 and any((doc, whole) in texts and whole.startswith(h + t) for whole in (w for d, w in texts if d == doc)))
+                tails[head] -= 1
+                tails[head + t] = tails.get(head + t, 0) + 1
+        for t, n in tails.items():
+            if n:
+                got[doc, t] += n
+    assert got == texts
+    for r in sequences:
+        if r.bin_id is not None and len(r.pieces) > 1:
+            whole = [next(((d, t) for d, t in texts if d == p.doc_id and p.text in t)) for p in r.pieces]
+            assert len({sources[w] for w in whole}) == len(whole) and len({t.lower() for _, t in whole}) == len(whole)
+
+
 @pytest.mark.parametrize("shard_rows", [4, 8192])
-def test_bins_hold_whole_texts_without_conflicts(spark, shard_rows):
+def test_sequences_hold_whole_texts_without_conflicts(spark, shard_rows):
     docs = messy(spark)
-    got = packing.packed(spark, docs, capacity=1000, shard_rows=shard_rows)
-    rows = got.collect()
-    total = docs.agg(F.sum(F.length("text"))).first()[0]
-    assert sum(r.length for r in rows) == total
-    texts = [(r.doc_id, len(r.text or "")) for r in docs.collect()]
-    assert sorted({r.doc_id for r in rows if r.doc_id is not None}) == sorted({i for i, _ in texts if i is not None})
-    bins = {}
-    for r in rows:
-        if r.bin_id is not None:
-            bins.setdefault(r.bin_id, []).append(r)
-    for b in bins.values():
-        at = 0
-        for r in sorted(b, key=lambda r: r.bin_offset):
-            assert r.bin_offset == at and r.bin_used <= 1000
-            at += r.length
-        assert at == b[0].bin_used
-    assert all(len({r.doc_id for r in b if r.doc_id in (1, 2)}) < 2 for b in bins.values())  # copies and one source
-    assert sum(r.bin_id is None for r in rows) == sum(n == 0 for _, n in texts)
+    got = packing.sequences(spark, docs, capacity=150, shard_rows=shard_rows).collect()
+    rebuilt(docs, got, 150)
+    assert sum(p.length for r in got for p in r.pieces) == sum(len((r.text or "").split()) for r in docs.collect())
+    rows = packing.packed(spark, docs, capacity=150, shard_rows=shard_rows).collect()
+    assert sorted((r.bin_id, r.bin_offset) for r in rows if r.bin_id is not None) == sorted((r.bin_id, sum(p.length for p in r.pieces[:i])) for r in got if r.bin_id is not None for i in range(len(r.pieces)))
+
+
+def test_sequences_by_tokens(spark):
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = messy(spark).unionByName(messy(spark).where("doc_id = 14").withColumn("doc_id", F.lit(77).cast("long")).withColumn("text", F.lit("z" * 4000 + " 🙂é" * 300)))
+    cutter = packing.TokenPieces(200, path, whole_chars=3_000, overlap=200)
+    got = packing.sequences(spark, docs, capacity=200, cutter=cutter).collect()
+    rebuilt(docs, got, 200)
+    counts = {(r.doc_id, r.n_bytes): r.n_tokens for r in tokens.token_counts(docs, path).collect()}
+    sums = Counter()
+    for r in got:
+        for p in r.pieces:
+            sums[p.doc_id] += p.length
+    assert sums[12] == next(n for (i, _), n in counts.items() if i == 12) and sums[77] == next(n for (i, _), n in counts.items() if i == 77)
+    assert sum(sums.values()) == sum(r.n_tokens for r in tokens.token_counts(docs, path).collect())
+
+
+def test_cuts_lie_between_words():
+    cut = packing.Words(3)._cut
+    assert cut(b"  a b\n c  d e f g ") == [(b"  a b\n c  ", 3), (b"d e f ", 3), (b"g ", 1)]
+    assert cut(b"") == [(b"", 0)] and cut(b" \t") == [(b" \t", 0)] and cut(b"a b c") == [(b"a b c", 3)]
+
+
+def test_repeated_rows_spread_over_shards(spark):
+    docs = spark.createDataFrame([(None, "same words", "a")] * 200, "doc_id long, text string, source string").coalesce(1)
+    rows = packing.packed(spark, docs, capacity=10, shard_rows=20).collect()
+    assert len({r.bin_id for r in rows}) == 200 and len({r.bin_id >> 32 for r in rows}) > 5
 
 
 def test_packing_is_the_brute_force_packing(spark):
     rng = random.Random(5)
-    rows = [(i, prose(rng, rng.randrange(1, 40)), rng.choice("abcde")) for i in range(120)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = {r.doc_id: r.bin_id for r in packing.packed(spark, docs, capacity=300).collect()}
-    items = sorted(((len(t), i, s, t.lower()) for i, t, s in rows), key=lambda x: (-x[0], x[1]))
-    assert max(len(t) for _, t, _ in rows) <= 300
-    assert [got[i] for _, i, _, _ in items] == brute_fit([(n, s, c) for n, _, s, c in items], 300)
+    rows = [(i, prose(rng, rng.randrange(1, 40)), rng.choice("abcde"), rng.choice([None, 1, 2])) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, group long")
+    for cluster in (None, "group"):
+        got = {r.doc_id: r.bin_id for r in packing.packed(spark, docs, capacity=60, cluster=cluster).collect()}
+        items = sorted(((len(t.split()), i, s, g if cluster else t.lower()) for i, t, s, g in rows), key=lambda x: (-x[0], x[1]))
+        assert [got[i] for _, i, _, _ in items] == brute_fit([(n, s, c) for n, _, s, c in items], 60)
     assert packing.packed(spark, empty(spark)).collect() == []
 
 
