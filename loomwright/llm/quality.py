@@ -117,7 +117,13 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: fl
 
 
 class Quality:
-    """A fitted model. `learn` is a condition over doc_id (of labels) that says which labels may be learnt from."""
+    """A fitted model. `learn` is a condition over doc_id (of labels) that says which labels may be learnt from.
+
+    Ids that are labelled repeatedly count once, with their largest label; null ids or labels, and labels of ids without a
+    document, are left out; of documents with one id the least statistics learn. With one label only, or none, or
+    without documents, all scores are the smoothed rate's. Very long texts are counted whole. Ties between splits go to the
+    first feature and bin. Other columns are not read, whatever their names.
+    """
 
     def __init__(self, spark: SparkSession, documents: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", id: str = "doc_id", learn=None, sample: int = SAMPLE):
         ids = sampled(labels, label, F.lit(True) if learn is None else learn, sample)
@@ -135,7 +141,8 @@ class Quality:
         self.shared = spark.sparkContext.broadcast(self.forest)
 
     def scores(self, documents: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-        """doc_id, score: one row a row of documents; null counts as empty, and all empty texts have one score."""
+        """doc_id, score: one row a row of documents; null counts as empty, all empty or blank texts have one score, a very long
+        text is scored whole; repeated rows have one score; an empty table gives an empty result."""
         shared = self.shared
 
         def start():

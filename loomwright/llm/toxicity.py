@@ -1,8 +1,9 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Words, their stems, pairs of neighbours and pairs with one word between are hashed to 2^20 places. FTRL keeps a learning rate for each
+Words, pairs of neighbours and pairs with one word between are hashed to 2^20 places. FTRL keeps a learning rate for each
 place, and its L1 term leaves most weights at zero; the rest is a compact table that is broadcast (bounded by 2^20
-weights whatever the corpus). Learning takes a bounded sample of labelled rows (`sample`); scoring takes every whole text.
+weights whatever the corpus). Gradients of toxic rows, which are few, count `toxic_weight` times. Learning takes a bounded
+sample of labelled rows (`sample` rows, SAMPLE_BYTES of features); scoring takes every whole text.
 """
 
 from dataclasses import dataclass
@@ -14,31 +15,24 @@ from pyspark.sql import functions as F
 
 from ._labels import crc_mod, sampled
 from ._text import ODD, append_column, has_columns, map_columns, mixed, unused, word_hashes
+from ._workspace import Workspace
 
 PLACES = 1 << 20
-SAMPLE = 8_000
+SAMPLE, SAMPLE_BYTES = 16_000, 128_000_000
 #: Punctuation counts as space, so that "word!!" is the word.
 _PLAIN = bytes(x if chr(x).isalnum() or x in (0x27,) or x > 127 else 0x20 for x in range(256))
 _CHUNK = 200_000
 
 
-def stems(words: list[bytes]) -> np.ndarray:
-    """Hashes of each longer word's first 4, 5 and 6 bytes: inflected forms then share a feature."""
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    starts = np.concatenate(([0], np.cumsum(sizes + 1)[:-1])) if words else np.empty(0, np.int64)
-    raw = np.frombuffer(b" ".join(words) + bytes(8), np.uint8)
-    head = raw[starts[:, None] + np.arange(8)].view("<u8").ravel()
-    return np.concatenate([mixed((head[sizes > k] & np.uint64((1 << 8 * k) - 1)) * np.uint64(ODD[2]) + np.uint64(k)) for k in (4, 5, 6)])
-
-
 def places(text: bytes | None):
-    """Arrays of the places of a text's features, repeats included; a long text comes in several arrays."""
+    """Arrays of the places of a text's features, repeats included; a long text comes in several arrays, none of whose
+    features is in another. Text is lower-cased, and ASCII other than letters, digits and ' is space."""
     words = (text or b"").decode().lower().encode().translate(_PLAIN).split()
     for at in range(0, len(words), _CHUNK):
         h = word_hashes(words[at : at + _CHUNK + 2])
         near = mixed(h[:-1] * np.uint64(ODD[0]) + h[1:])
         skip = mixed(h[:-2] * np.uint64(ODD[1]) + h[2:] + np.uint64(1))
-        yield (np.concatenate((h, near, skip, stems(words[at : at + _CHUNK]))) & np.uint64(PLACES - 1)).astype(np.int32)
+        yield (np.concatenate((h[:_CHUNK], near[:_CHUNK], skip[:_CHUNK])) & np.uint64(PLACES - 1)).astype(np.int32)
 
 
 @dataclass
@@ -47,9 +41,10 @@ class Ftrl:
 
     alpha: float = 2.0
     beta: float = 1.0
-    l1: float = 4.0
+    l1: float = 16.0
     l2: float = 0.01
-    epochs: int = 5
+    epochs: int = 10
+    toxic_weight: float = 6.0
 
     def fit(self, rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         """Places with a weight, their weights, and the bias. Rows hold distinct places. With no row, all scores are low."""
@@ -64,7 +59,7 @@ class Ftrl:
                 zi, ni = z[at], n[at]
                 root = np.sqrt(ni)
                 w = np.where(np.abs(zi) > self.l1, (np.sign(zi) * self.l1 - zi) / ((self.beta + root) / self.alpha + self.l2), 0.0)
-                g = 1 / (1 + np.exp(-np.clip(w.sum() + bias, -35, 35))) - y[i]
+                g = (1 / (1 + np.exp(-np.clip(w.sum() + bias, -35, 35))) - y[i]) * (self.toxic_weight if y[i] else 1.0)
                 n[at] = ni + g * g
                 z[at] = zi + g - (np.sqrt(ni + g * g) - root) / self.alpha * w
                 bias_n += g * g
@@ -81,7 +76,14 @@ def score(text: bytes | None, dense: np.ndarray, bias: float) -> float:
 
 
 class Toxicity:
-    """A fitted model. `learn` is a condition over doc_id (of labels) that says which labels may be learnt from."""
+    """A fitted model. `learn` is a condition over doc_id (of labels) that says which labels may be learnt from.
+
+    Ids that are labelled repeatedly count once, with their largest label; null ids or labels, and labels of ids without a
+    document, are left out; of documents with one id the text of the smallest features learns. Without any label left, or
+    without documents, all scores are low. Very long texts learn from all their features; with SAMPLE_BYTES reached, labelled rows
+    beyond, in the order of their ids' hash, are left out. Ties of that order go by id. Other columns are not read, whatever
+    their names.
+    """
 
     def __init__(self, spark: SparkSession, documents: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", id: str = "doc_id", learn=None, sample: int = SAMPLE, ftrl: Ftrl | None = None):
         ids = sampled(labels, label, F.lit(True) if learn is None else learn, sample)
@@ -96,8 +98,15 @@ class Toxicity:
             return step
 
         # of repeated ids one text, so that the sample stays in bounds
-        got = map_columns(rows, start, "doc_id long, y int, at binary").groupBy("doc_id", "y").agg(F.min("at").alias("at")).toArrow().to_pandas()
-        got = got.sort_values("doc_id")  # the same model whatever order the rows arrive in
+        each = map_columns(rows, start, "doc_id long, y int, at binary").groupBy("doc_id", "y").agg(F.min("at").alias("at"))
+        ws = Workspace(spark, "toxicity")
+        each = ws.table(each.withColumn("size", F.length("at")), "features")
+        sizes = each.select("doc_id", "size", F.xxhash64("doc_id").alias("k")).toPandas().sort_values(["k", "doc_id"])  # `sample` rows
+        chosen = sizes["doc_id"][(sizes["size"].cumsum() <= SAMPLE_BYTES).to_numpy()]
+        if len(chosen) < len(sizes):
+            each = each.join(F.broadcast(spark.createDataFrame(chosen.to_frame(), "doc_id long")), "doc_id", "left_semi")
+        got = each.select("doc_id", "y", "at").toArrow().to_pandas().sort_values("doc_id")  # the same model whatever order the rows arrive in
+        ws.drop("features")
         self.places, self.weights, self.bias = (ftrl or Ftrl()).fit([np.frombuffer(x, np.int32) for x in got["at"]], got["y"].to_numpy(np.float64))
         self.shared = spark.sparkContext.broadcast((self.places, self.weights, self.bias))
 
@@ -113,7 +122,8 @@ class Toxicity:
         return load
 
     def scores(self, documents: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-        """doc_id, score: one row a row of documents; null counts as empty, and an empty text has the bias's score."""
+        """doc_id, score: one row a row of documents; null counts as empty, an empty text has the bias's score, a very long one
+        is scored whole, in chunks; repeated rows have one score; an empty table gives an empty result."""
         load = self._dense()
 
         def start():
@@ -123,7 +133,7 @@ class Toxicity:
         return map_columns(has_columns(documents, doc_id=(id, "long"), text=(text, "string")), start, "doc_id long, score double")
 
     def accepted(self, documents: DataFrame, text: str = "text", below: float = 0.5) -> DataFrame:
-        """`documents` without those that score `below` or more; columns stay as they are."""
+        """`documents` without those that score `below` or more; columns stay as they are, and other cases as in `scores`."""
         load, held, name = self._dense(), [], unused(documents, "toxicity")
 
         def values(texts):
