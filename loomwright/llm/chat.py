@@ -49,7 +49,9 @@ def formatted(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn
     """conv_id, formatted, mask (array of runs: chars, loss): one row a conversation.
 
     Rows go by turn, ties by role and text; repeated rows stay. A null text or role counts as empty, a null turn comes
-    first, null conversation ids are one conversation. An empty table gives an empty result; other columns are not read.
+    first, null conversation ids are one conversation. A conversation is one row, so it must fit in memory, however many
+    turns it has and however long they are. An empty table gives an empty result; other columns are not read, whatever
+    their names.
     """
     rows = turns.select(
         F.col(f"`{conversation}`").alias("conv_id"),
@@ -71,11 +73,30 @@ def formatted(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn
 
 def parsed(chats: DataFrame) -> DataFrame:
     """conv_id, turns (array of role, text), loss (array of unescaped masked texts), formatted: read back from `formatted`
-    and `mask` alone."""
+    and `mask` alone, each in one pass whatever the number of turns. Takes what `formatted` gives, null ids included; an
+    empty table gives an empty result."""
     blocks = F.filter(F.split("formatted", r"\n</turn>\n"), lambda b: b != "")
     head = r"^### ([^:]*): "
     of = lambda b: F.transform(F.split(F.regexp_replace(b, head, ""), r"\n<\+>\n"), lambda x: F.struct(_role(F.regexp_extract(b, head, 1)).alias("role"), unescaped(x).alias("text")))
-    starts = F.aggregate("mask", F.array(F.lit(1)), lambda acc, m: F.concat(acc, F.array(F.element_at(acc, -1) + m["chars"])))
-    runs = chats.withColumn("starts", starts)
-    loss = F.transform(F.filter(F.arrays_zip("mask", "starts"), lambda r: r["mask"]["loss"]), lambda r: unescaped(F.substring(F.col("formatted"), r["starts"], r["mask"]["chars"])))
+    # four bytes a code point, so that a run is cut out without reading what stands before it; with a byte order mark of its
+    # own, one that the text begins with stays
+    run = lambda r: F.concat(F.unhex(F.lit("0000FEFF")), F.substring(F.col("code_points"), r["start"] * 4 + 1, r["chars"] * 4))
+    loss = F.transform(_lossy("mask"), lambda r: unescaped(F.decode(run(r), "UTF-32")))
+    runs = chats.withColumn("code_points", F.encode("formatted", "UTF-32"))
     return runs.select("conv_id", F.flatten(F.transform(blocks, of)).alias("turns"), loss.alias("loss"), "formatted")
+
+
+def _lossy(mask: str, chunk: int = 256) -> Column:
+    """start (from 0), chars of the mask's runs of loss. Running sums go by chunks, and over the chunks' totals, as an array
+    that grows run by run would be copied each time."""
+    from_zero = lambda sums: F.aggregate(sums, F.array(F.lit(0).cast("long")), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    parts = F.transform(F.sequence(F.lit(0), F.expr(f"greatest(size({mask}) - 1, 0) div {chunk}")), lambda c: F.slice(mask, (c * chunk + 1).cast("int"), chunk))
+    sums = F.transform(parts, lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda a, r: a + r["chars"]))
+    whole = F.arrays_zip(parts.alias("part"), F.slice(from_zero(sums), 1, F.size(sums)).alias("before"))
+
+    def within(x):
+        starts = from_zero(F.transform(x["part"], lambda r: r["chars"].cast("long")))
+        each = F.zip_with(x["part"], F.slice(starts, 1, F.size(x["part"])), lambda r, at: F.struct((at + x["before"]).cast("int").alias("start"), r["chars"].alias("chars"), r["loss"].alias("loss")))
+        return F.filter(each, lambda r: r["loss"])
+
+    return F.flatten(F.transform(whole, within))

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -45,6 +46,21 @@ def test_ties_nulls_and_empty_conversations(spark):
     assert chat.formatted(spark.createDataFrame([], TURNS)).collect() == []
 
 
+def test_very_long_conversations_and_texts(spark):
+    """Linear: 10,000 turns and a text of a million characters are read back in seconds."""
+    rows = [(1, t, "assistant" if t % 3 else "user", f"turn {t} ### \ufeff é🙂") for t in range(10_000)]
+    rows += [(2, 0, "user", "w " * 500_000), (2, 1, "assistant", "\ufeff### 🙂 " * 100_000 + "é")]
+    frame = spark.createDataFrame(rows, TURNS).repartition(4)
+    for name in ("formatted", "mask", "row", "t", "starts", "blocks"):
+        frame = frame.withColumn(name, F.lit(0))
+    began = time.monotonic()
+    got = {r.conv_id: r for r in chat.parsed(chat.formatted(frame)).collect()}
+    assert time.monotonic() - began < 60
+    for c in (1, 2):
+        assert [x.text for x in got[c].turns] == [r[3] for r in rows if r[0] == c]
+        assert list(got[c].loss) == [r[3] for r in rows if r[0] == c and r[2] == "assistant"]
+
+
 def test_no_python_in_the_plan(spark):
     plan = chat.parsed(chat.formatted(spark.createDataFrame([(1, 0, "user", "a")], TURNS)))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
