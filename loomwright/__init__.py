@@ -1 +1 @@
-"""Spark-native analytics for summarization data: sources, text functions, metrics, rankings, rewards."""
+"""Spark-native preparation and evaluation of text pairs: sources, text functions, metrics, rankings, rewards."""

@@ -6,9 +6,19 @@ Global numbering goes through `numbered`, which counts by range, so that no wind
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import new_path
 
-def lookup(frame: DataFrame, row: int, row_id: str = "row_id") -> DataFrame:
-    return frame.where(F.col(row_id) == row)
+
+def lookup(frame: DataFrame, row: int, row_id: str = "row_id", transform=None) -> DataFrame:
+    """The row of an ordinal; `transform` (name -> function from Column to Column) is put on its fields."""
+    return transformed(frame.where(F.col(row_id) == row), transform or {})
+
+
+def transformed(frame: DataFrame, by: dict) -> DataFrame:
+    """`frame` with functions put on fields: name -> function from Column to Column; other columns stay, in place."""
+    if missing := by.keys() - set(frame.columns):
+        raise ValueError(f"no columns {sorted(missing)}")
+    return frame.select(*(by[c](F.col(f"`{c}`")).alias(c) if c in by else F.col(f"`{c}`") for c in frame.columns))
 
 
 def sliced(frame: DataFrame, start: int | None = None, stop: int | None = None, step: int = 1, row_id: str = "row_id") -> DataFrame:
@@ -27,36 +37,23 @@ def hash_order(seed: int, row_id: str = "row_id") -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(row_id).cast("string")))
 
 
-def _bucket(key: Column, cuts: list, first: int = 0) -> Column:
-    """How many of the sorted `cuts` are at most `key`, by bisection."""
-    if not cuts:
-        return F.lit(first)
-    at = len(cuts) // 2
-    return F.when(key < F.lit(cuts[at]), _bucket(key, cuts[:at], first)).otherwise(_bucket(key, cuts[at + 1 :], first + at + 1))
-
-
-def numbered(frame: DataFrame, order: list[Column], name: str = "_n", buckets: int | None = None) -> DataFrame:
-    """`frame` with a number from 1 over all rows in ascending `order` (nulls first).
+def numbered(frame: DataFrame, order: list[Column], name: str = "_n") -> DataFrame:
+    """`frame` with a number from 1 over all rows in ascending `order` (nulls first); rows that tie on all of it are numbered
+    in any order.
 
-    A sample of the first key gives cut points, which are then constants: any cut points give the same numbers. Rows of a
-    range are numbered in their own window, behind the running total of the smaller ranges' sizes (a row a range,
-    broadcast). No task sees all rows; many rows of one first key share a task.
+    Rows are dealt by range, sorted and written, one file a range. A row's number is its place in its file behind the
+    sizes of the files before it (a row a file, broadcast). No window sees all rows, and the plan has the same size however
+    many ranges there are. Ties on the first keys spread over ranges by the later ones.
     """
-    spark = frame.sparkSession
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = frame.withColumn("_key", order[0])
-    rows = keyed.count()
-    part = keyed.where("_key IS NOT NULL").select("_key")
-    part = part.sample(min(1.0, 40 * buckets / rows), seed=1) if rows else part
-    sample = sorted(r[0] for r in part.limit(80 * buckets).collect())  # a bounded sample
-    cuts = sorted({sample[len(sample) * i // buckets] for i in range(1, buckets)}) if sample else []
-    dealt = keyed.withColumn("_bucket", F.when(F.col("_key").isNull(), -1).otherwise(_bucket(F.col("_key"), cuts)))
-    sizes = dealt.groupBy("_bucket").agg(F.count("*").alias("_size"))
-    before = F.coalesce(F.sum("_size").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("_bucket", before.alias("_before"))  # `buckets` + 1 rows at most
-    inner = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
-    out = dealt.withColumn("_inner", inner).join(F.broadcast(offsets), "_bucket")
-    return out.withColumn(name, (F.col("_inner") + F.col("_before")).cast("long")).drop("_bucket", "_key", "_inner", "_before")
+    spark, path = frame.sparkSession, new_path(frame.sparkSession, "numbered")
+    frame.repartitionByRange(*order).sortWithinPartitions(*order).write.option("maxRecordsPerFile", 0).parquet(path)
+    file = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int")
+    rows = spark.read.schema(frame.schema).parquet(path).select("*", file.alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    sizes = rows.groupBy("_file").agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_file", before.alias("_before"))  # a row a file
+    out = rows.join(F.broadcast(offsets), "_file")
+    return out.select(*frame.columns, (F.col("_before") + F.col("_row") + 1).alias(name))
 
 
 def by_index(frame: DataFrame, indexes: DataFrame, row_id: str = "row_id") -> DataFrame:

@@ -3,8 +3,6 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import new_path
-
 
 def ranked(candidates: DataFrame, id: str, pos: str, score: str) -> DataFrame:
     """id, ranking: each item's candidate numbers (1-based positions), best score first, ties in input order."""
@@ -67,39 +65,60 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return last.where("_rank = 1").drop("_new", "_rank")
 
 
+def _names(pairs: str) -> Column:
+    """The names in an array of pairs (w, l)."""
+    return F.array_distinct(F.concat(F.transform(pairs, lambda e: e["w"]), F.transform(pairs, lambda e: e["l"])))
+
+
+def _closed(pairs: str) -> Column:
+    """The transitive closure of an array of pairs (w, l), name by name (Warshall): after each name, chains through it are
+    in. A sample's names are few, so this stays within its row."""
+
+    def through(known, name):
+        above = F.filter(known, lambda e: e["l"] == name)
+        below = F.filter(known, lambda e: e["w"] == name)
+        chains = F.flatten(F.transform(above, lambda a: F.transform(below, lambda b: F.struct(a["w"].alias("w"), b["l"].alias("l")))))
+        return F.array_union(known, chains)
+
+    return F.aggregate(_names(pairs), F.col(pairs), through)
+
+
+def decided(comparisons: DataFrame, id: str = "sample_id") -> DataFrame:
+    """id, w, l of the comparisons (x, y, preferred: 1 for x, -1 for y) that have a winner."""
+    won = F.when(F.col("preferred") == 1, F.col("x")).otherwise(F.col("y"))
+    lost = F.when(F.col("preferred") == 1, F.col("y")).otherwise(F.col("x"))
+    return comparisons.where(F.col("preferred").isin(1, -1)).select(id, won.alias("w"), lost.alias("l"))
+
+
 def tournament(comparisons: DataFrame, id: str = "sample_id") -> DataFrame:
     """id, ranking (names, best first), status.
 
-    `comparisons` has x, y and preferred (1 for x, -1 for y, else none). A sample has a ranking when its decided
-    comparisons order all its names: each pair once, and wins of n-1, n-2, ..., 0. A set that is complete but has other wins
-    is 'cyclic'; one with pairs missing or undecided is 'incomplete'. Both have a null ranking.
+    `comparisons` has x, y and preferred (1 for x, -1 for y, else none). Comparisons that follow from others need not be
+    there: a sample has a ranking ('ranked') when the closure of its decided comparisons orders all its names. If the
+    closure puts a name over itself, the sample is 'cyclic'; if names are left whose order does not follow, 'incomplete'.
+    Both have a null ranking.
     """
-    decided = comparisons.where(F.col("preferred").isin(1, -1))
-    won = F.when(F.col("preferred") == 1, F.col("x")).otherwise(F.col("y"))
-    lost = F.when(F.col("preferred") == 1, F.col("y")).otherwise(F.col("x"))
-    edges = decided.select(id, won.alias("w"), lost.alias("l")).distinct()
-    names = comparisons.select(id, F.explode(F.array("x", "y")).alias("name"), F.lit(0).alias("win"))
-    wins = names.distinct().unionByName(edges.select(id, F.col("w").alias("name"), F.lit(1).alias("win"))).groupBy(id, "name").agg(F.sum("win").alias("wins"))
-    order = F.array_sort(F.collect_list(F.struct((-F.col("wins")).alias("w"), "name")))
-    per = wins.groupBy(id).agg(order.alias("o"), F.sum("wins").alias("total"), F.count("*").alias("n"), F.countDistinct("wins").alias("levels"))
-    full = F.col("total") >= F.col("n") * (F.col("n") - 1) / 2
-    good = (F.col("total") == F.col("n") * (F.col("n") - 1) / 2) & (F.col("levels") == F.col("n"))
-    status = F.when(good, "ranked").when(full, "cyclic").otherwise("incomplete")
-    return per.select(id, F.when(good, F.transform("o", lambda x: x["name"])).alias("ranking"), status.alias("status"))
-
-
-def closure(edges: DataFrame, id: str = "sample_id", depth: int | None = None) -> DataFrame:
-    """id, w, l: who beats whom over chains of comparisons; (a, a) tells a cycle. Each round doubles the chains' length and
-    is a written table; it ends once the edges no longer grow, or after `depth` rounds."""
-    spark, size, rounds = edges.sparkSession, -1, 0
-    edges = edges.select(id, "w", "l").distinct()
-    while True:
-        path = new_path(spark, "closure")
-        edges.write.parquet(path)
-        edges = spark.read.schema(edges.schema).parquet(path)
-        before, size = size, edges.count()
-        if size == before or rounds == depth:
-            return edges
-        step = edges.alias("a").join(edges.alias("b"), (F.col(f"a.{id}") == F.col(f"b.{id}")) & (F.col("a.l") == F.col("b.w")))
-        edges = edges.union(step.select(F.col(f"a.{id}"), F.col("a.w"), F.col("b.l"))).distinct()
-        rounds += 1
+    named = comparisons.groupBy(id).agg(F.array_distinct(F.flatten(F.collect_set(F.array("x", "y")))).alias("names"))
+    pairs = decided(comparisons, id).groupBy(id).agg(F.collect_set(F.struct("w", "l")).alias("pairs"))
+    per = named.join(pairs, id, "left").withColumn("pairs", F.coalesce("pairs", F.array().cast("array<struct<w:string,l:string>>")))
+    per = per.withColumn("known", _closed("pairs"))
+    n = F.size("names")
+    cyclic = F.exists("known", lambda e: e["w"] == e["l"])
+    total = F.size("known") == n * (n - 1) / 2
+    beaten = lambda name: F.size(F.filter("known", lambda e: e["w"] == name))
+    order = F.transform(F.array_sort(F.transform("names", lambda x: F.struct((-beaten(x)).alias("b"), x.alias("name")))), lambda x: x["name"])
+    status = F.when(cyclic, "cyclic").when(total, "ranked").otherwise("incomplete")
+    return per.select(id, F.when(~cyclic & total, order).alias("ranking"), status.alias("status"))
+
+
+def closure(edges: DataFrame, id: str = "sample_id") -> DataFrame:
+    """id, w, l: who beats whom over chains of comparisons of any length; (a, a) tells a cycle."""
+    per = edges.groupBy(id).agg(F.collect_set(F.struct("w", "l")).alias("pairs"))
+    return per.select(id, F.explode(_closed("pairs")).alias("e")).select(id, "e.w", "e.l")
+
+
+def undecided(pairs: DataFrame, comparisons: DataFrame, id: str = "sample_id") -> DataFrame:
+    """Of pairs (id, x, y, ...), those whose order does not follow from the decided comparisons: what a judge still has to see."""
+    known = closure(decided(comparisons, id), id)
+    either = known.select(id, F.col("w").alias("x"), F.col("l").alias("y")).unionByName(known.select(id, F.col("l").alias("x"), F.col("w").alias("y")))
+    return pairs.join(either.distinct(), [id, "x", "y"], "left_anti")

@@ -53,6 +53,25 @@ def perplexity(rows: DataFrame, log_prob: str) -> DataFrame:
     return rows.agg(F.exp(F.least(-F.avg(log_prob), F.lit(math.log(1e5)))).alias("perplexity"))
 
 
+def label_log_probs(logits: Column, labels: Column) -> Column:
+    """An array of the log-probability of each label that counts, from a row of logits a place (log-softmax, shifted by its
+    largest logit so that it does not overflow)."""
+    pairs = F.filter(F.arrays_zip(logits.alias("logits"), labels.alias("label")), lambda x: x["label"] != IGNORED)
+
+    def one(x):
+        top = F.array_max(x["logits"])
+        total = F.aggregate(x["logits"], F.lit(0.0).cast("double"), lambda a, v: a + F.exp(v.cast("double") - top))
+        return F.get(x["logits"], x["label"]).cast("double") - top - F.log(total)
+
+    return F.transform(pairs, one)
+
+
+def perplexity_of_logits(rows: DataFrame, logits: str, labels: str) -> DataFrame:
+    """One row: perplexity over all active labels of all rows; each row's own labels pick its own logits."""
+    each = rows.select(F.explode(label_log_probs(F.col(logits), F.col(labels))).alias("log_prob"))
+    return perplexity(each, "log_prob")
+
+
 def cross_encoder_ids(document: Column, hypothesis: Column, sep: int, eos: int) -> Column:
     """The ids a cross-encoder scores: document, separator, hypothesis, end."""
     return F.concat(document, F.array(F.lit(sep)), hypothesis, F.array(F.lit(eos)))

@@ -1,5 +1,6 @@
 """Token-by-token decoding around a model's logits, with n-gram blocking and rank-band sampling."""
 
+from collections import defaultdict
 from collections.abc import Callable
 
 import numpy as np
@@ -65,22 +66,24 @@ SAMPLERS = {"top10_30": lambda seed=0: BandSampler(10, 30, 300, seed), "noninflu
 
 def decode(logits: Callable[[list[list[int]], list[int]], np.ndarray], rows: int, start: int, end: int, longest: int = 300, block: int = 0, sampler: Callable | None = None) -> list[list[int]]:
     """Sequences of `rows` rows. `logits(sequences, rows)` is asked for the rows that are still alive only; a row ends with
-    `end` or after `longest` new tokens. No n-gram of `block` tokens comes twice in a row (0 or 1: no blocking)."""
-    sequences = [[start] for _ in range(rows)]
-    seen = [Trie() for _ in range(rows)]
-    alive = list(range(rows))
+    `end` or after `longest` new tokens. No n-gram of `block` tokens comes twice in a row (0 or 1: no blocking); a row whose
+    tokens are all blocked ends."""
+    texts = {i: [start] for i in range(rows)}
+    follows: dict[tuple, set[int]] = defaultdict(set)  # row and its last block - 1 tokens -> what has followed them
+    alive = list(texts)
     for _ in range(longest):
         if not alive:
             break
-        scores = np.array(logits([sequences[i] for i in alive], alive), dtype=float)
+        table = np.array(logits([texts[i] for i in alive], alive), dtype=float)
         if block > 1:
-            for k, i in enumerate(alive):
-                if len(sequences[i]) >= block:
-                    scores[k, [x[-1] for x in seen[i].beginning(sequences[i][-(block - 1) :])]] = -1e20
-        chosen = sampler(scores) if sampler else scores.argmax(axis=-1)
-        for i, token in zip(alive, chosen.tolist()):
-            sequences[i].append(token)
-            if block > 1 and len(sequences[i]) >= block:
-                seen[i].add(sequences[i][-block:])
-        alive = [i for i in alive if sequences[i][-1] != end]
-    return sequences
+            for row, i in zip(table, alive):
+                row[list(follows[i, *texts[i][1 - block :]])] = -np.inf
+        stuck = np.isneginf(table).all(axis=1)
+        picked = sampler(table) if sampler else table.argmax(axis=-1)
+        for i, token, over in zip(alive, picked.tolist(), stuck.tolist()):
+            token = end if over else token
+            if block > 1 and len(texts[i]) >= block - 1:
+                follows[i, *texts[i][1 - block :]].add(token)
+            texts[i].append(token)
+        alive = [i for i in alive if texts[i][-1] != end]
+    return list(texts.values())

@@ -9,9 +9,10 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import filled, latex_escaped, preferred_name
-from ..operators import rouge
+from ..operators import ranking, rouge
 
 #: Length presets by dataset (output, input).
 PRESETS = {"vietnews": (200, None), "xsum": (80, 512), "cnndm": (120, 1024)}
@@ -55,7 +56,7 @@ class Overlap:
         for a, b in zip(first, second):
             words = (b or "").split()
             have = set((a or "").split())
-            out.append(round(sum(w in have for w in words) / len(words), 6) if words else 0.0)
+            out.append(sum(w in have for w in words) / len(words) if words else 0.0)
         return out
 
 
@@ -89,6 +90,34 @@ def scored(rows: DataFrame, model: Scorer, first: str, second: str, batch: int =
     return rows.mapInPandas(run, f"{ddl}, score double")
 
 
+def ranked_by_scorer(candidates: DataFrame, model: Scorer, id: str, pos: str, reference: str, hypothesis: str, batch: int = 64) -> DataFrame:
+    """id, ranking: each item's candidates (places from 1), best score first, ties in input order."""
+    each = scored(candidates.select(id, pos, reference, hypothesis), model, reference, hypothesis, batch)
+    return ranking.ranked(each.withColumn("score", F.round("score", 9)), id, pos, "score")
+
+
+class RewardModel(Protocol):
+    """Rewards triples of document, hypothesis and reference; `load` runs once a task."""
+
+    def load(self) -> None: ...
+
+    def reward(self, documents: list[str], hypotheses: list[str], references: list[str]) -> list[float]: ...
+
+
+def rewarded(rows: DataFrame, model: RewardModel, document: str, hypothesis: str, reference: str, batch: int = 64) -> DataFrame:
+    """`rows` with `reward`, from all three texts."""
+    kinds = T.StructType([*rows.schema.fields, T.StructField("reward", T.DoubleType())])
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model.load()
+        for pdf in parts:
+            for at in range(0, len(pdf), batch):
+                part = pdf.iloc[at : at + batch]
+                yield part.assign(reward=model.reward(*(part[c].tolist() for c in (document, hypothesis, reference))))
+
+    return rows.mapInPandas(run, kinds)
+
+
 def evaluated(pairs: DataFrame, id: str, hyp: str, ref: str, mode: str = "all", ns: tuple[int, ...] = (1, 2)) -> DataFrame:
     """One row: macro ROUGE (mode 'metric'), the mean ROUGE-1 reward ('reward'), or both ('all')."""
     if mode not in ("metric", "reward", "all"):

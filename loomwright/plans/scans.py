@@ -23,10 +23,10 @@ def _written_text(frame, spark, name: str) -> str:
     return path
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, source FROM documents WHERE text <> ''")
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, source FROM documents")
 def csv_scan(spark, sf_dir):
     path = new_path(spark, "csv")
-    writers.csv(table(spark, sf_dir, "documents").where("text <> ''").select(F.col("doc_id").cast("string"), "text", "source"), path)
+    writers.csv(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string"), "text", "source"), path)
     return readers.csv(spark, path, schema="doc_id string, text string, source string")
 
 
@@ -150,17 +150,19 @@ def listwise_judging(spark, sf_dir):
     return c.select("conv_id", F.element_at(text.ranking_reply(reply), 1).alias("best"))
 
 
-@query("SELECT event_type, CAST(list_sum(flatten(list(n))) AS BIGINT) AS total FROM (SELECT event_type, user_id, list(event_id % 5) AS n FROM events GROUP BY event_type, user_id) GROUP BY event_type")
+@query("SELECT user_id, CAST(count(*) AS INTEGER) AS n, CAST(sum(event_id % 5) AS BIGINT) AS total FROM events GROUP BY user_id")
 def flattened_lists(spark, sf_dir):
-    e = table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.collect_list(F.col("event_id") % 5).alias("n"))
-    nested = e.groupBy("event_type").agg(F.flatten(F.collect_list("n")).alias("xs"))
-    return nested.select("event_type", F.aggregate("xs", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    """A user's lists, one an event type, flattened into one."""
+    e = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.collect_list(F.col("event_id") % 5).alias("n"))
+    nested = e.groupBy("user_id").agg(F.flatten(F.collect_list("n")).alias("xs"))
+    return nested.select("user_id", F.size("xs").alias("n"), F.aggregate("xs", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
-@query("SELECT vec_id, CAST(len(embedding) - 1 AS INTEGER) AS n, round(CAST(embedding[2] AS DOUBLE), 6) AS first FROM embeddings")
+@query("SELECT vec_id, md5(array_to_string(list_transform(embedding[2:], lambda x: CAST(floor(CAST(x AS DOUBLE) * 1000000) AS BIGINT)), ',')) AS digest FROM embeddings")
 def labels_shifted_left(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", arrays.shifted_left(F.col("embedding")).alias("x"))
-    return rounded(e.select("vec_id", F.size("x").alias("n"), F.col("x")[0].cast("double").alias("first")), "first")
+    digits = F.transform("x", lambda v: F.floor(v.cast("double") * 1000000).cast("string"))
+    return e.select("vec_id", F.md5(F.array_join(digits, ",")).alias("digest"))
 
 
 @query("""WITH u AS (SELECT label, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * y)))) AS v FROM embeddings),

@@ -1,6 +1,7 @@
 """Settings, registries, and small driver-side helpers."""
 
 import dataclasses
+import hashlib
 import json
 import logging
 import uuid
@@ -75,6 +76,12 @@ def length_range(longest: int, lower: int) -> tuple[int, int]:
     return max(50, longest - 100), max(longest, lower + 50)
 
 
+def random_length(seed: int, batch: int, longest: int, lower: int) -> int:
+    """A batch's random output length within `length_range`, from the md5 of seed and batch, so that any engine repeats it."""
+    low, high = length_range(longest, lower)
+    return low + int(hashlib.md5(f"{seed}:{batch}".encode()).hexdigest()[:8], 16) % (high - low + 1)
+
+
 class JudgeError(Exception):
     """A judge's failure: the wrapped error's text and class, and whether it was graceful or unexpected."""
 

@@ -33,11 +33,12 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def csv(spark: SparkSession, path: str, header: bool = True, sep: str = ",", schema: str | None = None) -> DataFrame:
-    """RFC 4180 CSV as strings: quotes doubled inside quotes, line breaks inside quotes; a last record without a line end counts."""
+def csv(spark: SparkSession, path: str, header: bool = True, sep: str = ",", schema: str | None = None, line_breaks: bool = True) -> DataFrame:
+    """RFC 4180 CSV as strings: quotes doubled inside quotes, line breaks inside quotes; a last record without a line end counts.
+    A file whose fields may hold line breaks is one task; without `line_breaks` it is split."""
     if len(sep) != 1:
         raise ValueError("sep must be one character")
-    reader = spark.read.option("header", header).option("multiLine", True).option("quote", '"').option("escape", '"').option("sep", sep).option("inferSchema", False)
+    reader = spark.read.option("header", header).option("multiLine", line_breaks).option("quote", '"').option("escape", '"').option("sep", sep).option("inferSchema", False)
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
@@ -137,6 +138,12 @@ def document_store_uri(host: str, port: int, user: str | None = None, password:
     return f"mongodb://{login}{host}:{port}"
 
 
+def document_store(spark: SparkSession, uri: str, database: str, collection: str, schema: str) -> DataFrame:
+    """All documents of a collection. Needs the store's Spark connector on the class path; without it, Spark says so."""
+    reader = spark.read.format("mongodb").option("connection.uri", uri).option("database", database).option("collection", collection)
+    return reader.schema(schema).load()
+
+
 def mapped_strings(column: Column, kind: T.DataType, f) -> Column:
     """A nested value with `f` put on every string in it that is not empty; map keys, nulls and other types stay."""
     if isinstance(kind, T.StringType):

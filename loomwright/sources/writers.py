@@ -62,6 +62,13 @@ def both_formats(frame: DataFrame, path: str, kind: str) -> None:
         frame.write.parquet(f"{path}/records")
 
 
+def comparisons(frame: DataFrame, path: str) -> None:
+    """Comparisons as JSON lines, with sample_id, x and y as columns of their own; nulls are kept. A later run appends."""
+    if missing := {"sample_id", "x", "y", "preferred"} - set(frame.columns):
+        raise ValueError(f"comparisons need {sorted(missing)}")
+    jsonl(frame, path)
+
+
 def stats(spark, values: dict, path: str) -> None:
     """Appends one row of statistics."""
     spark.createDataFrame([(json.dumps(values, sort_keys=True),)], "value string").write.mode("append").text(path)
@@ -77,6 +84,7 @@ def latex_table(rows: DataFrame, order: list[Column], columns: list[str], layout
     if len(layout) != len(names):
         raise ValueError("the layout needs a width for each column")
     body = latex_lines(numbered(rows, order), "_n", columns, add_order).orderBy("_n")
+    # fixed values: the column layout of the printed table
     size = [rf"{x}\linewidth-2\tabcolsep-.6pt" for x in layout]
     spec = "".join(("P" if add_order and i == 0 else "p") + "{" + s + "}" for i, s in enumerate(size))
     bold = [rf"\textbf{{{n}}}" if add_order and i == 0 else rf"\multicolumn{{1}}{{P{{{s}}}}}{{\textbf{{{n}}}}}" for i, (n, s) in enumerate(zip(names, size))]

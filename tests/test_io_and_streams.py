@@ -7,6 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from loomwright.plans import jobs as tasks
 from loomwright.sources import readers, writers
 from loomwright.streaming import jobs
 
@@ -150,3 +151,47 @@ def test_windowed_stream(spark, sf, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("win").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_jobs_on_files(spark, tmp_path):
+    p = tmp_path / "in.jsonl"
+    p.write_text('{"id": 2, "text": "b"}\n{"id": 1, "text": "a c"}\n')
+    out = tasks.to_store(spark, str(p), f"{tmp_path}/store", "id long, text string", ["id"])
+    assert sorted((r.row_id, r.id) for r in out.collect()) == [(0, 1), (1, 2)]
+    first = tasks.pretokenized(spark, f"{tmp_path}/store", F.length, ["text"])
+    writers.records(spark.createDataFrame([(2, "later", 9)], "id long, text string, row_id long"), f"{tmp_path}/store", append=True)
+    again = tasks.pretokenized(spark, f"{tmp_path}/store", F.length, ["text"])
+    assert first.count() == again.count() == 2  # written once, then read
+    assert {r.id: r.pretokenized.text for r in again.collect()} == {1: 3, 2: 1}
+    p.write_text('{"id": 2, "text": "b"}\n{"id": \n')
+    with pytest.raises(Exception):
+        tasks.to_store(spark, str(p), f"{tmp_path}/none", "id long, text string", ["id"])
+    assert not (tmp_path / "none" / "_SUCCESS").exists()
+
+
+def test_command_line(spark, tmp_path, capsys):
+    p = tmp_path / "in.jsonl"
+    p.write_text("".join(f'{{"id": {i}}}\n' for i in range(20)))
+    tasks.main(["to-store", str(p), f"{tmp_path}/store", "--schema", "id long", "--order", "id"])
+    assert '"rows": 20' in capsys.readouterr().out
+    tasks.main(["split", f"{tmp_path}/store", f"{tmp_path}/split", "--eval-rows", "5"])
+    assert {r.split: r["count"] for r in spark.read.parquet(f"{tmp_path}/split").groupBy("split").count().collect()} == {"train": 15, "eval": 5}
+    with pytest.raises(SystemExit):
+        tasks.main(["--log-level", "loud", "split", "a", "b"])
+    spark.sparkContext.setLogLevel("OFF")
+
+
+def test_csv_without_line_breaks_is_split(spark, tmp_path):
+    writers.csv(spark.createDataFrame([("a,b", 'c"d'), ("", None)], "x string, y string"), f"{tmp_path}/c")
+    rows = [sorted(map(repr, readers.csv(spark, f"{tmp_path}/c", line_breaks=b).collect())) for b in (True, False)]
+    assert rows[0] == rows[1] and len(rows[0]) == 2
+
+
+def test_document_store_needs_its_connector(spark):
+    with pytest.raises(Exception, match="mongodb"):
+        readers.document_store(spark, readers.document_store_uri("h", 1), "d", "c", "x string").collect()
+
+
+def test_comparisons_need_their_columns(spark, tmp_path):
+    with pytest.raises(ValueError):
+        writers.comparisons(spark.range(1), f"{tmp_path}/c")

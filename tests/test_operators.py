@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomwright.functions import arrays
 from loomwright.operators import datasets, quality, ranking, rewards, rouge, training, vectors
-from loomwright.plans import decoding, generation, settings
+from loomwright.plans import decoding, generation, jobs, settings
 
 
 def python_rouge(h, r, n):
@@ -92,7 +92,71 @@ def test_tournaments(spark):
 def test_closure_of_long_chains(spark):
     chain = spark.createDataFrame([("s", f"{i:02}", f"{i + 1:02}") for i in range(40)], "sample_id string, w string, l string")
     assert ranking.closure(chain).count() == 41 * 40 // 2
-    assert ranking.closure(chain, depth=1).count() == 40 + 39
+    assert ranking.closure(spark.createDataFrame([], "sample_id string, w string, l string")).collect() == []
+
+
+def test_rankings_from_partial_comparisons(spark):
+    """Comparisons that follow need not be there; against a plain closure over random sets."""
+    rng = random.Random(2)
+    rows, want, skip = [("chain", "a", "b", 1), ("chain", "c", "b", -1), ("chain", "c", "d", 1)], {"chain": (["a", "b", "c", "d"], "ranked")}, {}
+    for s in range(60):
+        names = "abcdef"[: rng.randrange(2, 7)]
+        order = rng.sample(names, len(names))
+        known, seen = set(), set()
+        for i, x in enumerate(names):
+            for y in names[i + 1 :]:
+                if rng.random() < 0.6:
+                    p = rng.choice([1, 1, 1, 1, None, -1 if s % 5 == 0 else 1]) if order.index(x) < order.index(y) else -1
+                    rows.append((str(s), x, y, p))
+                    seen |= {x, y}
+                    known |= {(x, y)} if p == 1 else {(y, x)} if p == -1 else set()
+        while more := {(a, d) for a, b in known for c, d in known if b == c} - known:
+            known |= more
+        if seen:
+            cyclic, total = any(a == b for a, b in known), len(known) == len(seen) * (len(seen) - 1) // 2
+            best = sorted(seen, key=lambda x: (-sum(a == x for a, _ in known), x))
+            want[str(s)] = (None, "cyclic") if cyclic else (best, "ranked") if total else (None, "incomplete")
+        skip[str(s)] = {(x, y) for i, x in enumerate(names) for y in names[i + 1 :]} - known - {(b, a) for a, b in known}
+    frame = spark.createDataFrame(rows, "sample_id string, x string, y string, preferred int")
+    assert {r.sample_id: (r.ranking, r.status) for r in ranking.tournament(frame).collect()} == want
+    pairs = spark.createDataFrame([(s, "abcdef"[i], "abcdef"[j]) for s in skip for i in range(6) for j in range(i + 1, 6)], "sample_id string, x string, y string")
+    got = {}
+    for r in ranking.undecided(pairs, frame).collect():
+        got.setdefault(r.sample_id, set()).add((r.x, r.y))
+    assert all(skip[s] <= got.get(s, set()) for s in skip)
+    assert all(len(got.get(s, set()) & {(x, y) for x, y in skip[s]}) == len(skip[s]) for s in skip)
+
+
+def test_log_probs_and_perplexity_of_logits(spark):
+    rng = np.random.default_rng(1)
+    logits = rng.normal(size=(3, 4, 7)) * 50
+    labels = [[1, 6, -100, 0], [-100, 2, 2, 3], [5, 5, 5, 5]]
+    frame = spark.createDataFrame([(x.tolist(), y) for x, y in zip(logits, labels)], "logits array<array<double>>, labels array<int>")
+    flat = [x[y] - x.max() - np.log(np.exp(x - x.max()).sum()) for a, b in zip(logits, labels) for x, y in zip(a, b) if y != -100]
+    got = [v for r in frame.select(training.label_log_probs(F.col("logits"), F.col("labels")).alias("p")).collect() for v in r.p]
+    assert np.allclose(got, flat)
+    assert abs(training.perplexity_of_logits(frame, "logits", "labels").first()[0] - np.exp(min(-np.mean(flat), np.log(1e5)))) < 1e-6
+
+
+def test_transforms_by_name(spark):
+    frame = spark.createDataFrame([(1, "A b", "X")], "row_id long, text string, other string")
+    assert tuple(jobs.with_transforms(frame, {"text": "tokens"}).first()) == (1, ["a", "b"], "X")
+    assert datasets.lookup(frame, 1, transform={"other": F.lower}).first().other == "x"
+    with pytest.raises(KeyError):
+        jobs.with_transforms(frame, {"text": "none"})
+    with pytest.raises(ValueError):
+        jobs.with_transforms(frame, {"absent": "lower"})
+
+
+def test_random_lengths_and_bands(spark):
+    frame = jobs.batch_lengths(spark.range(200), "id", 300, 100, 7)
+    lengths = {r.id: r.max_length for r in frame.collect()}
+    assert lengths == {i: settings.random_length(7, i, 300, 100) for i in range(200)}
+    assert 200 <= min(lengths.values()) < 220 and 280 < max(lengths.values()) <= 300
+    rows = spark.createDataFrame([(i, [float((i * 7 + j * 3) % 11) for j in range(11)]) for i in range(40)], "id long, s array<double>")
+    for r in jobs.band_picks(rows, "s", "id", 2, 4, 3, 1).collect():
+        rank = sorted(range(11), key=lambda j: -r.s[j]).index(r.token) + 1
+        assert rank == 1 if (r.id + 1) % 4 == 0 else 2 <= rank <= 4
 
 
 def test_preferences(spark):
@@ -115,10 +179,15 @@ def test_numbering_and_batches(spark):
     got = {r.row_id: r._n for r in datasets.numbered(rows, [-F.col("row_id")]).collect()}
     assert got == {i: 1000 - i for i in range(1000)}
     tied = spark.range(5000).selectExpr("id AS row_id", "IF(id % 7 = 0, NULL, id % 3) AS k").repartition(3)
-    for buckets in (1, 2, 50):
-        got = {r.row_id: r._n for r in datasets.numbered(tied, [F.col("k"), F.col("row_id")], buckets=buckets).collect()}
-        order = sorted(range(5000), key=lambda i: (-1 if i % 7 == 0 else i % 3, i))
-        assert got == {i: n for n, i in enumerate(order, 1)}
+    order = sorted(range(5000), key=lambda i: (-1 if i % 7 == 0 else i % 3, i))
+    for width in ("1", "4", "50"):
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+        try:
+            frame = datasets.numbered(tied, [F.col("k"), F.col("row_id")])
+            assert {r.row_id: r._n for r in frame.collect()} == {i: n for n, i in enumerate(order, 1)}
+            assert frame.count() == 5000 and "CASE WHEN" not in frame._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert datasets.numbered(rows.where("false"), [F.col("row_id")]).collect() == []
     whole = datasets.batches(rows, 64, [F.col("row_id")]).groupBy("batch").count().orderBy("batch").collect()
     assert [r["count"] for r in whole] == [64] * 15 + [40]
