@@ -11,7 +11,8 @@ Three steps give a component for every distinct set; each keeps what it forms li
    sets that are not in one component yet, and a shingle whose sets are all in one is left out before the join.
 
 Every match is verified on the whole sets. Before that, a match goes if the sets' sizes, places in the prefix, or odd
-sketches (512 parities; each differing one takes a shingle that one set alone has) prove that too few are shared.
+sketches (parities of which each differing one takes a shingle that one set alone has) prove that too few are shared. The
+join across components compares sketches of 512 parities, the verification those of as many as a set has shingles.
 
 Any order of shingles gives the same result. Those that are frequent in a sample come last, as they give many matches.
 """
@@ -48,9 +49,14 @@ def simhash(h: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def sketch(h: np.ndarray) -> np.ndarray:
-    """Parities of how many hashes fall on each of 64 * _LANES places, as longs."""
-    odd = np.bincount((h >> np.uint64(55)).astype(np.int64), minlength=64 * _LANES) & 1
+def lanes_for(n: int) -> int:
+    """The power of two that gives a set of n a fine sketch of n to 2 n places, _LANES at least."""
+    return max(_LANES, 1 << max(0, (n - 1) // 64).bit_length())
+
+
+def sketch(h: np.ndarray, lanes: int = _LANES) -> np.ndarray:
+    """Parities of how many hashes fall on each of 64 * lanes places, as longs. A sketch of half the lanes is both halves' xor."""
+    odd = np.bincount((h & np.uint64(64 * lanes - 1)).astype(np.int64), minlength=64 * lanes) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -73,7 +79,8 @@ def _frequent(documents: DataFrame, shingle: int) -> np.ndarray:
 
 
 def sets(spark: SparkSession, documents: DataFrame, text: str, id: str, ws: Workspace, shingle: int = SHINGLE) -> DataFrame:
-    """rid, doc_id, fp (a hash of the whole set), n (its size), sim (its SimHash), sketch, prefix: one row a row of documents."""
+    """rid, doc_id, fp (a hash of the whole set), n (its size), sim (its SimHash), sketch, fine (a longer one), prefix: one row
+    a row of documents."""
     frequent = spark.sparkContext.broadcast(_frequent(has_columns(documents, text=(text, "string")), shingle))
 
     def start():
@@ -81,21 +88,22 @@ def sets(spark: SparkSession, documents: DataFrame, text: str, id: str, ws: Work
 
         def step(columns):
             rids, ids, texts = columns
-            fps, sizes, sims, sketches, prefixes = [], [], [], [], []
+            fps, sizes, sims, sketches, fine, prefixes = [], [], [], [], [], []
             for x in texts:
                 h = shingles(x, shingle)
                 fps.append(xxhash.xxh3_64_intdigest(h.tobytes()))
                 sizes.append(len(h))
                 sims.append(simhash(h))
                 sketches.append(sketch(h))
+                fine.append(sketch(h, lanes_for(len(h))))
                 last = late[np.minimum(np.searchsorted(late, h), len(late) - 1)] == h if len(late) else np.zeros(len(h), bool)
                 prefixes.append(np.concatenate((h[~last], h[last]))[: prefix_length(len(h))].view(np.int64))
-            return [rids, ids, np.array(fps, np.uint64).view(np.int64), sizes, np.array(sims, np.uint64).view(np.int64), sketches, prefixes]
+            return [rids, ids, np.array(fps, np.uint64).view(np.int64), sizes, np.array(sims, np.uint64).view(np.int64), sketches, fine, prefixes]
 
         return step
 
     rows = documents.select(row_key(id, text).alias("rid"), F.col(f"`{id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    return ws.table(map_columns(rows, start, "rid binary, doc_id long, fp long, n int, sim long, sketch array<long>, prefix array<long>"), "sets")
+    return ws.table(map_columns(rows, start, "rid binary, doc_id long, fp long, n int, sim long, sketch array<long>, fine array<long>, prefix array<long>"), "sets")
 
 
 def _apart(a: str, b: str) -> str:
@@ -103,13 +111,20 @@ def _apart(a: str, b: str) -> str:
     return " + ".join(f"bit_count({a}.sketch[{i}] ^ {b}.sketch[{i}])" for i in range(_LANES))
 
 
+def _apart_finely(u: str, v: str) -> str:
+    """The same of two sketches of any lengths, each folded to the shorter one's."""
+    lanes = f"least(size({u}), size({v}))"
+    folded = lambda x: f"aggregate(sequence(i, size({x}) - 1, {lanes}), 0L, (y, j) -> y ^ {x}[j])"
+    return f"aggregate(transform(sequence(0, {lanes} - 1), i -> bit_count({folded(u)} ^ {folded(v)})), 0, (a, x) -> a + x)"
+
+
 class Similar:
     """Components of the distinct sets of `marked` (what `sets` gives); `linked` matches fingerprints by multi-index hashing."""
 
     def __init__(self, documents: DataFrame, text: str, id: str, marked: DataFrame, ws: Workspace, linked: Callable, shingle: int = SHINGLE):
         self.documents, self.text, self.id, self.ws, self.shingle = documents, text, id, ws, shingle
         least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("least")
-        first = (F.first(c).alias(c) for c in ("n", "sim", "sketch", "prefix"))  # equal for all rows of a set
+        first = (F.first(c).alias(c) for c in ("n", "sim", "sketch", "fine", "prefix"))  # equal for all rows of a set
         self.one = ws.table(marked.groupBy("fp").agg(least, F.min("rid").alias("rid"), *first), "one")
         self.index = self._index()
         found = ws.table(self._verified(self._by_fingerprint(linked).union(self._by_hub()).distinct(), "first"), "found")
@@ -152,8 +167,8 @@ class Similar:
 
     def _verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """Those pairs whose whole sets are similar."""
-        side = lambda c: self.one.select(F.col("fp").alias(c), F.struct("n", "sketch").alias(f"of_{c}"))
-        likely = pairs.join(side("u"), "u").join(side("v"), "v").where(F.expr(f"9 * ({_apart('of_u', 'of_v')}) <= of_u.n + of_v.n"))
+        side = lambda c: self.one.select(F.col("fp").alias(c), F.struct("n", "fine").alias(f"of_{c}"))
+        likely = pairs.join(side("u"), "u").join(side("v"), "v").where(F.expr(f"9 * {_apart_finely('of_u.fine', 'of_v.fine')} <= of_u.n + of_v.n"))
         near = self.ws.table(likely.select("u", "v"), f"{name}_pairs")
         nodes = near.select(F.col("u").alias("fp")).union(near.select(F.col("v").alias("fp"))).distinct()
         chosen = self.ws.table(self.one.select("fp", "rid").join(nodes, "fp"), f"{name}_nodes")

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -183,3 +184,21 @@ def test_similar_rows_with_clashing_columns_and_nulls(spark):
     ids = [r.doc_id for r in kept.collect()]
     assert 1 in ids and 2 not in ids and 3 not in ids and ids.count(13) == 1 and kept.where("doc_id IN (4, 5, 6)").count() == 1
     assert simhash.deduplicated(spark, empty(spark), similar_by=5).collect() == []
+
+
+def test_sketches_never_overstate(spark):
+    rng = random.Random(6)
+    values = np.array([rng.getrandbits(64) for _ in range(3000)], np.uint64)
+    rows, want = [], []
+    for k in range(40):
+        a = np.unique(values[rng.sample(range(3000), rng.choice([0, 1, 40, 300, 2000]))])
+        b = np.unique(np.concatenate((a[: len(a) * rng.randrange(5) // 4], values[rng.sample(range(3000), rng.choice([0, 3, 700]))])))
+        lanes = [similar.lanes_for(len(x)) for x in (a, b)]
+        assert all(n == 8 or 64 * n >= len(x) > 32 * n for n, x in zip(lanes, (a, b)))
+        rows.append((k, *(similar.sketch(x, n).tolist() for x, n in zip((a, b), lanes))))
+        least = min(lanes)
+        same = similar.sketch(a, least) ^ similar.sketch(b, least)
+        want.append(sum(bin(int(x) % 2**64).count("1") for x in same))
+        assert want[-1] <= len(set(a.tolist()) ^ set(b.tolist()))
+    got = spark.createDataFrame(rows, "k int, u array<long>, v array<long>").select("k", F.expr(similar._apart_finely("u", "v")).alias("d"))
+    assert [r.d for r in got.orderBy("k").collect()] == want
