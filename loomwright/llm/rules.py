@@ -54,9 +54,9 @@ def count_text(text: bytes | None) -> tuple[int, int, int, int, int]:
 def judged(documents: DataFrame, text: str = "text", id: str = "doc_id", host: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
     """doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_rate, kept.
 
-    One row a row of documents. Null text counts as empty and fails the base rules; null hosts are one host; repeated
-    rows count as often as they occur; a single host has the raw corpus rate; an empty table gives an empty result.
-    Columns besides the three are not read.
+    One row a row of documents. Null text counts as empty and fails the base rules; very long texts are counted whole; null
+    hosts are one host; repeated rows count as often as they occur; a single host, or hosts of one rate, have the raw mean
+    rate; an empty table gives an empty result. Columns besides the three are not read, whatever their names.
     """
 
     def start():
@@ -84,7 +84,8 @@ def host_rates(judged_rows: DataFrame) -> DataFrame:
     least one; where v is zero, the rate is m.
     """
     hosts = judged_rows.groupBy(F.col("host").alias("of_host")).agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("bad"))
-    fit = hosts.agg(F.avg(F.col("bad") / F.col("n")).alias("m"), F.var_pop(F.col("bad") / F.col("n")).alias("v"))  # one row
-    weight = F.greatest(F.col("m") * (1 - F.col("m")) / F.col("v") - 1, F.lit(1.0))
-    rate = F.when(F.col("v") > 0, (F.col("bad") + weight * F.col("m")) / (F.col("n") + weight)).otherwise(F.col("m"))
-    return hosts.join(F.broadcast(fit)).select("of_host", rate.alias("host_rate"))  # the fit is one row
+    m, v = hosts.agg(F.avg(F.col("bad") / F.col("n")), F.var_pop(F.col("bad") / F.col("n"))).first()  # one row, nulls without hosts
+    if not v:
+        return hosts.select("of_host", F.lit(m).cast("double").alias("host_rate"))
+    weight = max(m * (1 - m) / v - 1, 1.0)
+    return hosts.select("of_host", ((F.col("bad") + weight * m) / (F.col("n") + weight)).alias("host_rate"))
