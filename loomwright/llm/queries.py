@@ -152,7 +152,28 @@ FROM based b JOIN rates r ON r.source IS NOT DISTINCT FROM b.source
 
 
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.scored(spark, _table(spark, sf_dir, "documents"))
+    rows = lm.scored(spark, _table(spark, sf_dir, "documents"))
+    return rows.withColumns({c: F.round(c, 6) for c in ("log_score", "mean_log_score")})  # sums depend on their order in the last bits
+
+
+OP10_SQL = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), words AS (
+  SELECT r, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS b FROM texts
+), pairs AS (
+  SELECT r, i, b, lag(b) OVER (PARTITION BY r ORDER BY i) AS a FROM words
+), ones AS (
+  SELECT b AS w, count(*) AS c FROM words GROUP BY b
+), twos AS (
+  SELECT a, b, count(*) AS c FROM pairs WHERE a IS NOT NULL GROUP BY a, b
+), scored AS (
+  SELECT r, sum(CASE WHEN p.a IS NULL THEN ln(y.c / n) WHEN t.c >= 2 THEN ln(t.c / x.c) ELSE ln(0.4 * y.c / n) END) AS s
+  FROM pairs p JOIN ones y ON y.w = p.b LEFT JOIN ones x ON x.w = p.a LEFT JOIN twos t ON t.a = p.a AND t.b = p.b, (SELECT count(*) AS n FROM words) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(s, 0.0), 6) AS log_score, round(s / len(w), 6) AS mean_log_score FROM texts LEFT JOIN scored USING (r)
+"""
 
 
 def queries() -> dict:
@@ -165,5 +186,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    sql = {"op2_chat": OP2_SQL, "op3_substring": OP3_SQL, "op9_rules": OP9_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    sql = {"op2_chat": OP2_SQL, "op3_substring": OP3_SQL, "op9_rules": OP9_SQL, "op10_lm": OP10_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {k: v for k, v in sql.items() if v}
