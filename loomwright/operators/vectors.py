@@ -53,6 +53,13 @@ def cosine_reward(frame: DataFrame, a: str, b: str, scale: float = 5.0) -> DataF
     return frame.withColumn("reward", cosine(F.col(a), F.col(b)) * scale)
 
 
+def anchored_reward(frame: DataFrame, anchor: str, document: str, reference: str, hypothesis: str, scale: float = 5.0) -> DataFrame:
+    """`frame` with `reward`: the scaled cosine of a hypothesis and its anchor, which is the document's or the reference's vector."""
+    if anchor not in ("document", "reference"):
+        raise ValueError(f"unknown anchor {anchor!r}")
+    return cosine_reward(frame, document if anchor == "document" else reference, hypothesis, scale)
+
+
 def _matched(hyp: np.ndarray, ref: np.ndarray, rows: int = 1024) -> tuple[float, float]:
     """Mean best cosines of either side's vectors, in blocks of `rows`, so that long texts need no whole matrix."""
     if not len(hyp) or not len(ref):

@@ -208,9 +208,9 @@ def dataset_slice(spark, sf_dir):
     return datasets.sliced(_ordinal(spark, sf_dir), 10, 500, 7).select("row_id", "n_chars")
 
 
-@query("SELECT doc_id AS row_id, lang, source, n_chars FROM documents")
+@query("SELECT doc_id AS row_id, lang, source, n_chars FROM documents ORDER BY doc_id")
 def dataset_scan(spark, sf_dir):
-    return _ordinal(spark, sf_dir).select("row_id", "lang", "source", "n_chars")
+    return _ordinal(spark, sf_dir).select("row_id", "lang", "source", "n_chars").orderBy("row_id")
 
 
 @query("SELECT doc_id AS row_id, text FROM documents ORDER BY doc_id LIMIT 200")

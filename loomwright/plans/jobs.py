@@ -71,6 +71,17 @@ def batch_lengths(batches: DataFrame, batch: str, longest: int, lower: int, seed
     return batches.withColumn("max_length", (F.lit(low) + number % (high - low + 1)).cast("int"))
 
 
+def assigned(requests: DataFrame, keys: DataFrame, workers: int, number: str, key: str, seed: int) -> DataFrame:
+    """`requests` (numbered from 0) with `worker` and `key`: workers take turns, and each hands its keys round in an order of its
+    own, by md5 of seed, worker and key. Keys are names; secrets stay out of tables."""
+    own = keys.select(F.col(key).alias("_key"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(workers - 1).cast("long"))).alias("worker"))
+    mixed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("worker").cast("string"), "_key"))
+    pools = own.groupBy("worker").agg(F.array_sort(F.collect_list(F.struct(mixed.alias("m"), "_key"))).alias("pool"))  # keys of one pool, `workers` rows
+    dealt = requests.withColumn("worker", F.col(number) % workers)
+    turn = (F.floor(F.col(number) / workers) % F.size("pool")).cast("int")
+    return dealt.join(F.broadcast(pools), "worker").withColumn("key", F.get("pool", turn)["_key"]).drop("pool")
+
+
 def latest_states(states: DataFrame, run: str, step: str) -> DataFrame:
     """The last state of each run, from a log of states."""
     rest = [c for c in states.columns if c not in (run, step)]

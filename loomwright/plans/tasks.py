@@ -289,3 +289,28 @@ SELECT k AS sequences, round(1 - m, 6) AS isotropy FROM r WHERE k % 3 = 0""")
 def isotropy_interim(spark, sf_dir):
     """Isotropy after every third sequence, as a long run reports it."""
     return rounded(vectors.interim(vectors.self_similarity(table(spark, sf_dir, "embeddings"), "label", "embedding"), "label", 3), "isotropy")
+
+
+_UNITS = "unit AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * y)))) AS v FROM embeddings)"
+_DOT = lambda a, b: f"list_sum(list_transform(range(1, len({a}.v) + 1), lambda i: {a}.v[i] * {b}.v[i]))"
+
+
+@query(f"""WITH {_UNITS} SELECT a.vec_id, round(5 * {_DOT('a', 'h')}, 6) AS by_document, round(5 * {_DOT('b', 'h')}, 6) AS by_reference
+FROM unit a JOIN unit b ON b.vec_id = a.vec_id + 1 JOIN unit h ON h.vec_id = a.vec_id + 2""")
+def anchored_reward(spark, sf_dir):
+    """Cosine rewards with either anchor, over three vectors in a row as document, reference and hypothesis."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    at = lambda k, name: e.select((F.col("vec_id") - k).alias("vec_id"), F.col("embedding").alias(name))
+    rows = at(0, "d").join(at(1, "r"), "vec_id").join(at(2, "h"), "vec_id")
+    for anchor in ("document", "reference"):
+        rows = vectors.anchored_reward(rows, anchor, "d", "r", "h").withColumnRenamed("reward", f"by_{anchor}")
+    return rounded(rows.select("vec_id", "by_document", "by_reference"), "by_document", "by_reference")
+
+
+@query(f"""WITH {PAIRS}, numbered AS (SELECT pair_id, row_number() OVER (ORDER BY pair_id) - 1 AS n FROM pairs),
+pools AS (SELECT w AS worker, list(r_name ORDER BY md5('3:' || w || ':' || r_name)) AS pool FROM region, (SELECT unnest(range(3)) AS w) GROUP BY w)
+SELECT pair_id, n % 3 AS worker, pool[1 + CAST((n // 3) % len(pool) AS INTEGER)] AS key FROM numbered JOIN pools ON worker = n % 3""")
+def worker_keys(spark, sf_dir):
+    """Requests dealt to three workers, each of which hands round its own order of keys."""
+    rows = datasets.numbered(article_pairs(spark, sf_dir).select("pair_id"), [F.col("pair_id")]).withColumn("n", F.col("_n") - 1)
+    return jobs.assigned(rows, table(spark, sf_dir, "region"), 3, "n", "r_name", 3).select("pair_id", "worker", "key")
