@@ -337,3 +337,31 @@ def test_settings():
 def test_error_types(spark):
     frame = spark.createDataFrame([(None,), ('{"code": 1}',), ("boom",)], "error string")
     assert [r.error_type for r in generation.classified_errors(frame).collect()] == [None, "graceful", "unexpected"]
+
+
+def test_anchors_and_worker_keys(spark):
+    frame = spark.createDataFrame([([1.0, 0.0], [0.0, 1.0], [1.0, 0.0])], "d array<double>, r array<double>, h array<double>")
+    got = [vectors.anchored_reward(frame, a, "d", "r", "h").first().reward for a in ("document", "reference")]
+    assert got == [5.0, 0.0]
+    with pytest.raises(ValueError):
+        vectors.anchored_reward(frame, "summary", "d", "r", "h")
+    requests, keys = spark.range(60).withColumnRenamed("id", "n"), spark.createDataFrame([(k,) for k in "abcd"], "k string")
+    rows = jobs.assigned(requests, keys, 3, "n", "k", 1).collect()
+    assert Counter(r.worker for r in rows) == {0: 20, 1: 20, 2: 20}
+    for w in range(3):
+        handed = [r.key for r in sorted(rows, key=lambda r: r.n) if r.worker == w]
+        assert handed[:4] * 5 == handed and sorted(handed[:4]) == list("abcd")
+    assert len({tuple(r.key for r in sorted(rows, key=lambda r: r.n) if r.worker == w)[:4] for w in range(3)}) > 1
+
+
+def test_models_by_triple_and_rankings_by_scorer(spark):
+    class Lengths:
+        def load(self): ...
+
+        def reward(self, documents, hypotheses, references):
+            return [float(len(a) + 10 * len(b) + 100 * len(c)) for a, b, c in zip(documents, hypotheses, references)]
+
+    frame = spark.createDataFrame([(1, "d", "hh", "rrr")], "id long, d string, h string, r string")
+    assert generation.rewarded(frame, Lengths(), "d", "h", "r").first().reward == 321.0
+    rows = spark.createDataFrame([(1, 0, "a b", "x"), (1, 1, "a b", "a"), (1, 2, "a b", "b")], "id long, pos int, ref string, hyp string")
+    assert generation.ranked_by_scorer(rows, generation.Overlap(), "id", "pos", "ref", "hyp").first().ranking == [2, 3, 1]
