@@ -11,11 +11,12 @@ their pieces through the one exchange, so that each shard gives whole sequences.
 
 import math
 from bisect import bisect_left, insort
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -57,13 +58,19 @@ class TokenPieces:
 
     def load(self) -> Callable[[list[bytes]], list[list[tuple[bytes, int]]]]:
         def cut(texts):
-            counts = self.tokens.counts(texts)
-            return [[(x, n)] if n <= self.capacity else self._cut(x.decode(), n) for x, n in zip(texts, counts)]
+            # texts that are surely or probably longer than a piece are encoded once, with their boundaries
+            long = [len(x) > 4 * self.capacity for x in texts]
+            counts = iter(self.tokens.counts([x for x, far in zip(texts, long) if not far]))
+            out = []
+            for x, far in zip(texts, long):
+                n = None if far else next(counts)
+                out.append([(x, n)] if n is not None and n <= self.capacity else self._cut(x.decode()))
+            return out
 
         return cut
 
-    def _cut(self, text: str, n: int) -> list[tuple[bytes, int]]:
-        at, before = self.tokens.boundaries(text)  # positions of pre-tokens, and the tokens before each
+    def _cut(self, text: str) -> list[tuple[bytes, int]]:
+        at, before, n = self.tokens.boundaries(text)  # positions of pre-tokens, the tokens before each, and all
         at, before = [*at, len(text)], [*before, n]
         out, i = [], 0
         while i < len(at) - 1:
@@ -132,7 +139,7 @@ def sequences(spark: SparkSession, documents: DataFrame, text: str = "text", id:
         (F.xxhash64(F.lower(F.col(f"`{text}`"))) if cluster is None else F.when(F.col(f"`{cluster}`").isNotNull(), F.xxhash64(F.col(f"`{cluster}`")))).alias("cluster"),
     )
     n, chars = rows.agg(F.count("*"), F.sum(F.length("text"))).first()
-    shards = max(1, math.ceil((n + (chars or 0) // (2 * capacity)) / shard_rows))
+    shards = max(1, math.ceil((n + (chars or 0) // (2 * capacity)) / shard_rows))  # a shard is a partition
     cutter = cutter or Words(capacity)
     schema = to_arrow_schema(schema_of(SEQUENCE))
 
@@ -156,9 +163,14 @@ def sequences(spark: SparkSession, documents: DataFrame, text: str = "text", id:
         return step
 
     pieces = map_columns(rows, start, "again int, doc_id long, piece int, piece_start long, length long, source long, cluster long, text string")
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "cluster", "again"), F.lit(shards))).drop("again")
+    pieces = pieces.repartition(shards, F.xxhash64("doc_id", "piece", "cluster", "again")).drop("again")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = list(batches)
+        if batches and sum(x.num_rows for x in batches):
+            yield from packed_shard(pa.Table.from_batches(batches), TaskContext.get().partitionId()).to_batches()
 
-    def pack(table: pa.Table) -> pa.Table:
+    def packed_shard(table: pa.Table, shard: int) -> pa.Table:
         table = table.sort_by([("length", "descending"), *((c, "ascending") for c in ("doc_id", "piece", "source", "cluster"))])
         length = table.column("length").to_numpy()
         some = int((length > 0).sum())  # sorted: those that have something to pack come first
@@ -167,14 +179,14 @@ def sequences(spark: SparkSession, documents: DataFrame, text: str = "text", id:
         order = np.argsort(b, kind="stable")
         _, first = np.unique(b[order], return_index=True)
         used = np.add.reduceat(length[order], first) if len(order) else length
-        bins = (b[order][first]) + (table.column("shard")[0].as_py() << 32)
+        bins = b[order][first] + (shard << 32)
         moved = table.take(pa.array(order)).combine_chunks()
         fields = schema.field("pieces").type.value_type
         items = pa.StructArray.from_arrays([_whole(moved.column(f.name)).cast(f.type) for f in fields], fields=list(fields))
         lists = pa.ListArray.from_arrays(pa.array([*first, len(order)], pa.int32()), items)
         return pa.Table.from_arrays([pa.array(bins, mask=used == 0), pa.array(used), lists.cast(schema.field("pieces").type)], schema=schema)
 
-    return pieces.groupBy("shard").applyInArrow(pack, SEQUENCE)
+    return pieces.mapInArrow(pack, SEQUENCE)
 
 
 def _whole(column: pa.ChunkedArray) -> pa.Array:

@@ -117,17 +117,15 @@ class Tokens:
         flush()
         return n
 
-    def boundaries(self, text: str) -> tuple[list[int], list[int]]:
-        """Positions of the starts of pre-tokens, in order, and the tokens before each. Without pre-tokens: the start alone."""
+    def boundaries(self, text: str) -> tuple[list[int], list[int], int]:
+        """Positions of the starts of pre-tokens, in order, the tokens before each, and all tokens. Without pre-tokens: the
+        start alone."""
         if self.plain:
-            return [0], [0]
-        tokenizer = _loaded(self.vocabulary)
-        if len(text) <= self.whole_chars:
-            marks = _boundaries(tokenizer.encode(text, add_special_tokens=False), 0)
-        else:
-            marks = {p: n for some, _ in spliced(tokenizer, text, self.whole_chars, self.overlap) for p, n in some.items()}
-        marks = {0: 0} | {p: n for p, n in marks.items() if p}
-        return list(marks), list(marks.values())
+            return [0], [0], self.counts([text.encode()])[0]
+        marks, n = {0: 0}, 0
+        for some, n in spliced(_loaded(self.vocabulary), text, self.whole_chars, self.overlap):
+            marks |= {p: k for p, k in some.items() if p}
+        return list(marks), list(marks.values()), n
 
 
 def token_counts(documents: DataFrame, vocabulary: str, text: str = "text", id: str = "doc_id", limit: int = 512, whole_chars: int = 100_000, overlap: int = 2_000) -> DataFrame:
