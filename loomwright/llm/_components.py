@@ -1,5 +1,7 @@
 """Connected components over a distributed edge table, by alternating stars."""
 
+from functools import partial
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 from ._workspace import Workspace
 
 
-def _forest(batches):
+def _forest(batches, names=("u", "v")):
     """Of each task's edges, a spanning forest as (node, smallest node): linear in nodes, however many edges there were."""
     parent: dict[int, int] = {}
 
@@ -25,7 +27,8 @@ def _forest(batches):
             if a != b:
                 parent[max(a, b)] = min(a, b)
     nodes = [x for x in parent if find(x) != x]
-    yield pd.DataFrame({"u": pd.Series(nodes, dtype="int64"), "v": pd.Series([find(x) for x in nodes], dtype="int64")})
+    columns = [pd.Series(nodes, dtype="int64"), pd.Series([find(x) for x in nodes], dtype="int64")]
+    yield pd.DataFrame(dict(zip(names, columns)))
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -38,14 +41,21 @@ def _stars(edges: DataFrame) -> DataFrame:
     return small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, ws: Workspace, name: str = "stars") -> DataFrame:
-    """node, root (the smallest node of its component) for every node that has an edge.
+#: Edges, some 2 MB, that one task may join.
+AT_ONCE = 100_000
+
+
+def components(edges: DataFrame, ws: Workspace, name: str = "stars", at_once: int = AT_ONCE) -> DataFrame:
+    """node, root (the smallest node of its component) for every node that has an edge, but for roots.
 
-    Each round's edges are a written table. A round leaves every node with one edge to its component's smallest node once
+    Each task first reduces its edges to a forest. If `at_once` edges are left at most, one task joins them; if more, rounds
+    of stars do, each of which is spread over all tasks. Each round's edges are a written table. A round leaves every node with one edge to its component's smallest node once
     nothing changes any more; rounds grow with the logarithm of the longest chain. Nothing is gathered on the driver but
     two sums.
     """
     now = ws.table(edges.mapInPandas(_forest, "u long, v long"), f"{name}/0")
+    if now.count() <= at_once:
+        return ws.table(now.coalesce(1).mapInPandas(partial(_forest, names=("node", "root")), "node long, root long"), f"{name}/whole")
     done, at = None, 0
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()

@@ -54,6 +54,12 @@ class Workspace:
     def read(self, name: str, schema) -> DataFrame:
         return self.spark.read.schema(schema).parquet(self.path(name))
 
+    def keep(self, *names: str) -> None:
+        """Frees all tables but these."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        found = root.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(root)
+        self.drop(*(n for x in found if (n := x.getPath().getName()) not in names))
+
     def drop(self, *names: str) -> None:
         jvm, hadoop = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:

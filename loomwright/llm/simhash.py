@@ -137,6 +137,7 @@ def deduplicated(spark: SparkSession, documents: DataFrame, text: str = "text",
     keep = kept.select(F.col("keep").alias("rid")).distinct().withColumn("keeps", F.lit(True))
     told = marked.groupBy("rid").agg(F.count("*").alias("n")).join(keep, "rid", "left")
     told = ws.table(told.where("keeps IS NULL OR n > 1").select("rid", F.coalesce("keeps", F.lit(False)).alias("keeps")), "told")
+    ws.keep("told")
     key = unused(documents, "rid")
     whole = documents.withColumn(key, row_key(id, text))
     rest = whole.join(small(told.select(F.col("rid").alias(key))), key, "left_anti").select(documents.columns)

@@ -81,12 +81,14 @@ def test_links_by_any_bucket_limit(spark, limit):
     assert got == want
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("at_once", [0, 100_000])
+def test_components_of_chains_and_stars(spark, at_once):
     ws = Workspace(spark, "t")
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(200, 201), (201, 200), (200, 202)]
     frame = ws.table(spark.createDataFrame(edges, "u long, v long").repartition(6), "e")
-    got = {r.node: r.root for r in components(frame, ws).collect()}
-    assert got == {**{i: 0 for i in range(1, 61)}, **{i: 100 for i in range(101, 160)}, 201: 200, 202: 200} | {k: v for k, v in got.items() if k == v}
+    got = {r.node: r.root for r in components(frame, ws, at_once=at_once).collect()}
+    assert got == {**{i: 0 for i in range(1, 61)}, **{i: 100 for i in range(101, 160)}, 201: 200, 202: 200}
+    assert components(ws.table(frame.where("false"), "none"), ws, "no", at_once).collect() == []
 
 
 def test_one_row_of_each_component_stays(spark):
@@ -161,10 +163,15 @@ def test_large_group_of_near_copies_against_all_pairs(spark):
     ws = Workspace(spark, "t")
     marked = similar.sets(spark, docs, "text", "doc_id", ws)
     found = similar.Similar(docs, "text", "doc_id", marked, ws, lambda c: simhash.links(c, ws))
+    ws.table(found.links, "links")
     assert sorted({r.component_id for r in found.kept().collect()}) == brute_similar(list(enumerate(texts)))
     sets = {i: set(similar.shingles(t.encode()).tolist()) for i, t in enumerate(texts)}
     similar_pairs = sum(10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]) for i in sets for j in range(i))
     assert spark.read.parquet(ws.path("first_pairs")).count() + spark.read.parquet(ws.path("second_pairs")).count() < similar_pairs / 2
+    ws.keep("links", "one")
+    assert spark.read.parquet(ws.path("links")).count() > 0
+    with pytest.raises(Exception):
+        spark.read.parquet(ws.path("index"))
 
 
 def test_repeated_rows_that_differ_elsewhere(spark):
