@@ -21,6 +21,15 @@ def schema_of(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """`frame` over all cores, if it is a scan of so few partitions that half of the cores or more would have none: files of few
+    row groups, whose texts are few then too. Larger inputs, and frames that are dealt already, stay as they are."""
+    execution, cores = frame._jdf.queryExecution(), frame.sparkSession.sparkContext.defaultParallelism
+    if execution.executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return frame
+    return frame.repartition(cores) if 0 < 2 * execution.toRdd().getNumPartitions() <= cores else frame
+
+
 def map_columns(frame: DataFrame, start: Callable, ddl: str, rows: int = 256) -> DataFrame:
     """mapInArrow over slices of `rows` rows. `start()` runs once a task and returns a function from a list of input
     columns (lists; strings come as UTF-8 bytes) to a list of output columns."""
@@ -35,7 +44,7 @@ def map_columns(frame: DataFrame, start: Callable, ddl: str, rows: int = 256) ->
                 out = step([c.to_pylist() for c in columns])
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow)
 
-    return frame.mapInArrow(run, schema)
+    return spread(frame).mapInArrow(run, schema)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -59,6 +68,11 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return mixed(out + np.uint64(n))
 
 
+def among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which keys a sorted table has."""
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys if len(known) else np.zeros(len(keys), bool)
+
+
 def has_columns(frame: DataFrame, **wanted: str) -> DataFrame:
     """Only the wanted columns, under the operator's own names, cast; other columns never reach the operator, so that
     their names cannot clash with its own."""
@@ -77,7 +91,7 @@ BROADCAST_ROWS = 500_000
 def small(table: DataFrame) -> DataFrame:
     """A written table of short rows, marked for a broadcast if it has BROADCAST_ROWS at most; a larger one is joined by
     an exchange of both sides."""
-    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
 def unused(frame: DataFrame, name: str) -> str:
@@ -100,4 +114,4 @@ def append_column(frame: DataFrame, text: str, values: Callable, name: str, kind
                 texts = part.column(at).cast(pa.string()).cast(pa.binary()).to_pylist()
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values(texts), type=arrow.field(name).type)], schema=arrow)
 
-    return frame.mapInArrow(run, schema)
+    return spread(frame).mapInArrow(run, schema)
