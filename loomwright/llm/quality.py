@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._labels import crc_mod, sampled
-from ._text import has_columns, map_columns
+from ._text import has_columns, map_columns, spread
 
 SAMPLE = 20_000
 FEATURES = 24
@@ -45,7 +45,7 @@ def statistics(text: bytes | None) -> list[float]:
     line_count = Counter(lines)
     freq = np.fromiter(count.values(), np.float64, len(count)) / n
     ended = sum(x.endswith((b".", b"!", b"?")) for x in words)
-    short = sum(1 for x in lengths if x <= 3) if n < 64 else int((lengths <= 3).sum())
+    short = int((lengths <= 3).sum())
     return [
         float(np.log1p(n)), float(np.log1p(size)), float(lengths.mean()), float(lengths.std()), float(lengths.max()),
         kinds[1] / ink, kinds[2] / ink, kinds[3] / ink, kinds[5] / ink, kinds[6] / ink, kinds[7] / ink,
@@ -127,7 +127,7 @@ class Quality:
 
     def __init__(self, spark: SparkSession, documents: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", id: str = "doc_id", learn=None, sample: int = SAMPLE):
         ids = sampled(labels, label, F.lit(True) if learn is None else learn, sample)
-        rows = has_columns(documents, doc_id=(id, "long"), text=(text, "string"))
+        rows = spread(has_columns(documents, doc_id=(id, "long"), text=(text, "string")))
         rows = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text")  # `sample` ids at most
 
         def start():

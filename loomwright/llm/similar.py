@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._text import gram_hashes, has_columns, map_columns, row_key, small, word_hashes
+from ._text import among, gram_hashes, has_columns, map_columns, row_key, small, word_hashes
 from ._workspace import Workspace
 
 SHINGLE = 5
 #: Texts and shingles of the sample that sets the order; they do not bear on the result.
-_TEXTS, _FREQUENT = 20_000, 65_535
+_TEXTS, _FREQUENT = 8_000, 65_535
 _LANES = 8
 _CHUNK = 50_000
 
@@ -96,7 +96,7 @@ def sets(spark: SparkSession, documents: DataFrame, text: str, id: str, ws: Work
                 sims.append(simhash(h))
                 sketches.append(sketch(h))
                 fine.append(sketch(h, lanes_for(len(h))))
-                last = late[np.minimum(np.searchsorted(late, h), len(late) - 1)] == h if len(late) else np.zeros(len(h), bool)
+                last = among(h, late)
                 prefixes.append(np.concatenate((h[~last], h[last]))[: prefix_length(len(h))].view(np.int64))
             return [rids, ids, np.array(fps, np.uint64).view(np.int64), sizes, np.array(sims, np.uint64).view(np.int64), sketches, fine, prefixes]
 

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._text import gram_hashes, map_columns, row_key, small, unused, word_hashes
+from ._text import among, gram_hashes, map_columns, row_key, small, unused, word_hashes
 from ._workspace import Workspace, partitions
 
 WINDOW, GRAM, BATCHES = 35, 10, 2
@@ -150,13 +150,15 @@ class SubstringDedup:
     def _match(self, entries: DataFrame) -> None:
         """Merge-joins a batch's fingerprints with history, notes the candidates, and compacts."""
         met = self.index.add(entries.select(F.explode(F.concat("hs", "own")).alias("h")))
-        probed = lambda rows, keys: rows.select(F.explode("hs").alias("h"), "rid").join(keys.select("h").hint("merge"), "h")
-        found = probed(entries, met)
+        probed = lambda rows, keys: rows.select(F.explode("hs").alias("h"), "rid").join(keys, "h")
+        found = probed(entries, met.select("h").hint("merge"))
         if self.entries:
             older = self.entries[0]
             for x in self.entries[1:]:
                 older = older.unionByName(x)
-            found = found.unionByName(probed(older, met.where("late")))
+            # a short batch has few of them, so that history's entries are read, but not shuffled
+            late = self.ws.table(met.where("late").select("h"), f"late_{len(self.hits)}")
+            found = found.unionByName(probed(older, small(late)))
         self.hits.append(self.ws.table(found.groupBy("rid").agg(F.collect_list("h").alias("hs")), f"hits_{len(self.hits)}"))
         self.entries.append(entries)
         self.index.compact()
@@ -208,48 +210,49 @@ class SubstringDedup:
     def drop(self) -> None:
         """Frees the index and the tables of candidates; results that were asked for stay readable."""
         self.index.drop()
-        self.ws.drop(*(f"{x}_{i}" for i in range(len(self.hits)) for x in ("hits", "entries")))
+        self.ws.drop(*(f"{x}_{i}" for i in range(len(self.hits)) for x in ("hits", "late", "entries")))
 
     def _verified(self, held: DataFrame) -> DataFrame:
         window = self.window
         frequent = self.ws.spark.sparkContext.broadcast(self.index.frequent())  # FREQUENT a run at most
 
         def windows():
+            often = frequent.value
+
             def step(columns):
                 rids, raw, hs = columns
-                rare, often = [], []
+                out = []
                 for x, h in zip(raw, hs):
                     words = x.split()
                     at = fingerprints(words, window)[0].view(np.int64)
                     hit = np.flatnonzero(np.isin(at, np.array(h, np.int64)))
-                    many = np.isin(at[hit], frequent.value)
+                    many = among(at[hit], often)
                     line = b" ".join(words)
                     end = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
                     first = np.concatenate(([0], end[:-1] + 1))
-                    found: tuple[dict, dict] = ({}, {})
-                    for at, a, b, kind in zip(hit.tolist(), first[hit].tolist(), end[hit + window - 1].tolist(), many.tolist()):
+                    found: dict[bytes, dict] = {}
+                    for at, a, b, hot in zip(hit.tolist(), first[hit].tolist(), end[hit + window - 1].tolist(), many.tolist()):
                         digest = hashlib.blake2b(line[a:b], digest_size=16).digest()
-                        if (w := found[kind].get(digest)) is None:
-                            found[kind][digest] = {"digest": digest, "start": at, "more": None}
+                        if (w := found.get(digest)) is None:
+                            found[digest] = {"digest": digest, "start": at, "more": None, "often": hot}
                         else:
                             w["more"] = w["more"] or []
                             w["more"].append(at)
-                    rare.append(list(found[0].values()))
-                    often.append(list(found[1].values()))
-                return [rids, rare, often]
+                    out.append(list(found.values()))
+                return [rids, out]
 
             return step
 
-        kind = "array<struct<digest: binary, start: int, more: array<int>>>"
-        packed = self.ws.table(map_columns(held, windows, f"rid binary, rare {kind}, often {kind}"), "windows")
+        packed = self.ws.table(map_columns(held, windows, "rid binary, windows array<struct<digest: binary, start: int, more: array<int>, often: boolean>>"), "windows")
         # a row a text and distinct window, whatever often the text has it, so that a digest has no more rows than there are texts
-        each = lambda c: packed.select("rid", F.explode(c).alias("w")).select("rid", "w.start", "w.more", "w.digest")
+        each = packed.select("rid", F.explode("windows").alias("w")).select("rid", "w.*")
         n = F.sum(F.when(F.col("more").isNull(), 1).otherwise(1 + F.size("more")))
         # digests' counts and occurrences meet in the digest's hash partition: one exchange for both
-        rare = each("rare").withColumn("n", n.over(Window.partitionBy("digest"))).where("n > 1").drop("n")
-        # digests that many texts may have: counted map-side, then joined
-        counted = self.ws.table(each("often").groupBy("digest").agg(n.alias("n")).where("n > 1").select("digest"), "often")
-        twice = rare.unionByName(each("often").join(small(counted), "digest").select(rare.columns))
+        rare = each.where("NOT often").withColumn("n", n.over(Window.partitionBy("digest"))).where("n > 1").select("rid", "start", "more")
+        # digests that many texts may have: a table that is counted map-side, then joined
+        often = self.ws.table(each.where("often"), "often")
+        counted = self.ws.table(often.groupBy("digest").agg(n.alias("n")).where("n > 1").select("digest"), "counted")
+        twice = rare.unionByName(often.join(small(counted), "digest").select("rid", "start", "more"))
         starts = F.concat(F.collect_list("start"), F.flatten(F.collect_list("more")))  # a text's own windows
         marks = twice.groupBy("rid").agg(starts.alias("starts"))
 
@@ -270,7 +273,7 @@ class SubstringDedup:
 
         done = map_columns(held.select("rid", "text").join(marks, "rid"), cut, "rid binary, n_removed long, kept_sha256 string, kept string")
         out = self.ws.table(done, f"changed_{len(self.hits)}")
-        self.ws.drop("windows", "often")
+        self.ws.drop("windows", "often", "counted")
         return out
 
     def _rows(self, changed: DataFrame) -> DataFrame:

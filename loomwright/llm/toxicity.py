@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._labels import crc_mod, sampled
-from ._text import ODD, append_column, has_columns, map_columns, mixed, unused, word_hashes
+from ._text import ODD, append_column, has_columns, map_columns, mixed, spread, unused, word_hashes
 from ._workspace import Workspace
 
 PLACES = 1 << 20
@@ -87,7 +87,7 @@ class Toxicity:
 
     def __init__(self, spark: SparkSession, documents: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", id: str = "doc_id", learn=None, sample: int = SAMPLE, ftrl: Ftrl | None = None):
         ids = sampled(labels, label, F.lit(True) if learn is None else learn, sample)
-        rows = has_columns(documents, doc_id=(id, "long"), text=(text, "string"))
+        rows = spread(has_columns(documents, doc_id=(id, "long"), text=(text, "string")))
         rows = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text")  # `sample` ids at most
 
         def start():

@@ -3,6 +3,7 @@ import zlib
 
 import corpus_pipeline
 from loomwright.llm import decontaminate, queries
+from loomwright.llm._text import spread
 
 from .cases import empty, messy
 from .test_near_duplicates import brute_similar
@@ -65,3 +66,14 @@ def test_queries_are_registered(spark, sf):
     names = sorted(queries.queries(), key=lambda x: (len(x), x))
     assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11)) and "pipeline" in names
     assert zlib.crc32(b"0") >= 0 and set(queries.oracle_sql()) <= set(names)
+
+
+def test_small_scans_use_all_cores(spark, tmp_path):
+    docs = messy(spark, extra=False)
+    docs.coalesce(1).write.parquet(f"{tmp_path}/one")
+    docs.repartition(4).write.parquet(f"{tmp_path}/four")
+    read = lambda name: spark.read.parquet(f"{tmp_path}/{name}")
+    width = lambda frame: frame.rdd.getNumPartitions()
+    assert width(spread(read("one"))) == 4 and spread(read("one")).count() == docs.count()
+    dealt = read("one").repartition(1)
+    assert spread(dealt) is dealt
