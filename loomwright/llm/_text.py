@@ -84,8 +84,8 @@ def row_key(id: str, text: str) -> Column:
     return F.unhex(F.md5(F.concat(F.coalesce(F.col(f"`{id}`").cast("string"), F.lit("-")), F.lit("\0"), F.coalesce(F.col(f"`{text}`"), F.lit("")))))
 
 
-#: Rows of a table of keys that is broadcast: some 75 MB.
-BROADCAST_ROWS = 500_000
+#: Rows of a table of keys that is broadcast: some 30 MB.
+BROADCAST_ROWS = 200_000
 
 
 def small(table: DataFrame) -> DataFrame:

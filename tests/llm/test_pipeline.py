@@ -2,7 +2,7 @@ import re
 import zlib
 
 import corpus_pipeline
-from loomwright.llm import decontaminate, queries
+from loomwright.llm import _text, decontaminate, queries, simhash, substring
 from loomwright.llm._text import spread
 
 from .cases import empty, messy
@@ -68,6 +68,19 @@ def test_queries_are_registered(spark, sf):
     assert zlib.crc32(b"0") >= 0 and set(queries.oracle_sql()) <= set(names)
 
 
+def test_beyond_the_broadcasts_bound(spark, monkeypatch):
+    """The same results where tables of keys are too long to be broadcast."""
+    docs = messy(spark)
+    told = lambda frame: sorted(map(repr, frame.collect()))
+    results = []
+    for bound in (200_000, 0):
+        monkeypatch.setattr(_text, "BROADCAST_ROWS", bound)
+        dedup = substring.SubstringDedup(spark, docs)
+        results.append((told(simhash.deduplicated(spark, docs, similar_by=5)), told(dedup.applied(docs, length="n_chars")), told(dedup.rows)))
+        dedup.drop()
+    assert results[0] == results[1]
+
+
 def test_small_scans_use_all_cores(spark, tmp_path):
     docs = messy(spark, extra=False)
     docs.coalesce(1).write.parquet(f"{tmp_path}/one")
