@@ -4,7 +4,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, lm, packing, quality, rules, simhash, substring, tokens, toxicity
+import corpus_pipeline
+
+from . import chat, collocations, decontaminate, lm, packing, quality, rules, simhash, substring, tokens, toxicity
 
 #: The text of both turns of the extra conversation of the formatting query.
 EXTRA = r"\### Assistant: </turn> ok"
@@ -176,15 +178,47 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(s, 0.0), 6) AS
 """
 
 
-def queries() -> dict:
-    import corpus_pipeline
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(spark, _table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)
+), totals AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang
+), phrases AS (
+  SELECT lang, k, w[i:i + k - 1] AS w FROM (
+    SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT lang, w, unnest([1, 2, 3, 4]) AS k FROM pieces) WHERE len(w) >= k)
+), counted AS (
+  SELECT lang, k, array_to_string(w, ' ') AS phrase, any_value(w) AS w, count(*) AS f FROM phrases GROUP BY lang, k, phrase HAVING count(*) >= 30
+), cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, c.w, cut, array_to_string(c.w[1:cut], ' ') AS x, array_to_string(c.w[cut + 1:], ' ') AS y
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM counted WHERE k > 1) c
+), scored AS (
+  SELECT c.lang, c.phrase, a, cut, l.f AS l, r.f AS r, CAST((2000000::HUGEINT * a) // (l.f::HUGEINT + r.f) AS BIGINT) AS score
+  FROM cuts c JOIN counted l ON l.lang = c.lang AND l.phrase = x JOIN counted r ON r.lang = c.lang AND r.phrase = y
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), inner_phrases AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, f FROM (
+    SELECT lang, w, f, m, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM counted WHERE k > 2))
+), covers AS (
+  SELECT lang, phrase, max(f) AS f FROM inner_phrases GROUP BY lang, phrase
+), kept AS (
+  SELECT l.*, row_number() OVER (PARTITION BY l.lang ORDER BY score DESC, a DESC, l.phrase) AS rank
+  FROM lowest l LEFT JOIN covers c ON c.lang = l.lang AND c.phrase = l.phrase WHERE c.f IS NULL OR 100 * c.f < 80 * a
+)
+SELECT k.lang, rank, phrase, a, l, r, n, score FROM kept k JOIN totals t ON t.lang = k.lang WHERE rank <= 2000
+"""
 
-    own = (op1_packing, op2_chat, op3_substring, op4_quality, op5_decontaminate, op6_simhash, op7_tokens, op8_toxicity, op9_rules, op10_lm)
+
+def queries() -> dict:
+    own = (op1_packing, op2_chat, op3_substring, op4_quality, op5_decontaminate, op6_simhash, op7_tokens, op8_toxicity, op9_rules, op10_lm, op11_collocations)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    import corpus_pipeline
-
-    sql = {"op2_chat": OP2_SQL, "op3_substring": OP3_SQL, "op9_rules": OP9_SQL, "op10_lm": OP10_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    sql = {"op2_chat": OP2_SQL, "op3_substring": OP3_SQL, "op9_rules": OP9_SQL, "op10_lm": OP10_SQL, "op11_collocations": OP11_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {k: v for k, v in sql.items() if v}
