@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat, collocations, decontaminate, lm, packing, quality, rules, simhash, substring, tokens, toxicity
+from . import chat, collocations, decontaminate, lexical, lm, packing, quality, rules, simhash, substring, tokens, toxicity
 
 #: The text of both turns of the extra conversation of the formatting query.
 EXTRA = r"\### Assistant: </turn> ok"
@@ -214,11 +214,41 @@ SELECT k.lang, rank, phrase, a, l, r, n, score FROM kept k JOIN totals t ON t.la
 """
 
 
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.searched(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), sums AS (
+  SELECT count(*) FILTER (WHERE len(w) > 0) AS docs, CAST(sum(len(w)) AS BIGINT) AS total FROM texts
+), postings AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM texts) GROUP BY r, term
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM postings, sums GROUP BY term, docs
+), lengths AS (
+  SELECT r, doc_id, 100 - 25 + ((25 * CAST(len(w) AS BIGINT) * docs) // total) AS m FROM texts, sums WHERE len(w) > 0
+), asked AS (
+  SELECT i, item_id, term, count(*) AS times FROM (
+    SELECT i, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT row_number() OVER () AS i, * FROM benchmark)) GROUP BY i, item_id, term
+), scores AS (
+  SELECT i, item_id, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM asked JOIN postings USING (term) JOIN weights USING (term) JOIN lengths USING (r) GROUP BY i, item_id, r, doc_id
+), ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 20
+"""
+
+
 def queries() -> dict:
-    own = (op1_packing, op2_chat, op3_substring, op4_quality, op5_decontaminate, op6_simhash, op7_tokens, op8_toxicity, op9_rules, op10_lm, op11_collocations)
+    own = (op1_packing, op2_chat, op3_substring, op4_quality, op5_decontaminate, op6_simhash, op7_tokens, op8_toxicity, op9_rules, op10_lm, op11_collocations, op12_search)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op2_chat": OP2_SQL, "op3_substring": OP3_SQL, "op9_rules": OP9_SQL, "op10_lm": OP10_SQL, "op11_collocations": OP11_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    sql = {"op2_chat": OP2_SQL, "op3_substring": OP3_SQL, "op9_rules": OP9_SQL, "op10_lm": OP10_SQL, "op11_collocations": OP11_SQL, "op12_search": OP12_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {k: v for k, v in sql.items() if v}
