@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat, collocations, decontaminate, lexical, lm, packing, quality, rules, simhash, substring, tokens, toxicity
+from . import chat, collocations, decontaminate, lexical, lm, packing, quality, rules, simhash, substring, tokens, toxicity, urls
 
 #: The text of both turns of the extra conversation of the formatting query.
 EXTRA = r"\### Assistant: </turn> ok"
@@ -244,11 +244,72 @@ SELECT * FROM ranked WHERE rank <= 20
 """
 
 
+#: The rules of the URL query.
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.UrlFilter(spark, _table(spark, sf_dir, "pages"), URL_RULES).judged().drop("difference")
+
+
+OP13_SQL = r"""
+WITH cut AS (
+  SELECT row_number() OVER () AS r, page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parsed AS (
+  SELECT r, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    substr(regexp_extract(rest, '^[^?#]*'), length(regexp_extract(rest, '^[^/?#]*')) + 1) AS path FROM cut
+), rules(rule, rule_host, rule_path, ruling) AS (
+  VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'), ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')
+), fits AS (
+  SELECT r, rule, ruling FROM parsed JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY length(rule) DESC, rule) = 1
+), marked AS (
+  SELECT p.*, rule, ruling, CAST('0x' || substr(md5(host || path), 1, 8) AS BIGINT) % 5 = 0 AS held,
+    'zzzzzzzz' || hex(encode(host || path)) || '$$' AS h, octet_length(encode(host || path)) + 1 AS n
+  FROM parsed p LEFT JOIN fits USING (r)
+), symbols AS (
+  SELECT r, i, k, ruling, held, substr(h, 2 * (4 + i - k) + 1, 2 * k) AS context, substr(h, 2 * (4 + i) + 1, 2) AS symbol
+  FROM (SELECT *, unnest([0, 1, 2, 3, 4]) AS k FROM (SELECT *, unnest(range(0, n)) AS i FROM marked))
+), grams AS (
+  SELECT ruling AS side, k, context, symbol, count(*) AS c FROM symbols WHERE ruling IS NOT NULL AND NOT held GROUP BY side, k, context, symbol
+), contexts AS (
+  SELECT side, k, context, sum(c) AS n, count(*) AS t FROM grams GROUP BY side, k, context HAVING sum(c) >= 2
+  QUALIFY row_number() OVER (PARTITION BY side ORDER BY sum(c) DESC, k, context) <= 16384
+), stats AS (
+  SELECT s.r, s.i, s.k, v.side, coalesce(x.n, 0) AS n, coalesce(x.t, 0) AS t, coalesce(g.c, 0) AS c
+  FROM symbols s CROSS JOIN (VALUES ('allow'), ('block')) v(side)
+  LEFT JOIN contexts x ON x.side = v.side AND x.k = s.k AND x.context = s.context
+  LEFT JOIN grams g ON g.side = v.side AND g.k = s.k AND g.context = s.context AND g.symbol = s.symbol
+), wide AS (
+  SELECT r, i, side, max(n) FILTER (k = 0) AS n0, max(t) FILTER (k = 0) AS t0, max(c) FILTER (k = 0) AS c0, max(n) FILTER (k = 1) AS n1, max(t) FILTER (k = 1) AS t1, max(c) FILTER (k = 1) AS c1,
+    max(n) FILTER (k = 2) AS n2, max(t) FILTER (k = 2) AS t2, max(c) FILTER (k = 2) AS c2, max(n) FILTER (k = 3) AS n3, max(t) FILTER (k = 3) AS t3, max(c) FILTER (k = 3) AS c3,
+    max(n) FILTER (k = 4) AS n4, max(t) FILTER (k = 4) AS t4, max(c) FILTER (k = 4) AS c4
+  FROM stats GROUP BY r, i, side
+), chances AS (
+  SELECT r, i, side, CASE WHEN n0 > 0 THEN (c0 + t0 * (1 / 257)) / (n0 + t0) ELSE 1 / 257 END AS p0, CASE WHEN n1 > 0 THEN (c1 + t1 * p0) / (n1 + t1) ELSE p0 END AS p1,
+    CASE WHEN n2 > 0 THEN (c2 + t2 * p1) / (n2 + t2) ELSE p1 END AS p2, CASE WHEN n3 > 0 THEN (c3 + t3 * p2) / (n3 + t3) ELSE p2 END AS p3,
+    CASE WHEN n4 > 0 THEN (c4 + t4 * p3) / (n4 + t4) ELSE p3 END AS p FROM wide
+), gains AS (
+  SELECT r, i, max(ln(p)) FILTER (side = 'allow') - max(ln(p)) FILTER (side = 'block') AS gain FROM chances GROUP BY r, i
+), binned AS (
+  SELECT r, CAST(greatest(-1000, least(1000, floor(sum(gain) / count(*) * 100))) AS BIGINT) AS bin FROM gains GROUP BY r
+), sides AS (
+  SELECT bin, count(*) FILTER (ruling = 'allow') AS a, count(*) FILTER (ruling = 'block') AS b FROM binned JOIN marked USING (r) WHERE ruling IS NOT NULL AND held GROUP BY bin
+), tried AS (
+  SELECT t, coalesce(sum(a) FILTER (bin >= t), 0) * (SELECT coalesce(sum(b), 0) FROM sides) + coalesce(sum(b) FILTER (bin < t), 0) * (SELECT coalesce(sum(a), 0) FROM sides) AS told
+  FROM (SELECT unnest(range(-1000, 1002)) AS t) LEFT JOIN sides ON true GROUP BY t
+), chosen AS (
+  SELECT t FROM tried ORDER BY told DESC, abs(t), t LIMIT 1
+)
+SELECT page_id, host, path, rule, coalesce(ruling, CASE WHEN bin >= (SELECT t FROM chosen) THEN 'allow' ELSE 'block' END) AS verdict FROM marked JOIN binned USING (r)
+"""
+
+
 def queries() -> dict:
-    own = (op1_packing, op2_chat, op3_substring, op4_quality, op5_decontaminate, op6_simhash, op7_tokens, op8_toxicity, op9_rules, op10_lm, op11_collocations, op12_search)
+    own = (op1_packing, op2_chat, op3_substring, op4_quality, op5_decontaminate, op6_simhash, op7_tokens, op8_toxicity, op9_rules, op10_lm, op11_collocations, op12_search, op13_urls)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op2_chat": OP2_SQL, "op3_substring": OP3_SQL, "op9_rules": OP9_SQL, "op10_lm": OP10_SQL, "op11_collocations": OP11_SQL, "op12_search": OP12_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    sql = {"op2_chat": OP2_SQL, "op3_substring": OP3_SQL, "op9_rules": OP9_SQL, "op10_lm": OP10_SQL, "op11_collocations": OP11_SQL, "op12_search": OP12_SQL, "op13_urls": OP13_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {k: v for k, v in sql.items() if v}
