@@ -64,7 +64,7 @@ def test_run_on_awkward_and_empty_tables(spark, tmp_path):
 
 def test_queries_are_registered(spark, sf):
     names = sorted(queries.queries(), key=lambda x: (len(x), x))
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11)) and "pipeline" in names
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14)) and "pipeline" in names
     assert zlib.crc32(b"0") >= 0 and set(queries.oracle_sql()) <= set(names)
 
 
