@@ -51,7 +51,12 @@ class Words:
 
 
 class TokenPieces:
-    """Cuts texts by a tokenizer's tokens, at starts of pre-tokens; one that is longer than a piece is cut at a character."""
+    """Cuts texts by a tokenizer's tokens, at starts of pre-tokens; one that is longer than a piece is cut between characters.
+
+    A piece's length is what the tokenizer gives for the piece alone. Between pre-tokens that is its share of the whole text;
+    pieces within a pre-token (of long letters and digits, or of scripts without spaces) are encoded by themselves, and end earlier if
+    they would be too long. Only a single character of more tokens than the capacity is a longer piece.
+    """
 
     def __init__(self, capacity: int, vocabulary: str, **options):
         self.capacity, self.tokens = capacity, Tokens(vocabulary, **options)
@@ -76,13 +81,33 @@ class TokenPieces:
         while i < len(at) - 1:
             j = max(i + 1, int(np.searchsorted(before, before[i] + self.capacity, "right")) - 1)
             part, size = text[at[i] : at[j]], before[j] - before[i]
-            pieces = max(1, -(-size // self.capacity))
-            cuts = [len(part) * k // pieces for k in range(pieces + 1)]
-            sizes = [size * (k + 1) // pieces - size * k // pieces for k in range(pieces)]
-            out += [(part[a:b].encode(), m) for a, b, m in zip(cuts, cuts[1:], sizes)]
+            while size <= self.capacity and j < len(at) - 1 and part[-2:].isspace() and len(part) > 1:
+                # several spaces may be other tokens at a text's end than before a word
+                size = self.tokens.counts([part.encode()])[0]
+                if size <= self.capacity or j == i + 1:
+                    break
+                j -= 1
+                part, size = text[at[i] : at[j]], before[j] - before[i]
+            out += [(part.encode(), size)] if size <= self.capacity else self._between_characters(part, size)
             i = j
         return out
 
+    def _between_characters(self, part: str, size: int) -> list[tuple[bytes, int]]:
+        """`part`, of about `size` tokens, in pieces that are as long as the tokens so far let expect, and counted alone."""
+        out, at, chars = [], 0, len(part) * self.capacity // size
+        while at < len(part):
+            width = min(max(1, chars), len(part) - at)
+            while True:
+                piece = part[at : at + width].encode()
+                n = self.tokens.counts([piece])[0]
+                if n <= self.capacity or width == 1:
+                    break
+                width = max(1, min(width - 1, width * self.capacity // n))
+            out.append((piece, n))
+            at += width
+            chars = width * self.capacity // max(n, 1)
+        return out
+
 
 def best_fit(items: list[tuple[int, object, object]], capacity: int) -> list[int]:
     """The bin number of each item (length, source, cluster), which come in packing order; None never conflicts.
@@ -151,7 +176,7 @@ def sequences(spark: SparkSession, documents: DataFrame, text: str = "text", id:
             out = [[] for _ in range(8)]
             for i, s, c, pieces in zip(ids, sources, clusters, cut(texts)):
                 key = (i, c)
-                if len(nth) > 100_000:
+                if len(nth) > 100_000:  # later repeats start again in the first shard, so that a shard may get some of equal keys
                     nth.clear()
                 nth[key] = again = nth.get(key, -1) + 1  # repeated rows of a task go to different shards
                 starts = accumulate((len(x.decode()) for x, _ in pieces), initial=0)

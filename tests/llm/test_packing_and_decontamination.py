@@ -88,8 +88,37 @@ def test_sequences_by_tokens(spark):
     for r in got:
         for p in r.pieces:
             sums[p.doc_id] += p.length
-    assert sums[12] == next(n for (i, _), n in counts.items() if i == 12) and sums[77] == next(n for (i, _), n in counts.items() if i == 77)
-    assert sum(sums.values()) == sum(r.n_tokens for r in tokens.token_counts(docs, path).collect())
+    assert sums[12] == next(n for (i, _), n in counts.items() if i == 12)
+    pieces = [p for r in got for p in r.pieces]
+    assert tokens.Tokens(path).counts([p.text.encode() for p in pieces]) == [p.length for p in pieces]
+
+
+def hard_texts():
+    rng = random.Random(12)
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    cjk, thai, code = "".join(map(chr, range(0x4E00, 0x4F00))), "".join(map(chr, range(0xE01, 0xE2F))), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    texts = ["the " * 3000 + pick(cjk, 3000), pick(code, 40_000), pick(cjk, 12_000), pick(thai, 9000), pick(code, 5000) + " it's  \n\n  we'll " * 900 + pick("0123456789", 7000), "🙂" * 4000, "x" * 9000]
+    texts += ["".join(rng.choice(["a", " ", "  ", "\n", "'s", "don't", pick(code, 9), "12", "-", "é", pick(cjk, 3), "\t"]) for _ in range(9000)) for _ in range(4)]
+    return texts
+
+
+@pytest.mark.parametrize("vocabulary", ["byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"])
+@pytest.mark.parametrize("capacity", [2048, 100])
+def test_every_piece_has_the_tokens_it_states(vocabulary, capacity):
+    """Each piece, encoded alone, has its stated length, which is no more than the capacity; together they are the text."""
+    path = str(public_tokenizers.path(vocabulary))
+    cutter = packing.TokenPieces(capacity, path, whole_chars=20_000, overlap=500)
+    for text, pieces in zip(texts := hard_texts(), cutter.load()([x.encode() for x in texts])):
+        assert b"".join(p for p, _ in pieces).decode() == text
+        alone = cutter.tokens.counts([p for p, _ in pieces])
+        assert alone == [n for _, n in pieces] and max(alone) <= capacity
+        assert len(pieces) <= 1.6 * sum(alone) / capacity + 3  # and few are needed
+
+
+def test_a_character_of_more_tokens_than_a_piece():
+    cutter = packing.TokenPieces(1, str(public_tokenizers.path("byte_bpe_50k.json")))
+    pieces = cutter.load()(["a🙂b".encode()])[0]
+    assert b"".join(p for p, _ in pieces).decode() == "a🙂b" and max(n for _, n in pieces) > 1
 
 
 def test_cuts_lie_between_words():
