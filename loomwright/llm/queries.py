@@ -171,7 +171,7 @@ WITH texts AS (
 ), twos AS (
   SELECT a, b, count(*) AS c FROM pairs WHERE a IS NOT NULL GROUP BY a, b
 ), scored AS (
-  SELECT r, sum(CASE WHEN p.a IS NULL THEN ln(y.c / n) WHEN t.c >= 2 THEN ln(t.c / x.c) ELSE ln(0.4 * y.c / n) END) AS s
+  SELECT r, sum(CASE WHEN p.a IS NULL THEN ln(y.c / n) WHEN t.c >= 1 THEN ln(t.c / x.c) ELSE ln(0.4 * y.c / n) END) AS s
   FROM pairs p JOIN ones y ON y.w = p.b LEFT JOIN ones x ON x.w = p.a LEFT JOIN twos t ON t.a = p.a AND t.b = p.b, (SELECT count(*) AS n FROM words) GROUP BY r
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(s, 0.0), 6) AS log_score, round(s / len(w), 6) AS mean_log_score FROM texts LEFT JOIN scored USING (r)

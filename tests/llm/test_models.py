@@ -217,7 +217,7 @@ def test_ftrl_is_sparse_and_accurate():
 
 
 # language model --------------------------------------------------------------------------------------------------------
-def brute_lm(rows, vocabulary, backoff=0.4, least=2, order=3):
+def brute_lm(rows, vocabulary, backoff=0.4, least=lm.LEAST, order=3):
     texts = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for _, t in rows]
     count = Counter(w for t in texts for w in t)
     h = {w: int(lm.word_hashes([w.encode()]).view(np.int64)[0]) for w in count}
@@ -240,11 +240,11 @@ def brute_lm(rows, vocabulary, backoff=0.4, least=2, order=3):
     return out
 
 
-@pytest.mark.parametrize("vocabulary, order", [(5, 2), (5, 3), (300, 2), (300, 3), (65_535, 2), (65_535, 3)])
-def test_scores_match_brute_force(spark, vocabulary, order):
+@pytest.mark.parametrize("vocabulary, order, least", [(5, 2, 1), (5, 3, 2), (300, 2, 2), (300, 3, 1), (65_535, 2, 1), (65_535, 3, 2)])
+def test_scores_match_brute_force(spark, vocabulary, order, least):
     docs = messy(spark)
-    got = lm.scored(spark, docs, vocabulary=vocabulary, order=order).collect()
-    want = brute_lm([(r.doc_id, r.text) for r in docs.collect()], vocabulary, order=order)
+    got = lm.scored(spark, docs, vocabulary=vocabulary, order=order, least=least).collect()
+    want = brute_lm([(r.doc_id, r.text) for r in docs.collect()], vocabulary, order=order, least=least)
     key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
     got = sorted(((r.doc_id, r.n_words, r.log_score) for r in got), key=key)
     for a, b in zip(got, sorted(want, key=key), strict=True):
