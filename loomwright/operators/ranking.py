@@ -47,15 +47,16 @@ def latest_by_name(names: Column, values: Column) -> Column:
     return F.map_from_entries(last)
 
 
-def comparisons_to_make(samples: DataFrame, pairs: DataFrame, done: DataFrame | None = None, id: str = "sample_id") -> DataFrame:
+def comparisons_to_make(samples: DataFrame, pairs: DataFrame | None = None, done: DataFrame | None = None, id: str = "sample_id") -> DataFrame:
     """Each sample's pairs (x, y) of candidate names that it has both, without those in `done`.
 
-    `samples` has id, name and content by candidate; `pairs` is the fixed list of ordered pairs of names.
+    `samples` has id, name and content by candidate. `pairs` is a fixed list of ordered pairs of names; without it, `samples`
+    has `pos` too, and each name is x of a sample's later ones.
     """
-    x = samples.select(id, F.col("name").alias("x"), F.col("content").alias("content_x"))
-    y = samples.select(id, F.col("name").alias("y"), F.col("content").alias("content_y"))
-    out = x.join(pairs, "x").join(y, [id, "y"])
-    return out if done is None else out.join(done, [id, "x", "y"], "left_anti")
+    x = samples.select(id, F.col("name").alias("x"), F.col("content").alias("content_x"), *([F.col("pos").alias("_x")] if pairs is None else []))
+    y = samples.select(id, F.col("name").alias("y"), F.col("content").alias("content_y"), *([F.col("pos").alias("_y")] if pairs is None else []))
+    out = x.join(y, id).where("_x < _y").drop("_x", "_y") if pairs is None else x.join(pairs, "x").join(y, [id, "y"])
+    return out if done is None else out.join(done.select(id, "x", "y"), [id, "x", "y"], "left_anti")
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -65,22 +66,35 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return last.where("_rank = 1").drop("_new", "_rank")
 
 
-def _names(pairs: str) -> Column:
-    """The names in an array of pairs (w, l)."""
-    return F.array_distinct(F.concat(F.transform(pairs, lambda e: e["w"]), F.transform(pairs, lambda e: e["l"])))
+def _words(places: Column, n: Column) -> Column:
+    """A set of places from 0 to n - 1 as an array of longs, a bit a place."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63))
+    word = lambda q: F.aggregate(F.filter(places, lambda x: F.shiftright(x, 6) == q), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(bit(x)))
+    return F.transform(F.sequence(F.lit(0), F.shiftright(n - 1, 6)), word)
 
 
-def _closed(pairs: str) -> Column:
-    """The transitive closure of an array of pairs (w, l), name by name (Warshall): after each name, chains through it are
-    in. A sample's names are few, so this stays within its row."""
+def _has(words: Column, place: Column) -> Column:
+    return F.call_function("shiftright", F.get(words, F.shiftright(place, 6)), place.bitwiseAND(63)).bitwiseAND(F.lit(1).cast("long")) == 1
 
-    def through(known, name):
-        above = F.filter(known, lambda e: e["l"] == name)
-        below = F.filter(known, lambda e: e["w"] == name)
-        chains = F.flatten(F.transform(above, lambda a: F.transform(below, lambda b: F.struct(a["w"].alias("w"), b["l"].alias("l")))))
-        return F.array_union(known, chains)
 
-    return F.aggregate(_names(pairs), F.col(pairs), through)
+def _reached(edges: DataFrame, id: str, names: DataFrame | None = None) -> DataFrame:
+    """id, names, reach: a sample's names in order, and of each name the set of those that it beats over chains of any length.
+
+    Names are numbered in their row, and a set is an array of longs: with n names a sample, n^2 unions of n / 64 longs
+    (Warshall). `names` (id, names) adds names without an edge."""
+    out = edges.groupBy(id, "w").agg(F.collect_set("l").alias("ls")).groupBy(id).agg(F.collect_list(F.struct("w", "ls")).alias("lists"))
+    met = F.concat(F.transform("lists", lambda e: e["w"]), F.flatten(F.transform("lists", lambda e: e["ls"])))
+    if names is not None:
+        out = names.withColumnRenamed("names", "_all").join(out, id, "left").withColumn("lists", F.coalesce("lists", F.array().cast("array<struct<w:string,ls:array<string>>>")))
+        met = F.concat(F.col("_all"), met)
+    out = out.select(id, F.array_sort(F.array_distinct(met)).alias("names"), F.map_from_entries("lists").alias("beats"))
+    n = F.size("names")
+    places = lambda ls: F.transform(ls, lambda x: (F.array_position(F.col("names"), x) - 1).cast("int"))
+    first = F.transform("names", lambda x: _words(F.coalesce(places(F.try_element_at("beats", x)), F.array().cast("array<int>")), n))
+    steps = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    join = lambda rows, k: F.transform(rows, lambda r: F.when(_has(r, k), F.zip_with(r, F.get(rows, k), lambda a, b: a.bitwiseOR(b))).otherwise(r))
+    # the first sets are a column of their own, so that they are made once
+    return out.withColumn("first", first).select(id, "names", F.aggregate(steps, F.col("first"), join).alias("reach"))
 
 
 def decided(comparisons: DataFrame, id: str = "sample_id") -> DataFrame:
@@ -99,22 +113,22 @@ def tournament(comparisons: DataFrame, id: str = "sample_id") -> DataFrame:
     Both have a null ranking.
     """
     named = comparisons.groupBy(id).agg(F.array_distinct(F.flatten(F.collect_set(F.array("x", "y")))).alias("names"))
-    pairs = decided(comparisons, id).groupBy(id).agg(F.collect_set(F.struct("w", "l")).alias("pairs"))
-    per = named.join(pairs, id, "left").withColumn("pairs", F.coalesce("pairs", F.array().cast("array<struct<w:string,l:string>>")))
-    per = per.withColumn("known", _closed("pairs"))
+    per = _reached(decided(comparisons, id), id, named)
     n = F.size("names")
-    cyclic = F.exists("known", lambda e: e["w"] == e["l"])
-    total = F.size("known") == n * (n - 1) / 2
-    beaten = lambda name: F.size(F.filter("known", lambda e: e["w"] == name))
-    order = F.transform(F.array_sort(F.transform("names", lambda x: F.struct((-beaten(x)).alias("b"), x.alias("name")))), lambda x: x["name"])
-    status = F.when(cyclic, "cyclic").when(total, "ranked").otherwise("incomplete")
-    return per.select(id, F.when(~cyclic & total, order).alias("ranking"), status.alias("status"))
+    beaten = F.transform("reach", lambda r: F.aggregate(r, F.lit(0), lambda a, x: a + F.bit_count(x)))
+    per = per.withColumn("beaten", beaten).withColumn("cyclic", F.exists(F.sequence(F.lit(0), n - 1), lambda i: _has(F.get("reach", i), i)))
+    total = F.aggregate("beaten", F.lit(0), lambda a, x: a + x) == n * (n - 1) / 2
+    order = F.transform(F.array_sort(F.zip_with("names", "beaten", lambda x, b: F.struct((-b).alias("b"), x.alias("name")))), lambda x: x["name"])
+    status = F.when(F.col("cyclic"), "cyclic").when(total, "ranked").otherwise("incomplete")
+    return per.select(id, F.when(~F.col("cyclic") & total, order).alias("ranking"), status.alias("status"))
 
 
 def closure(edges: DataFrame, id: str = "sample_id") -> DataFrame:
     """id, w, l: who beats whom over chains of comparisons of any length; (a, a) tells a cycle."""
-    per = edges.groupBy(id).agg(F.collect_set(F.struct("w", "l")).alias("pairs"))
-    return per.select(id, F.explode(_closed("pairs")).alias("e")).select(id, "e.w", "e.l")
+    # outer, as Spark would otherwise test the sets' size before it makes them, by making them
+    per = _reached(edges, id).select(id, "names", F.posexplode_outer("reach").alias("i", "r"))
+    lost = F.filter("names", lambda x, j: _has(F.col("r"), j))
+    return per.select(id, F.get("names", F.col("i")).alias("w"), F.explode_outer(lost).alias("l")).where("l IS NOT NULL")
 
 
 def undecided(pairs: DataFrame, comparisons: DataFrame, id: str = "sample_id") -> DataFrame:

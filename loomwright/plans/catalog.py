@@ -395,13 +395,13 @@ def prompt_listwise(spark, sf_dir):
 _TWO = f"""{CANDIDATES}, two AS (SELECT x.conv_id, 'turn-' || x.turn AS x, 'turn-' || y.turn AS y, x.hyp AS hx, y.hyp AS hy, x.ref FROM candidates x JOIN candidates y ON y.conv_id = x.conv_id AND x.turn < y.turn)"""
 
 
-def _comparisons(spark, sf_dir) -> DataFrame:
-    c = candidates(spark, sf_dir).select("conv_id", F.concat(F.lit("turn-"), F.col("turn").cast("string")).alias("name"), F.col("hyp").alias("content"))
-    number = F.regexp_extract("name", r"\d+", 0).cast("int")
-    names = c.agg(F.array_sort(F.collect_set(F.struct(number.alias("i"), "name"))).alias("n"))  # the distinct names: as many as a conversation's turns
-    later = F.flatten(F.transform("n", lambda a, i: F.transform(F.slice("n", i + 2, F.size("n")), lambda b: F.struct(a["name"].alias("x"), b["name"].alias("y")))))
-    pairs = names.select(F.explode(later).alias("p")).select("p.x", "p.y")  # the fixed list of ordered pairs of names
-    return ranking.comparisons_to_make(c, pairs, id="conv_id")
+def _named(spark, sf_dir) -> DataFrame:
+    """conv_id, name, pos, content: a conversation's candidates under the names of their turns."""
+    return candidates(spark, sf_dir).select("conv_id", F.concat(F.lit("turn-"), F.col("turn").cast("string")).alias("name"), "pos", F.col("hyp").alias("content"))
+
+
+def _comparisons(spark, sf_dir, done: DataFrame | None = None) -> DataFrame:
+    return ranking.comparisons_to_make(_named(spark, sf_dir), done=done, id="conv_id")
 
 
 @query(f"""WITH {_TWO} SELECT conv_id, x, y, md5('Choose the better summary.' || chr(10) || ref || chr(10) || '[ID=' || x || '] ' || hx || chr(10) || '[ID=' || y || '] ' || hy) AS digest FROM two""")

@@ -142,7 +142,7 @@ def comparison_sink(spark, sf_dir):
 def comparisons_resume(spark, sf_dir):
     """Pairs that an earlier run has judged are skipped."""
     done = _judged(spark, sf_dir).where("(i + j) % 4 = 1").select("conv_id", "x", "y")
-    return _comparisons(spark, sf_dir).join(done, ["conv_id", "x", "y"], "left_anti").select("conv_id", "x", "y")
+    return _comparisons(spark, sf_dir, done).select("conv_id", "x", "y")
 
 
 _PARTIAL = """made AS (SELECT * FROM judged WHERE (i + j) % 3 <> 0), edges AS (
