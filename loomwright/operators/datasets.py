@@ -3,6 +3,8 @@
 Global numbering goes through `numbered`, which counts by range, so that no window holds all rows in one task.
 """
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,6 +58,70 @@ def numbered(frame: DataFrame, order: list[Column], name: str = "_n") -> DataFra
     return out.select(*frame.columns, (F.col("_before") + F.col("_row") + 1).alias(name))
 
 
+def prefix_sums(frame: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """`frame` with the sum of `value` over all rows before, in ascending `order`. As in `numbered`, ranges are written a file
+    each; sums run within a file, behind the sums of the files before it, so that no window sees all rows."""
+    rows = numbered(frame, order, "_n")
+    spark, path = frame.sparkSession, new_path(frame.sparkSession, "sums")
+    rows.withColumn("_range", F.floor((F.col("_n") - 1) / RANGE_ROWS)).write.parquet(path)
+    rows = spark.read.schema(rows.withColumn("_range", F.lit(0).cast("long")).schema).parquet(path)
+    ranges = rows.groupBy("_range").agg(F.sum(value).alias("_sum"))  # a row a range
+    none = F.lit(0).cast("long")
+    before = F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), none)
+    own = F.coalesce(F.sum(value).over(Window.partitionBy("_range").orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)), none)
+    out = rows.withColumn("_own", own).join(ranges.select("_range", before.alias("_before")), "_range")
+    return out.select(*frame.columns, (F.col("_before") + F.col("_own")).alias(name))
+
+
+#: Rows whose sums one task runs over.
+RANGE_ROWS = 100_000
+#: Positions of a bin when ranges are joined.
+BIN = 64
+
+
+def regrouped(values: DataFrame, groups: DataFrame, pos: str = "pos", order: list[Column] | None = None, size: str = "size") -> DataFrame:
+    """`values` (numbered from 0 by `pos`) with the columns of the group that each falls into: groups stand in `order` and have `size`
+    values each. Values beyond all groups are left out; a size of 0 or null has none; a negative size is an error.
+
+    The groups' boundaries are prefix sums of their sizes. A group is joined in each bin of positions that it overlaps, so that
+    values meet the groups of their bin by an equality, BIN of either at most."""
+    sizes = F.coalesce(F.when(F.assert_true(F.coalesce(F.col(size), F.lit(0)) >= 0, F.lit("a group has a negative size")).isNull(), F.col(size)).cast("long"), F.lit(0).cast("long"))
+    bounds = prefix_sums(groups.withColumn("_size", sizes), order, "_size", "_first").withColumn("_stop", F.col("_first") + F.col("_size")).where("_size > 0")
+    bins = bounds.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_first") / BIN), F.floor((F.col("_stop") - 1) / BIN))))
+    met = values.withColumn("_bin", F.floor(F.col(pos) / BIN)).join(bins, "_bin")
+    return met.where((F.col(pos) >= F.col("_first")) & (F.col(pos) < F.col("_stop"))).drop("_bin", "_size", "_first", "_stop")
+
+
+#: Rounds of the permutation, and steps after which it has come back into range but for a chance of one in 10^18.
+ROUNDS, STEPS = 4, 24
+
+
+def permuted(row_id: Column, rows: int, seed: int) -> Column:
+    """The place of an ordinal in a seeded permutation of 0 to rows - 1, by arithmetic on the ordinal alone.
+
+    A Feistel network over a rectangle of a x b places, a = ceil(sqrt(rows)) and b = ceil(rows / a): its rounds add a mixed value of one
+    coordinate to the other, which can be undone, so that no two ordinals share a place. The places beyond `rows`, fewer than a, are put
+    through again until they fall below. Any engine with 64-bit integers repeats it."""
+    a = max(math.isqrt(max(rows, 1) - 1) + 1, 1)
+    b = max(-(-rows // a), 1)
+    div = lambda x, y: F.call_function("div", x, F.lit(y))  # noqa: E731  of integers
+    mixed = lambda x, r: div((x * 40503 + (seed * 7919 + r * 104729) % 1000003) * 12289, 128)
+
+    def once(x):
+        left, right = div(x, b), x % b
+        for r in range(ROUNDS):
+            if r % 2:
+                right = (right + mixed(left, r)) % b
+            else:
+                left = (left + mixed(right, r)) % a
+        return left * b + right
+
+    first = once(row_id.cast("long"))
+    again = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), first, lambda x, _: F.when(x < rows, x).otherwise(once(x)))
+    place = F.when(first < rows, first).otherwise(again)
+    return F.when(F.assert_true(place < rows, F.lit("the permutation needs more steps")).isNull(), place)
+
+
 def by_index(frame: DataFrame, indexes: DataFrame, row_id: str = "row_id") -> DataFrame:
     """The rows that a list of ordinals names, in the list's order (`pos`), as often as it names them."""
     return indexes.select("pos", F.col("idx").alias(row_id)).join(frame, row_id)
@@ -95,6 +161,14 @@ def epoch(frame: DataFrame, seed: int, number: int, size: int, row_id: str = "ro
     return batches(frame, size, [hash_order(seed + number, row_id), F.col(row_id)], drop_last=True)
 
 
+def permuted_epoch(frame: DataFrame, rows: int, seed: int, number: int, size: int, row_id: str = "row_id", skip: int = 0) -> DataFrame:
+    """An epoch's batches over ordinals from 0 to rows - 1: `batch` and `place` (in the epoch), the short last batch dropped and `skip`
+    batches left out, as they were done. A projection and a filter: nothing is sorted, shuffled or written."""
+    place = permuted(F.col(row_id), rows, seed + number)
+    out = frame.withColumn("place", place).where((F.col("place") >= skip * size) & (F.col("place") < rows // size * size))
+    return out.withColumn("batch", F.floor(F.col("place") / size))
+
+
 def first_of_each(frame: DataFrame, key: str, order: str) -> DataFrame:
     """Ordered de-duplication: of equal keys the first row."""
     cols = [c for c in frame.columns if c != key]

@@ -40,6 +40,27 @@ def best_so_far(frame: DataFrame, metric: str, by: list[str], order: list[str],
     return frame.withColumn("is_best", F.col(metric) > F.coalesce(F.max(metric).over(before), F.lit(float("-inf"))))
 
 
+#: Size of a sketch; its quantiles' ranks, and those of merged ones, are within RANK_ERROR of exact ones.
+SKETCH, RANK_ERROR = 800, 0.01
+
+
+def sketched(frame: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, sketch: of each group a quantile sketch of some kilobytes, whatever its rows; nulls do not count."""
+    return frame.groupBy(*by).agg(F.call_function("kll_sketch_agg_double", F.col(value).cast("double"), F.lit(SKETCH)).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """Sketches of coarser groups from those of finer ones, as of all steps from those that each step has stored."""
+    return sketches.groupBy(*by).agg(F.call_function("kll_merge_agg_double", F.col("sketch"), F.lit(SKETCH)).alias("sketch"))
+
+
+def quantiles(sketches: DataFrame, by: list[str], ps: list[float]) -> DataFrame:
+    """by, p, q: approximate quantiles of each sketch."""
+    at = F.array(*(F.lit(float(p)) for p in ps))
+    pairs = F.arrays_zip(at.alias("p"), F.call_function("kll_sketch_get_quantile_double", F.col("sketch"), at).alias("q"))
+    return sketches.select(*by, F.explode(pairs).alias("x")).select(*by, "x.p", "x.q")
+
+
 def log_rows(columns: DataFrame, id: list[str]) -> DataFrame:
     """Rows of a batch that is stored as one array a column."""
     names = [c for c in columns.columns if c not in id]
