@@ -82,6 +82,15 @@ class FingerprintIndex:
         self.runs.append((run, self.ws.spark.table(run).agg(F.sum("n")).first()[0] or 0))
         return out.where("known OR n > 1").select("h", "late")
 
+    @staticmethod
+    def _often(entries: int) -> int:
+        return max(64, entries // FREQUENT)
+
+    def often(self) -> DataFrame:
+        """h: what the last run has more than one in FREQUENT of its entries under (and 64 at least); `add` has returned all of them."""
+        run, n = self.runs[-1]
+        return self.ws.spark.table(run).where(F.col("n") > self._often(n)).select("h")
+
     def compact(self, times: int = 2) -> None:
         """Merges the last run with the one before it, as long as that has at most `times` its entries."""
         while len(self.runs) > 1 and self.runs[-2][1] <= times * self.runs[-1][1]:
@@ -94,7 +103,7 @@ class FingerprintIndex:
 
     def frequent(self) -> np.ndarray:
         """Sorted fingerprints that a run has more than one in FREQUENT of its entries under (and 64 at least)."""
-        found = [self.ws.spark.table(run).where(F.col("n") > max(64, n // FREQUENT)).select("h").toArrow().column(0).to_numpy() for run, n in self.runs]
+        found = [self.ws.spark.table(run).where(F.col("n") > self._often(n)).select("h").toArrow().column(0).to_numpy() for run, n in self.runs]
         return np.unique(np.concatenate([np.empty(0, np.int64), *found]))
 
 
@@ -148,10 +157,14 @@ class SubstringDedup:
         self._judged = None
 
     def _match(self, entries: DataFrame) -> None:
-        """Merge-joins a batch's fingerprints with history, notes the candidates, and compacts."""
+        """Merge-joins a batch's fingerprints with history, notes the candidates, and compacts.
+
+        Texts that have a frequent fingerprint find it in a broadcast table, of fewer than FREQUENT rows, so that only entries
+        of which none is frequent are dealt by fingerprint."""
         met = self.index.add(entries.select(F.explode(F.concat("hs", "own")).alias("h")))
         probed = lambda rows, keys: rows.select(F.explode("hs").alias("h"), "rid").join(keys, "h")
-        found = probed(entries, met.select("h").hint("merge"))
+        often = F.broadcast(self.index.often())
+        found = self._dealt(entries, often).join(met.select("h").hint("merge"), "h").unionByName(probed(entries, often))
         if self.entries:
             older = self.entries[0]
             for x in self.entries[1:]:
@@ -163,6 +176,11 @@ class SubstringDedup:
         self.entries.append(entries)
         self.index.compact()
 
+    @staticmethod
+    def _dealt(entries: DataFrame, often: DataFrame) -> DataFrame:
+        """h, rid: the entries that an exchange deals by fingerprint."""
+        return entries.select(F.explode("hs").alias("h"), "rid").join(often, "h", "left_anti")
+
     def _seen(self, texts: DataFrame, n: int) -> DataFrame:
         window = self.window
 

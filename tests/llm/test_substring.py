@@ -49,6 +49,25 @@ def test_random_texts_with_shared_passages(spark, batches):
     check(spark, spark.createDataFrame(rows, DDL).repartition(5), batches=batches)
 
 
+def test_a_passage_in_all_texts_is_not_dealt_to_one_task(spark, monkeypatch):
+    rng = random.Random(8)
+    passage = [f"shared{i}" for i in range(60)]
+    rows = [(i, " ".join([f"u{i}_{j}" for j in range(rng.randrange(50))] + passage), None, None, None) for i in range(1500)]
+    dealt, before = [], SubstringDedup._dealt
+
+    def watched(entries, often):
+        out = before(entries, often)
+        dealt.append((out.count(), out.groupBy("h").count().agg({"count": "max"}).first()[0]))
+        return out
+
+    monkeypatch.setattr(SubstringDedup, "_dealt", staticmethod(watched))
+    index = SubstringDedup(spark, spark.createDataFrame(rows, DDL).repartition(4))
+    assert len(dealt) == 2 and all(rows > 300 and most <= 64 for rows, most in dealt)
+    removed = {r.doc_id: r.n_removed for r in index.rows.collect()}
+    assert removed == {i: 60 for i in range(1500)}
+    index.drop()
+
+
 def test_applied_keeps_clean_texts_and_columns(spark):
     docs = messy(spark)
     out = SubstringDedup(spark, docs).applied(docs, length="n_chars")
