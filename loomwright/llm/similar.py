@@ -14,7 +14,10 @@ Every match is verified on the whole sets. Before that, a match goes if the sets
 sketches (parities of which each differing one takes a shingle that one set alone has) prove that too few are shared. The
 join across components compares sketches of 512 parities, the verification those of as many as a set has shingles.
 
-Any order of shingles gives the same result. Those that are frequent in a sample come last, as they give many matches.
+Any order of shingles gives the same result. Those that are frequent in a sample come last, as they give many matches. A shingle that
+the sample missed and that many sets of different components have in their prefixes (CROWD partners a set) is put last too: the
+sets that have it are read again for their new prefixes, before step 3 joins anything. So what a shingle's sets give there
+grows with their number, not with its square, unless they have hardly any other shingles.
 """
 
 from collections.abc import Callable
@@ -31,6 +34,8 @@ from ._workspace import Workspace
 SHINGLE = 5
 #: Texts and shingles of the sample that sets the order; they do not bear on the result.
 _TEXTS, _FREQUENT = 8_000, 65_535
+#: Partners that a set has on average where a shingle is crowded, and shingles that come last at most (8 MB).
+CROWD, LATE = 1_000, 1 << 20
 _LANES = 8
 _CHUNK = 50_000
 
@@ -64,6 +69,12 @@ def prefix_length(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1 if n else 0
 
 
+def _prefix(h: np.ndarray, late: np.ndarray) -> np.ndarray:
+    """The first shingles of a sorted set, those of `late` after all others."""
+    last = among(h, late)
+    return np.concatenate((h[~last], h[last]))[: prefix_length(len(h))].view(np.int64)
+
+
 def _frequent(documents: DataFrame, shingle: int) -> np.ndarray:
     """Sorted hashes of shingles that three or more texts of the sample have."""
     rows = documents.select("text").where("text IS NOT NULL")
@@ -96,8 +107,7 @@ def sets(spark: SparkSession, documents: DataFrame, text: str, id: str, ws: Work
                 sims.append(simhash(h))
                 sketches.append(sketch(h))
                 fine.append(sketch(h, lanes_for(len(h))))
-                last = among(h, late)
-                prefixes.append(np.concatenate((h[~last], h[last]))[: prefix_length(len(h))].view(np.int64))
+                prefixes.append(_prefix(h, late))
             return [rids, ids, np.array(fps, np.uint64).view(np.int64), sizes, np.array(sims, np.uint64).view(np.int64), sketches, fine, prefixes]
 
         return step
@@ -126,6 +136,7 @@ class Similar:
         least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("least")
         first = (F.first(c).alias(c) for c in ("n", "sim", "sketch", "fine", "prefix"))  # equal for all rows of a set
         self.one = ws.table(marked.groupBy("fp").agg(least, F.min("rid").alias("rid"), *first), "one")
+        self.reordered = 0
         self.index = self._index()
         found = ws.table(self._verified(self._by_fingerprint(linked).union(self._by_hub()).distinct(), "first"), "found")
         roots = components(found, ws, "first_roots")
@@ -137,7 +148,7 @@ class Similar:
         """h, fp, n, at, c: the prefixes' shingles that c > 1 sets have in their prefixes."""
         every = self.one.select("fp", "n", F.posexplode("prefix").alias("at", "h"))
         shared = every.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
-        return self.ws.table(every.join(shared, "h"), "index")
+        return self.ws.table(every.join(shared, "h"), f"index_{self.reordered}")
 
     def _by_fingerprint(self, linked: Callable) -> DataFrame:
         """u, v: sets of one fingerprint, each with the first; and the first sets of linked fingerprints."""
@@ -157,14 +168,48 @@ class Similar:
 
     def _across(self, roots: DataFrame) -> DataFrame:
         """u, v: sets that share a shingle of their prefixes, pass the filters and are in different components."""
-        named = self.index.join(roots, self.index.fp == roots.node, "left").select("h", "fp", "n", "at", F.coalesce("root", "fp").alias("root"))
-        named = self.ws.table(named, "named")
+        late = None
+        while True:
+            named = self.index.join(roots, self.index.fp == roots.node, "left").select("h", "fp", "n", "at", "c", F.coalesce("root", "fp").alias("root"))
+            named = self.ws.table(named, f"named_{self.reordered}")
+            crowded = self._crowded(named)
+            if len(crowded) and late is None:
+                late = _frequent(has_columns(self.documents, text=(self.text, "string")), self.shingle)
+            if not len(crowded) or among(crowded, late).all() or len(late) > LATE:
+                break
+            late = np.union1d(late, crowded)
+            self._reorder(crowded, late)
         mixed = named.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("h")
         rows = self.ws.table(named.join(mixed, "h").join(self.one.select("fp", "sketch"), "fp"), "mixed")
         a, b = rows.alias("a"), rows.alias("b")
         enough = f"a.h = b.h AND a.fp < b.fp AND a.root <> b.root AND 9L * least(a.n - a.at, b.n - b.at) >= 4L * (a.n + b.n) AND 9 * ({_apart('a', 'b')}) <= a.n + b.n"
         return a.join(b, F.expr(enough)).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).distinct()
 
+    @staticmethod
+    def _crowded(named: DataFrame) -> np.ndarray:
+        """Sorted shingles whose sets have more than CROWD partners of other components on average."""
+        own = named.where(F.col("c") > CROWD).groupBy("h", "root").agg(F.count("*").cast("double").alias("n"))
+        every = own.groupBy("h").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own")).where(F.col("n") * F.col("n") - F.col("own") > CROWD * F.col("n"))
+        return np.sort(every.orderBy(F.desc("n"), "h").limit(_FREQUENT).select("h").toArrow().column(0).to_numpy().view(np.uint64))
+
+    def _reorder(self, crowded: np.ndarray, late: np.ndarray) -> None:
+        """New prefixes of the sets that have a crowded shingle in theirs; others' stay as they are in the new order."""
+        spark, shingle, shared = self.ws.spark, self.shingle, self.ws.spark.sparkContext.broadcast(late)
+        few = F.broadcast(spark.createDataFrame([(x,) for x in crowded.view(np.int64).tolist()], "h long"))
+        nodes = self.index.join(few, "h").select("fp").distinct()
+        self.reordered += 1
+        chosen = self.ws.table(self.one.select("fp", "rid").join(nodes, "fp"), f"crowded_{self.reordered}")
+
+        def start():
+            return lambda columns: [columns[0], [_prefix(shingles(x, shingle), shared.value) for x in columns[1]]]
+
+        texts = self.documents.select(row_key(self.id, self.text).alias("rid"), F.col(f"`{self.text}`").cast("string").alias("text"))
+        texts = texts.join(small(chosen), "rid").select("fp", "text").dropDuplicates(["fp"])
+        new = self.ws.table(map_columns(texts, start, "fp long, later array<long>"), f"prefixes_{self.reordered}")
+        one = self.one.join(new, "fp", "left").withColumn("prefix", F.coalesce("later", "prefix")).drop("later")
+        self.one = self.ws.table(one, f"one_{self.reordered}")
+        self.index = self._index()
+
     def _verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """Those pairs whose whole sets are similar."""
         side = lambda c: self.one.select(F.col("fp").alias(c), F.struct("n", "fine").alias(f"of_{c}"))

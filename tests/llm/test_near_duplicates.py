@@ -174,6 +174,29 @@ def test_large_group_of_near_copies_against_all_pairs(spark):
         spark.read.parquet(ws.path("index"))
 
 
+def test_a_shingle_of_very_many_texts_gives_no_quadratic_join(spark, monkeypatch):
+    """Dissimilar texts that begin with the same words, of which the sample tells nothing; some have a near copy."""
+    monkeypatch.setattr(similar, "_frequent", lambda documents, shingle: np.empty(0, np.uint64))
+    rng, texts = random.Random(3), []
+    begin = min((f"all of them begin so{j}" for j in range(200)), key=lambda x: int(similar.shingles(x.encode())[0]))  # low in the order
+    for k in range(300):
+        words = [*begin.split(), *(f"w{rng.randrange(10**6)}" for _ in range(25))]
+        texts.append(" ".join(words))
+        if k % 20 == 0:
+            texts.append(" ".join([*words, "end"]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    widest = {}
+    for crowd in (10**9, 10):
+        monkeypatch.setattr(similar, "CROWD", crowd)
+        ws = Workspace(spark, "t")
+        marked = similar.sets(spark, docs, "text", "doc_id", ws)
+        found = similar.Similar(docs, "text", "doc_id", marked, ws, lambda c: spark.createDataFrame([], "u long, v long"))
+        assert sorted({r.component_id for r in found.kept().collect()}) == brute_similar(list(enumerate(texts)))
+        widest[crowd] = found.index.agg(F.max("c")).first()[0]
+        assert (found.reordered > 0) == (crowd == 10)
+    assert widest[10] <= 20 < widest[10**9]
+
+
 def test_repeated_rows_that_differ_elsewhere(spark):
     rows = [(1, "same text here", x) for x in ("b", "a", None, "c")] + [(2, "same text here", "0"), (3, "other words", "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
