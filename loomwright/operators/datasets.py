@@ -58,19 +58,19 @@ def numbered(frame: DataFrame, order: list[Column], name: str = "_n") -> DataFra
     return out.select(*frame.columns, (F.col("_before") + F.col("_row") + 1).alias(name))
 
 
-def prefix_sums(frame: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
-    """`frame` with the sum of `value` over all rows before, in ascending `order`. As in `numbered`, ranges are written a file
+def prefix_sums(frame: DataFrame, order: list[Column], value: str, name: str, number: str | None = None) -> DataFrame:
+    """`frame` with the sum of `value` over all rows before, in ascending `order`, and the row's `number` from 1 if asked for. As in `numbered`, ranges are written a file
     each; sums run within a file, behind the sums of the files before it, so that no window sees all rows."""
     rows = numbered(frame, order, "_n")
     spark, path = frame.sparkSession, new_path(frame.sparkSession, "sums")
     rows.withColumn("_range", F.floor((F.col("_n") - 1) / RANGE_ROWS)).write.parquet(path)
     rows = spark.read.schema(rows.withColumn("_range", F.lit(0).cast("long")).schema).parquet(path)
     ranges = rows.groupBy("_range").agg(F.sum(value).alias("_sum"))  # a row a range
-    none = F.lit(0).cast("long")
+    none = F.lit(0).cast(ranges.schema["_sum"].dataType)
     before = F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), none)
     own = F.coalesce(F.sum(value).over(Window.partitionBy("_range").orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)), none)
     out = rows.withColumn("_own", own).join(ranges.select("_range", before.alias("_before")), "_range")
-    return out.select(*frame.columns, (F.col("_before") + F.col("_own")).alias(name))
+    return out.select(*frame.columns, (F.col("_before") + F.col("_own")).alias(name), *([F.col("_n").alias(number)] if number else []))
 
 
 #: Rows whose sums one task runs over.

@@ -19,24 +19,20 @@ def plain(text: Column) -> Column:
 def reasons(texts: DataFrame, dictionary: DataFrame, id: list[str], text: str, prefixes=PREFIXES, phrase: str = PHRASE) -> DataFrame:
     """The id columns and `reason`: prefix, phrase, empty, unknown, or null for texts that pass, in that order of tests.
 
-    Known words are counted by a join with the dictionary, which Spark broadcasts when it is small; words are counted
-    by text before they meet it.
+    A text's words are made once: they meet the dictionary, which Spark broadcasts when it is small, with what the other rules say
+    of the text, and are counted by text, first where they are.
     """
-    w = words(plain(F.col(text)))
-    base = texts.select(*id, plain(F.col(text)).alias("_plain"), w.alias("_words"))
-    counts = base.select(*id, F.explode("_words").alias("word")).groupBy(*id, "word").agg(F.count("*").alias("n"))
-    known = counts.join(dictionary.select("word").distinct(), "word", "left_semi").groupBy(*id).agg(F.sum("n").alias("_known"))
+    base = texts.select(*id, plain(F.col(text)).alias("_plain")).select(*id, "_plain", words(F.col("_plain")).alias("_words"))
     starts = F.lit(False)
     for p in prefixes:
         starts = starts | F.col("_plain").startswith(p)
-    ratio = F.coalesce("_known", F.lit(0)) / F.size("_words")
-    reason = (
-        F.when(starts, "prefix")
-        .when(F.contains(F.array_join(F.slice("_words", 1, PHRASE_WORDS), " "), F.lit(phrase)), "phrase")
-        .when(F.size("_words") == 0, "empty")
-        .when(ratio <= LEAST_KNOWN, "unknown")
-    )
-    return base.join(known, id, "left").select(*id, reason.alias("reason"))
+    told = F.contains(F.array_join(F.slice("_words", 1, PHRASE_WORDS), " "), F.lit(phrase))
+    each = base.select(*id, starts.alias("_starts"), told.alias("_phrase"), F.size("_words").alias("_size"), F.explode_outer("_words").alias("word"))
+    marked = each.join(dictionary.select("word").distinct().withColumn("_in", F.lit(1)), "word", "left")
+    counted = marked.groupBy(*id).agg(*(F.first(c).alias(c) for c in ("_starts", "_phrase", "_size")), F.coalesce(F.sum("_in"), F.lit(0)).alias("_known"))
+    ratio = F.try_divide(F.col("_known"), F.col("_size"))
+    reason = F.when(F.col("_starts"), "prefix").when(F.col("_phrase"), "phrase").when(F.col("_size") == 0, "empty").when(ratio <= LEAST_KNOWN, "unknown")
+    return counted.select(*id, reason.alias("reason"))
 
 
 def accepted_samples(samples: DataFrame, judged: DataFrame, id: str) -> DataFrame:

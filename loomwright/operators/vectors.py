@@ -1,12 +1,12 @@
 """Embeddings: isotropy, pooling, cosine rewards, greedy matching of token vectors."""
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrays import cosine, normalized
-from .datasets import numbered
+from .datasets import prefix_sums
 
 
 def sums(frame: DataFrame, by: str, vector: str) -> DataFrame:
@@ -33,12 +33,9 @@ def isotropy(frame: DataFrame, by: str, vector: str) -> DataFrame:
 
 
 def interim(similarities: DataFrame, by: str, every: int) -> DataFrame:
-    """sequences, isotropy after each `every` sequences in the order of `by`: sums of blocks of `every` sequences, and a running
-    total over the blocks."""
-    blocks = numbered(similarities.select(by, "similarity"), [F.col(by)]).withColumn("block", F.floor((F.col("_n") - 1) / every))
-    sums = blocks.groupBy("block").agg(F.sum("similarity").alias("s"), F.count("*").alias("n")).where(F.col("n") == every)
-    upto = Window.orderBy("block")  # a row a report
-    return sums.select(((F.col("block") + 1) * every).alias("sequences"), (1 - F.sum("s").over(upto) / F.sum("n").over(upto)).alias("isotropy"))
+    """sequences, isotropy after each `every` sequences in the order of `by`, from prefix sums by range."""
+    upto = prefix_sums(similarities.select(by, "similarity"), [F.col(by)], "similarity", "_before", number="_n").where(F.col("_n") % every == 0)
+    return upto.select(F.col("_n").alias("sequences"), (1 - (F.col("_before") + F.col("similarity")) / F.col("_n")).alias("isotropy"))
 
 
 def mean_pooled(frame: DataFrame, by: str, vector: str, mask: str, least: float = 1e-9) -> DataFrame:

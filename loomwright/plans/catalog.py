@@ -547,15 +547,16 @@ cut AS (SELECT pair_id, turn, CASE WHEN len(i) > 32 THEN list_append(i[1:31], 1)
 shifted AS (SELECT *, CASE WHEN len(labels) > 0 THEN list_prepend(0, labels[1:len(labels) - 1]) ELSE [0] END AS decoder_input_ids FROM cut)"""
 
 
-def _features(spark, sf_dir) -> DataFrame:
-    p = article_pairs(spark, sf_dir)
-    p = p.select("pair_id", "turn", training.hashed_ids(F.col("input")).alias("source"), training.hashed_ids(F.col("output")).alias("target"))
-    return training.model_inputs(p, "source", "target", 32, 24, 1, 0).select("pair_id", "turn", "input_ids", "labels", "decoder_input_ids")
+def _features(spark, sf_dir, pairs: DataFrame | None = None) -> DataFrame:
+    p = article_pairs(spark, sf_dir) if pairs is None else pairs
+    rest = [c for c in p.columns if c not in ("input", "output", "conv_id")]
+    p = p.select(*rest, training.hashed_ids(F.col("input")).alias("source"), training.hashed_ids(F.col("output")).alias("target"))
+    return training.model_inputs(p, "source", "target", 32, 24, 1, 0).select(*rest, "input_ids", "labels", "decoder_input_ids")
 
 
 def _batched(spark, sf_dir) -> DataFrame:
-    """Features in batches of 8, in order."""
-    return datasets.batches(_features(spark, sf_dir).drop("turn"), 8, [F.col("pair_id")])
+    """Features in batches of 8, in order; pairs are numbered first, so that features are made once."""
+    return _features(spark, sf_dir, datasets.batches(article_pairs(spark, sf_dir).drop("turn"), 8, [F.col("pair_id")]))
 
 
 @query(f"""WITH {_FEATURES} SELECT pair_id, array_to_string(input_ids, ' ') AS input_ids, array_to_string(labels, ' ') AS labels, array_to_string(decoder_input_ids, ' ') AS decoder_input_ids FROM shifted""")

@@ -2,11 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import datasets, rewards
+from ..functions import text
+from ..operators import datasets, patterns, rewards
 from ..sources.scratch import new_path
 from ..sources.store import KeyedStore
 from .adaptive import adaptive_tournament
-from .catalog import _TWO, _named, _preferences, query, table
+from .catalog import _TWO, TOKENS, _named, _preferences, query, table
 from .tasks import _JUDGED
 
 
@@ -101,3 +102,11 @@ def reward_quantiles(spark, sf_dir):
     exact = e.join(F.broadcast(both), "event_type").groupBy("event_type", "p").agg(rank("q").alias("r"), rank("q_whole").alias("r_whole"))
     near = lambda x, y: F.abs(x - y) <= rewards.RANK_ERROR
     return exact.select("event_type", F.col("p").cast("decimal(3,2)").alias("p"), near(F.col("r"), F.col("p")).alias("near"), near(F.col("r"), F.col("r_whole")).alias("as_whole"))
+
+
+@query(f"""WITH words AS (SELECT DISTINCT unnest({TOKENS('text')}) AS word FROM benchmark)
+SELECT doc_id, word AS pattern, CAST((length(text) - length(replace(text, word, ''))) / length(word) AS BIGINT) > 0 AS there FROM documents JOIN words ON contains(text, word)""")
+def dictionary_hits(spark, sf_dir):
+    """All words of a dictionary that occur in each text, within words too."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(text.tokens(F.col("text"))).alias("pattern")).distinct()
+    return patterns.occurrences(table(spark, sf_dir, "documents"), words, "doc_id").select("doc_id", "pattern", (F.col("n") > 0).alias("there"))

@@ -6,6 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from loomwright.operators import datasets, ranking, vectors
+from loomwright.operators.patterns import occurrences
 from loomwright.plans.adaptive import adaptive_tournament
 
 SAMPLES = "sample_id string, name string, pos int, content string"
@@ -59,3 +61,41 @@ def test_adaptive_rounds_take_up_what_was_told(spark):
 def test_adaptive_rounds_of_no_samples(spark):
     rankings, made = adaptive_tournament(spark.createDataFrame([], SAMPLES), judged_by({("a", "b"): 1.0}))
     assert rankings.collect() == [] and made.collect() == []
+
+
+@pytest.mark.parametrize("block", [100_000, 3])
+def test_occurrences_of_many_patterns(spark, block):
+    rng = random.Random(5)
+    make = lambda n: "".join(rng.choice(["a", "b", "ab", "é", "🙂", " "]) for _ in range(n))
+    texts = [(i, make(rng.randrange(60))) for i in range(40)] + [(40, None), (41, ""), (None, "abab"), (3, "aaa"), (3, "aaa"), (42, "ab" * 50_000)]
+    patterns = sorted({make(rng.randrange(1, 4)) for _ in range(20)} | {"aa", "ab", "abab", "nowhere"})
+    frame = spark.createDataFrame(texts, "doc_id long, text string").withColumn("pattern", F.lit(1)).repartition(3)
+    asked = spark.createDataFrame([(p,) for p in [*patterns, "", None, "ab"]], "pattern string")
+    got = sorted(map(tuple, occurrences(frame, asked, "doc_id", block=block).collect()), key=repr)
+    count = lambda t, p: sum(t.startswith(p, i) for i in range(len(t)))
+    assert got == sorted(((i, p, n) for i, t in texts if t for p in patterns if (n := count(t, p))), key=repr)
+    assert occurrences(frame, asked.limit(0), "doc_id").collect() == []
+
+
+def test_interim_isotropy_has_no_window_over_all(spark, monkeypatch):
+    monkeypatch.setattr(datasets, "RANGE_ROWS", 4)
+    rows = spark.createDataFrame([(i, (i * 37 % 11) / 11) for i in range(23)], "s long, similarity double").repartition(4)
+    got = {r.sequences: r.isotropy for r in vectors.interim(rows, "s", 5).collect()}
+    assert got == {n: pytest.approx(1 - sum((i * 37 % 11) / 11 for i in range(n)) / n) for n in (5, 10, 15, 20)}
+
+
+def test_pairs_of_names(spark):
+    rows = [("s", "a", 0, "x"), ("s", "b", 1, "y"), ("s", "c", 2, "z"), ("t", "a", 0, "w")]
+    frame = spark.createDataFrame(rows, SAMPLES)
+    done = spark.createDataFrame([("s", "a", "c", 1)], "sample_id string, x string, y string, preferred int")
+    assert sorted((r.sample_id, r.x, r.y, r.content_x, r.content_y) for r in ranking.comparisons_to_make(frame, done=done).collect()) == [("s", "a", "b", "x", "y"), ("s", "b", "c", "y", "z")]
+    fixed = spark.createDataFrame([("c", "a"), ("a", "b")], "x string, y string")
+    assert sorted((r.x, r.y) for r in ranking.comparisons_to_make(frame, fixed).collect()) == [("a", "b"), ("c", "a")]
+
+
+def test_closure_of_very_many_names(spark):
+    """300 names a sample, by chains of single comparisons: seconds, not hours."""
+    chain = spark.createDataFrame([("s", f"n{i:03d}", f"n{i + 1:03d}", 1) for i in range(299)], "sample_id string, x string, y string, preferred int")
+    assert ranking.closure(ranking.decided(chain)).count() == 300 * 299 // 2
+    r = ranking.tournament(chain).first()
+    assert r.status == "ranked" and r.ranking == [f"n{i:03d}" for i in range(300)]
