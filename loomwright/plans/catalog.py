@@ -607,9 +607,16 @@ def argmax_token(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", arrays.argmax(F.col("embedding")).alias("best"))
 
 
-@query("SELECT * FROM (VALUES ('vietnews', 200, NULL), ('xsum', 80, 512), ('cnndm', 120, 1024)) t(dataset, max_output, max_input)")
+@query(f"""WITH {PAIRS}, named AS (SELECT pair_id, CASE pair_id % 3 WHEN 0 THEN 'vietnews' WHEN 1 THEN 'xsum' ELSE 'cnndm' END AS dataset,
+  len(list_filter(string_split_regex(input, '\\s+'), lambda x: x <> '')) AS i, len(list_filter(string_split_regex(output, '\\s+'), lambda x: x <> '')) AS o FROM pairs)
+SELECT pair_id, n.dataset, CAST(least(i, coalesce(max_input, i)) AS INTEGER) AS n_input, CAST(least(o, max_output) AS INTEGER) AS n_output
+FROM named n JOIN (VALUES ('vietnews', 200, NULL), ('xsum', 80, 512), ('cnndm', 120, 1024)) t(dataset, max_output, max_input) ON t.dataset = n.dataset""")
 def dataset_presets(spark, sf_dir):
-    return generation.presets(spark)
+    """Words of pairs that the length limits of their dataset leave; every third pair is of one dataset."""
+    of = F.element_at(F.array(F.lit("vietnews"), F.lit("xsum"), F.lit("cnndm")), (F.col("pair_id") % 3 + 1).cast("int"))
+    rows = article_pairs(spark, sf_dir).withColumn("dataset", of).join(F.broadcast(generation.presets(spark)), "dataset")  # a row a dataset
+    n = lambda c: F.size(text.words(F.col(c)))
+    return rows.select("pair_id", "dataset", F.least(n("input"), F.coalesce("max_input", n("input"))).alias("n_input"), F.least(n("output"), F.col("max_output")).alias("n_output"))
 
 
 # without SQL ----------------------------------------------------------------------------------------------------------

@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import ranking
+from ..operators import datasets, ranking
 from ..sources import lines, readers, recordfile, writers
 from ..sources.scratch import new_path
+from . import checkpoints
 from .catalog import CANDIDATES, candidates, query, table
 
 #: Bytes of a split in these queries, so that small files too are cut into several.
@@ -65,3 +66,29 @@ def csv_scan_split(spark, sf_dir):
     path = new_path(spark, "csv")
     writers.csv(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string"), "text", "source").coalesce(1), path)
     return lines.csv_records(spark, path, "doc_id string, text string, source string", split_bytes=50 * SPLIT)
+
+
+@query("SELECT row_number() OVER (ORDER BY item_id = 0, 'a=' || (item_id % 4), 'n=' || item_id) AS place, md5(text || chr(10)) AS digest FROM benchmark")
+def directory_walk(spark, sf_dir):
+    """The files of a tree, those of its folders before its own."""
+    path = new_path(spark, "tree")
+    b = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 4).alias("a"), F.col("item_id").alias("n"), "text")
+    b.where("n > 0").select("a", "n", "text").write.partitionBy("a", "n").text(path)
+    b.where("n = 0").select("text").coalesce(1).write.mode("append").text(path)
+    walked = datasets.numbered(readers.whole_files(spark, path), [readers.tree_order(F.col("path"))], "place")
+    return walked.select("place", F.md5("value").alias("digest"))
+
+
+@query("""SELECT run, CASE run WHEN 'a' THEN 3 ELSE 2 END AS step, part, count(*) AS n, md5(string_agg(key, ' ' ORDER BY key)) AS keys, round(sum(v) * CASE run WHEN 'a' THEN 3 ELSE 2 END, 4) AS total
+FROM (SELECT CASE WHEN vec_id % 4 = 0 THEN 'v_head' ELSE 'pretrained' END AS part, 'layer.' || vec_id AS key, list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS v FROM embeddings), (VALUES ('a'), ('b')) t(run) GROUP BY run, part""")
+def checkpoint_parts(spark, sf_dir):
+    """The latest weights of two runs, by the parts that their keys name."""
+    path = new_path(spark, "checkpoints")
+    e = table(spark, sf_dir, "embeddings").select(F.concat(F.when(F.col("vec_id") % 4 == 0, "v_head.").otherwise(""), F.lit("layer."), F.col("vec_id").cast("string")).alias("key"), F.transform("embedding", lambda x: x.cast("double")).alias("value"))
+    for run, steps in (("a", 3), ("b", 2)):
+        for step in range(1, steps + 1):
+            checkpoints.save(e.withColumn("value", F.transform("value", lambda x: x * step)), path, run, step)
+    rows = checkpoints.split_by_prefix(checkpoints.load(spark, path, "key string, value array<double>"), ["v_head."], "pretrained")
+    total = F.aggregate("value", F.lit(0.0), lambda a, x: a + x)
+    keys = F.md5(F.array_join(F.array_sort(F.collect_list("key")), " "))
+    return rows.groupBy("run", F.col("step").cast("int").alias("step"), "part").agg(F.count("*").alias("n"), keys.alias("keys"), F.round(F.sum(total), 4).alias("total"))

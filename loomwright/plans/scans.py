@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, text
 from ..operators import datasets, ranking, vectors
-from ..sources import readers, writers
+from ..sources import lines, readers, writers
 from ..sources.scratch import new_path
 from . import decoding, generation
 from .catalog import CANDIDATES, PAIRS, TOKENS, article_pairs, candidates, query, rounded, table
@@ -27,7 +27,7 @@ def _written_text(frame, spark, name: str) -> str:
 def csv_scan(spark, sf_dir):
     path = new_path(spark, "csv")
     writers.csv(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string"), "text", "source"), path)
-    return readers.csv(spark, path, schema="doc_id string, text string, source string")
+    return lines.csv_records(spark, path, "doc_id string, text string, source string")
 
 
 @query("SELECT CAST(item_id AS VARCHAR) AS _c0, text AS _c1 FROM benchmark")
@@ -35,7 +35,7 @@ def csv_scan_headerless(spark, sf_dir):
     path = new_path(spark, "csv")
     rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string"), "text")
     rows.write.option("header", False).option("quote", '"').option("escape", '"').option("sep", ";").csv(path)
-    return readers.csv(spark, path, header=False, sep=";")
+    return lines.csv_records(spark, path, "_c0 string, _c1 string", header=False, sep=";")
 
 
 @query(f"WITH {PAIRS} SELECT pair_id, input, output FROM pairs")

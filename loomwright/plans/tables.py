@@ -3,11 +3,11 @@
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import datasets, patterns, rewards
+from ..operators import datasets, patterns, rewards, rouge
 from ..sources.scratch import new_path
 from ..sources.store import KeyedStore
 from .adaptive import adaptive_tournament
-from .catalog import _TWO, TOKENS, _named, _preferences, query, table
+from .catalog import _TWO, PAIRS, TOKENS, _named, _preferences, _rouge_sql, article_pairs, query, rounded, table
 from .tasks import _JUDGED
 
 
@@ -110,3 +110,15 @@ def dictionary_hits(spark, sf_dir):
     """All words of a dictionary that occur in each text, within words too."""
     words = table(spark, sf_dir, "benchmark").select(F.explode(text.tokens(F.col("text"))).alias("pattern")).distinct()
     return patterns.occurrences(table(spark, sf_dir, "documents"), words, "doc_id").select("doc_id", "pattern", (F.col("n") > 0).alias("there"))
+
+
+def _lowered(c: str) -> str:
+    """SQL of a text that is put into lower case before anything else."""
+    return f"lower({c})"
+
+
+@query(f"WITH {PAIRS}, low AS (SELECT pair_id, {_lowered('input')} AS input, {_lowered('output')} AS output FROM pairs), {_rouge_sql('low', 'pair_id', 'output', 'input', 1, 'r1')} SELECT pair_id, round(p, 6) AS rouge1_p, round(r, 6) AS rouge1_r, round(f, 6) AS rouge1_f FROM r1")
+def rouge_lower_first(spark, sf_dir):
+    """The variant that lowers texts before punctuation goes."""
+    p = article_pairs(spark, sf_dir).select("pair_id", text.tokens(F.lower("output")).alias("h"), text.tokens(F.lower("input")).alias("r"))
+    return rounded(rouge.rouge(p, "pair_id", "h", "r", ns=(1,), tokenized=True), "rouge1_p", "rouge1_r", "rouge1_f")

@@ -76,10 +76,11 @@ def key_lines_scan(spark, sf_dir):
     return readers.lines(spark, path, keep_empty=True).groupBy("value").agg(F.count("*").cast("int").alias("n"))
 
 
-@query("SELECT * FROM (VALUES (0, 'a', 1), (1, 'b', NULL), (2, NULL, 3)) t(row_id, name, size)")
+@query("SELECT row_number() OVER (ORDER BY item_id) - 1 AS row_id, item_id, CASE WHEN item_id % 3 > 0 THEN text END AS text FROM benchmark")
 def list_dataset(spark, sf_dir):
-    rows = [{"name": "a", "size": 1}, {"name": "b", "size": None}, {"name": None, "size": 3}]
-    return readers.in_memory(spark, rows, "name string, size int").withColumn("row_id", F.col("row_id").cast("int"))
+    """A list of records in memory, here the test items, as a dataset."""
+    rows = [{"item_id": r["item_id"], "text": r["text"] if r["item_id"] % 3 else None} for r in table(spark, sf_dir, "benchmark").orderBy("item_id").toLocalIterator()]
+    return readers.in_memory(spark, rows, "item_id long, text string")
 
 
 @query(f"WITH {PAIRS} SELECT row_number() OVER (ORDER BY pair_id) - 1 AS row_id, pair_id, input FROM pairs")
@@ -245,12 +246,15 @@ def batch_lengths(spark, sf_dir):
     return jobs.batch_lengths(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", 200, 120, 7)
 
 
-@query(r"SELECT CAST(code AS INTEGER) AS code, regexp_matches(chr(code), '[!-/:-@\[-`{-~]') AS punctuation, code IN (9, 10, 11, 12, 13, 28, 29, 30, 31, 32) AS space, (code < 32 OR code = 127) AND code NOT IN (9, 10, 11, 12, 13, 28, 29, 30, 31) AS control FROM (SELECT CAST(unnest(range(1, 128)) AS INTEGER) AS code)")
+@query(r"""SELECT unicode(x) AS code, count(*) AS n, regexp_matches(x, '[\p{P}!-/:-@\[-`{-~]') AS punctuation,
+  regexp_matches(x, '[\t-\r\x1c-\x1f\x{85}\p{Z}]') AND unicode(x) <> 5760 AS space, regexp_matches(x, '[\p{Cc}\p{Cf}\x{fffc}\x{fffd}]') AND NOT regexp_matches(x, '[\t-\r\x1c-\x1f\x{85}]') AS control
+FROM (SELECT unnest(string_split(text, '')) AS x FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations)) WHERE x <> '' GROUP BY x""")
 def character_classes(spark, sf_dir):
-    """What ASCII characters count as; other planes are tested by hand."""
-    c = spark.range(1, 128).select(F.col("id").cast("int").alias("code"), F.char(F.col("id")).alias("x"))
+    """What the characters of all texts count as, and how many there are; characters that no text has are tested by hand."""
+    texts = table(spark, sf_dir, "documents").select("text").unionByName(table(spark, sf_dir, "conversations").select("text"))
+    c = texts.select(F.explode(F.split("text", "")).alias("x")).where("x <> ''").groupBy("x").agg(F.count("*").alias("n"))
     found = lambda pattern: F.regexp_like("x", F.lit(pattern))
-    return c.select("code", text.punctuated(F.col("x")).alias("punctuation"), found(text.CLEAN_SPACE).alias("space"), found(text.CLEAN_CONTROL).alias("control"))
+    return c.select(F.ascii("x").alias("code"), "n", text.punctuated(F.col("x")).alias("punctuation"), found(text.CLEAN_SPACE).alias("space"), found(text.CLEAN_CONTROL).alias("control"))
 
 
 @query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'graceful' WHEN 1 THEN 'unexpected' END AS error_type, CASE event_id % 3 WHEN 1 THEN 'code ' || user_id ELSE 'x' END AS shown FROM events""")

@@ -79,6 +79,12 @@ def whole_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
+def tree_order(path: Column) -> Column:
+    """A key in whose order a tree is walked: of each folder first its folders, then its files, both by name."""
+    parts = F.split(path, "/")
+    return F.transform(parts, lambda x, i: F.concat(F.when(i < F.size(parts) - 1, "0").otherwise("1"), x))
+
+
 def labelled(files: DataFrame) -> DataFrame:
     """path, input, output of files with 'Summary: ...\\nContent:\\n...'; others are dropped. Order is by path, if asked for."""
     pattern = r"(?s)Summary: (.*?)\nContent:\n(.*)"

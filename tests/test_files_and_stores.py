@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwright.operators import datasets, rewards
+from loomwright.plans import checkpoints
 from loomwright.sources import lines, readers, recordfile
 from loomwright.sources.store import KeyedStore
 
@@ -220,3 +221,23 @@ def test_merged_sketches_are_near_exact(spark):
     for r in merged:
         of = frame.where(f"g = {r.g} AND v IS NOT NULL")
         assert abs(of.where(F.col("v") <= r.q).count() / of.count() - r.p) <= rewards.RANK_ERROR
+
+
+# checkpoints and trees -----------------------------------------------------------------------------------------------------
+def test_checkpoints_are_saved_loaded_and_split(spark, tmp_path):
+    path = str(tmp_path / "c")
+    made = lambda v: spark.createDataFrame([("v_head.a", v), ("v_head.deep.b", v), ("model.v_head.c", v), ("v", v)], "key string, value long")
+    for run, step in (("x", 2), ("x", 10), ("y", 1)):
+        checkpoints.save(made(step), path, run, step)
+    with pytest.raises(Exception, match="exists"):
+        checkpoints.save(made(0), path, "x", 10)
+    load = lambda **o: {(r.run, r.step, r.value) for r in checkpoints.load(spark, path, "key string, value long", **o).collect()}
+    assert load() == {("x", 10, 10), ("y", 1, 1)} and load(run="x") == {("x", 10, 10)} and load(run="x", step=2) == {("x", 2, 2)}
+    got = {(r.part, r.key) for r in checkpoints.split_by_prefix(made(1), ["v_head.", "v_head.deep."], "rest").collect()}
+    assert got == {("v_head", "a"), ("v_head.deep", "b"), ("rest", "model.v_head.c"), ("rest", "v")}
+
+
+def test_trees_are_walked_folders_first(spark):
+    paths = ["t/z.txt", "t/a.txt", "t/b/1.txt", "t/b/c/9.txt", "t/b-x/0.txt", "t/b/a.txt"]
+    frame = spark.createDataFrame([(p,) for p in paths], "path string")
+    assert [r.path for r in frame.orderBy(readers.tree_order(F.col("path"))).collect()] == ["t/b/c/9.txt", "t/b/1.txt", "t/b/a.txt", "t/b-x/0.txt", "t/a.txt", "t/z.txt"]
