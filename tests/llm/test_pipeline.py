@@ -1,8 +1,10 @@
 import re
 import zlib
 
+import public_tokenizers
+
 import corpus_pipeline
-from loomwright.llm import _text, decontaminate, queries, simhash, substring
+from loomwright.llm import _text, decontaminate, queries, simhash, substring, tokens
 from loomwright.llm._text import spread
 
 from .cases import empty, messy
@@ -53,6 +55,16 @@ def test_stages_against_brute_force(spark, sf):
     rebuilt(last, sequences, 2048)
     assert all(r.doc_ids == [p.doc_id for p in r.pieces] for r in sequences)
 
+    # the whole run gives the texts that these stages leave, in pieces of the tokens that they state
+    pieces = [p for r in corpus_pipeline.run(spark, sf).collect() for p in r.pieces]
+    texts = {}
+    for p in sorted(pieces, key=lambda p: (p.doc_id, p.piece)):
+        assert p.piece_start == len(texts.get(p.doc_id, ""))
+        texts[p.doc_id] = texts.get(p.doc_id, "") + p.text
+    assert texts == {r.doc_id: r.text or "" for r in left}
+    counted = tokens.Tokens(str(public_tokenizers.path("byte_bpe_50k.json"))).counts([p.text.encode() for p in pieces])
+    assert counted == [p.length for p in pieces]
+
 
 def test_run_on_awkward_and_empty_tables(spark, tmp_path):
     for name, docs in (("messy", messy(spark)), ("plain", messy(spark, extra=False)), ("none", empty(spark))):
