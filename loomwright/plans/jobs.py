@@ -14,6 +14,9 @@ from ..operators import datasets
 from ..sources import readers, writers
 from . import generation, settings
 
+#: Keys of all workers' pools together, which are broadcast.
+POOL_KEYS = 1_000_000
+
 #: Field transforms by name: functions from a text column to a column.
 TRANSFORMS = settings.Registry("transform")
 for _name, _function in (("lower", F.lower), ("upper", F.upper), ("tokens", text.tokens), ("words", text.words), ("strip", text.pystrip), ("lines", text.stripped_lines)):
@@ -76,7 +79,9 @@ def assigned(requests: DataFrame, keys: DataFrame, workers: int, number: str, ke
     own, by md5 of seed, worker and key. Keys are names; secrets stay out of tables."""
     own = keys.select(F.col(key).alias("_key"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(workers - 1).cast("long"))).alias("worker"))
     mixed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("worker").cast("string"), "_key"))
-    pools = own.groupBy("worker").agg(F.array_sort(F.collect_list(F.struct(mixed.alias("m"), "_key"))).alias("pool"))  # keys of one pool, `workers` rows
+    pools = own.groupBy("worker").agg(F.array_sort(F.collect_list(F.struct(mixed.alias("m"), "_key"))).alias("pool"))
+    if keys.count() * workers > POOL_KEYS:
+        raise ValueError(f"{workers} workers share a pool of {POOL_KEYS // workers} keys at most")
     dealt = requests.withColumn("worker", F.col(number) % workers)
     turn = (F.floor(F.col(number) / workers) % F.size("pool")).cast("int")
     return dealt.join(F.broadcast(pools), "worker").withColumn("key", F.get("pool", turn)["_key"]).drop("pool")

@@ -19,7 +19,8 @@ def records(frame: DataFrame, path: str, order: list[Column] | None = None, appe
 
 
 def append_records(frame: DataFrame, path: str, order: list[Column]) -> None:
-    """Appends rows, in order, behind the last ordinal of a store, or makes it."""
+    """Appends rows, in order, behind the last ordinal of a store, or makes it. One appender at a time: two would give the
+    same ordinals. `recordfile.write_records` refuses the second of two."""
     spark = frame.sparkSession
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)

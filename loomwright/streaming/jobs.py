@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..sources.store import KeyedStore
+
 
 def resume(stream: DataFrame, out: str, checkpoint: str, key: str, work: Callable[[DataFrame], DataFrame]):
     """Starts a query that puts each new row, whose key `out` does not have yet, through `work` and appends the result.
 
-    A batch that is run again finds its rows done, so that restarts do not repeat rows.
+    A batch that is run again finds its rows done, so that restarts do not repeat rows. Each batch reads the keys of all
+    output so far; `resume_into` does not.
     """
 
     def each(batch: DataFrame, _: int) -> None:
@@ -27,6 +30,18 @@ def resume(stream: DataFrame, out: str, checkpoint: str, key: str, work: Callabl
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each).trigger(availableNow=True).start()
 
 
+def resume_into(stream: DataFrame, store: KeyedStore, checkpoint: str, work: Callable[[DataFrame], DataFrame]):
+    """The same into a keyed store: each batch reads the buckets of its own keys alone, however much the store holds, and
+    rewrites those that get rows. A batch that is run again changes nothing."""
+
+    def each(batch: DataFrame, _: int) -> None:
+        done = store.lookup(batch).select(*store.keys)
+        new = batch.join(done, store.keys, "left_anti").dropDuplicates(store.keys)
+        store.upsert(work(new))
+
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each).trigger(availableNow=True).start()
+
+
 class _Baseline(StatefulProcessor):
     """A user's sum and count so far; each reward's baseline is the mean of the earlier ones."""
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomwright.plans import jobs as tasks
 from loomwright.sources import readers, writers
+from loomwright.sources.store import KeyedStore
 from loomwright.streaming import jobs
 
 
@@ -131,6 +132,21 @@ def test_resumed_stream(spark, tmp_path):
     assert sorted(r.k for r in spark.read.parquet(out).collect()) == [0, 1, 2, 3, 10, 11]
 
 
+def test_stream_resumed_into_a_store(spark, tmp_path):
+    src, worked = f"{tmp_path}/in", []
+    store = KeyedStore(spark, f"{tmp_path}/out", "k long, batch int", ["k"], buckets=8)
+    rows = spark.range(40).withColumnRenamed("id", "k")
+    for n, part in enumerate((rows, rows.where("k > 35").union(rows.where("k > 35")), spark.range(100, 101).withColumnRenamed("id", "k"))):
+        part.write.mode("append").parquet(src)
+        stream = spark.readStream.schema(rows.schema).parquet(src)
+        before = store._manifest()[1]["at"]
+        jobs.resume_into(stream, store, f"{tmp_path}/cp", lambda b, n=n: worked.append(b.count()) or b.withColumn("batch", F.lit(n))).awaitTermination()
+        changed = {b for b, at in store._manifest()[1]["at"].items() if before.get(b) != at}
+        assert len(changed) == (8 if n == 0 else n // 2)
+    assert worked == [40, 0, 1]
+    assert sorted((r.k, r.batch) for r in store.read().collect()) == [*((k, 0) for k in range(40)), (100, 2)]
+
+
 def test_running_baseline_stream(spark, sf, tmp_path):
     events = spark.read.parquet(f"{sf}/events.parquet")
     stream = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parquet*")
