@@ -46,7 +46,8 @@ AT_ONCE = 100_000
 
 
 def components(edges: DataFrame, ws: Workspace, name: str = "stars", at_once: int = AT_ONCE) -> DataFrame:
-    """node, root (the smallest node of its component) for every node that has an edge, but for roots.
+    """node, root (the smallest node of its component) for every node that has an edge, but for roots. Edges u, v are numbers without
+    nulls; loops and repeated edges change nothing; without edges there are no rows.
 
     Each task first reduces its edges to a forest. If `at_once` edges are left at most, one task joins them; if more, rounds
     of stars do, each of which is spread over all tasks. Each round's edges are a written table. A round leaves every node with one edge to its component's smallest node once

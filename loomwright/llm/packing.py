@@ -31,7 +31,8 @@ _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 class Words:
-    """Cuts texts by words (runs of bytes other than white space); white space stays with the word before it."""
+    """Cuts texts by words (runs of bytes other than white space); white space stays with the word before it. A word is one unit
+    of any length, so that a piece has no bound in bytes."""
 
     def __init__(self, capacity: int):
         self.capacity = capacity
@@ -154,7 +155,7 @@ def sequences(spark: SparkSession, documents: DataFrame, text: str = "text", id:
     `cutter` cuts and measures texts; without it, `Words`. `cluster` names a column of duplicate clusters; without it, texts
     that are equal but for case are one cluster. Null, empty and blank texts have nothing to pack: a row of its own with
     null bin_id, bin_used 0 and one piece of length 0. Null sources are one source; null clusters conflict with none. Repeated rows are packed each, in different
-    bins, as they share a cluster. Ties go by length, then doc_id, piece, source, cluster. An empty table gives an empty
+    bins, as they share a cluster; a task that meets over 100,000 different rows deals later repeats from the first shard on again. Ties go by length, then doc_id, piece, source, cluster. An empty table gives an empty
     result. Other columns are not read, whatever their names.
     """
     rows = documents.select(

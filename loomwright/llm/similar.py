@@ -91,7 +91,8 @@ def _frequent(documents: DataFrame, shingle: int) -> np.ndarray:
 
 def sets(spark: SparkSession, documents: DataFrame, text: str, id: str, ws: Workspace, shingle: int = SHINGLE) -> DataFrame:
     """rid, doc_id, fp (a hash of the whole set), n (its size), sim (its SimHash), sketch, fine (a longer one), prefix: one row
-    a row of documents."""
+    a row of documents. Null, empty and blank texts have the empty set, without a prefix; null ids stay null; an empty table
+    gives an empty one."""
     frequent = spark.sparkContext.broadcast(_frequent(has_columns(documents, text=(text, "string")), shingle))
 
     def start():

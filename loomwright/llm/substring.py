@@ -71,7 +71,8 @@ class FingerprintIndex:
 
     def add(self, entries: DataFrame) -> DataFrame:
         """Appends one batch's fingerprints (column h, repeats included) as a run. Returns h, late: those that history has
-        or that the batch has twice; late if a run of history has it once. Read it before the next `compact`."""
+        or that the batch has twice; late if a run of history has it once. Read it before the next `compact`. Fingerprints are numbers
+        without nulls; a batch without any becomes an empty run."""
         counted = entries.groupBy("h").agg(F.count("*").alias("n"))
         run = self._write(counted.repartition(self.buckets, "h"))
         out = self.ws.spark.table(run).select("h", "n", F.lit(False).alias("known"), F.lit(False).alias("late"))
