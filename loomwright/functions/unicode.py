@@ -10,12 +10,22 @@ from pyspark.sql import types as T
 from .text import cleaned
 
 
+#: Characters that NFKC leaves alone wherever they stand: up to U+009F, and composed Latin letters, those of Vietnamese among them.
+STABLE = r"\x{0}-\x{9f}\x{c0}-\x{131}\x{134}-\x{13e}\x{141}-\x{148}\x{14a}-\x{17e}\x{1ea0}-\x{1ef9}"
+
+
 @F.pandas_udf(T.StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """NFKC normalization; null stays null."""
+def _normalized(text: pd.Series) -> pd.Series:
     return text.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
+def nfkc(text: Column | str) -> Column:
+    """NFKC normalization; null stays null. Texts of stable characters alone stay in the JVM: Python gets nulls in their place."""
+    text = F.col(text) if isinstance(text, str) else text
+    changes = F.regexp_like(text, F.lit(f"[^{STABLE}]"))
+    return F.coalesce(_normalized(F.when(changes, text)), text)
+
+
 def clean_text(text: Column, space_cjk: bool = False, replace_newline: bool = False) -> Column:
     return cleaned(nfkc(text), replace_newline, space_cjk)
 

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomwright.functions import text
+from loomwright.functions import text, unicode
 from loomwright.functions.porter import stem, stemmed
 from loomwright.functions.unicode import category, clean_text, nfkc
 
@@ -113,3 +113,14 @@ def test_porter_examples(spark):
 def test_strip_of_any_text(spark, cases):
     assert values(spark, text.pystrip(F.col("s")), cases) == [x.strip() for x in cases]
     assert all(re.fullmatch(r"\S+", w) for ws in values(spark, text.words(F.col("s")), cases) for w in ws)
+
+
+def test_nfkc_of_stable_and_other_texts(spark):
+    """Stable characters are left alone, one by one and side by side; all others come out as in Python."""
+    inside = re.compile("[" + re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", unicode.STABLE) + "]")
+    stable = [c for c in map(chr, range(0x2000)) if inside.match(c)]
+    assert len(stable) == 436 and all(unicodedata.normalize("NFKC", c) == c and not unicodedata.combining(c) for c in stable)
+    assert unicodedata.normalize("NFKC", "".join(stable)) == "".join(stable) and unicodedata.normalize("NFKC", "".join(stable[::-1])) == "".join(stable[::-1])
+    texts = ["".join(stable[1:]), "plain", "", None, "e\u0301", "\ufb01ne", "x\u00a0y", "\u1100\u1161", "Ti\u00ea\u0301ng Vi\u1ec7t", "\u0133", "\u2460"]
+    got = [r.t for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", unicode.nfkc("t").alias("t")).orderBy("i").collect()]
+    assert got == [t if t is None else unicodedata.normalize("NFKC", t) for t in texts]
