@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, text
 from ..operators import datasets, ranking, vectors
+from ..operators.decoding import greedy
 from ..sources import lines, readers, writers
 from ..sources.scratch import new_path
-from . import decoding, generation
+from . import generation
 from .catalog import CANDIDATES, PAIRS, TOKENS, article_pairs, candidates, query, rounded, table
 
 
@@ -183,30 +184,21 @@ def record_store_scan(spark, sf_dir):
     return readers.records(spark, path).select("row_id", "n_chars")
 
 
-@query()
-def greedy_decoding(spark, sf_dir):
-    """A toy model's logits decoded with blocked bigrams: the decoding loop in a generator's place."""
-    return generation.generated(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("input")), ToyModel())
-
-
-class ToyModel:
-    """Continues with the input's words by how often each follows the last one."""
+_BEST = """list_sort(list_transform(list_filter(range(1, len(names) + 1), lambda i: NOT list_contains(used, out[-1] || ' ' || names[i])),
+  lambda i: {'c': -len(list_filter(pairs, lambda p: p = out[-1] || ' ' || names[i])), 'i': i}))"""
 
-    def load(self) -> None: ...
 
-    def generate(self, inputs: list[str]) -> list[str]:
-        return [self._one((x or "").split()) for x in inputs]
-
-    def _one(self, words: list[str]) -> str:
-        import numpy as np
-
-        names = ["<s>", "</s>", *dict.fromkeys(words)]
-        number = {w: i for i, w in enumerate(names)}
-        follows = np.zeros((len(names), len(names)))
-        for a, b in zip(["<s>", *words], [*words, "</s>"]):
-            follows[number[a], number[b]] += 1
-        out = decoding.decode(lambda seqs, rows: np.array([follows[s[-1]] for s in seqs]), 1, 0, 1, longest=12, block=2)[0]
-        return " ".join(names[i] for i in out if i > 1)
+@query(f"""WITH RECURSIVE texts AS (SELECT item_id AS id, text AS input, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM benchmark
+), told AS (SELECT id, input, list_concat(['<s>', '</s>'], list_filter(w, lambda x, i: list_position(w, x) = i)) AS names,
+  list_transform(range(0, len(w) + 1), lambda i: CASE WHEN i = 0 THEN '<s>' ELSE w[i] END || ' ' || CASE WHEN i = len(w) THEN '</s>' ELSE w[i + 1] END) AS pairs FROM texts
+), steps AS (SELECT id, 0 AS n, names, pairs, ['<s>'] AS out, CAST([] AS VARCHAR[]) AS used FROM told
+  UNION ALL SELECT id, n + 1, names, pairs, list_append(out, token), list_append(used, out[-1] || ' ' || token) FROM (
+    SELECT *, coalesce(names[({_BEST}[1]).i], '</s>') AS token FROM steps WHERE n < 12 AND out[-1] <> '</s>'))
+SELECT id, input, array_to_string(list_filter(arg_max(out, n), lambda x: x NOT IN ('<s>', '</s>')), ' ') AS output FROM steps JOIN told USING (id) GROUP BY id, input""")
+def greedy_decoding(spark, sf_dir):
+    """Texts continued by their own transitions, token by token, with repeated pairs blocked."""
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("input"))
+    return b.select("id", "input", F.array_join(greedy(text.words(F.col("input")), 12), " ").alias("output"))
 
 
 @query("SELECT path FROM (SELECT 'n=' || item_id AS path FROM benchmark) ORDER BY path")
