@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +76,16 @@ def score(text: bytes | None, dense: np.ndarray, bias: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(total + bias, -35, 35))))
 
 
+def _views(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """Each value's bytes as numbers, without a copy."""
+    out = []
+    for chunk in (x for x in column.chunks if len(x)):
+        ends = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1].tolist()
+        data = np.frombuffer(chunk.buffers()[2] or b"", np.uint8)
+        out += [data[a:b].view(np.int32) for a, b in zip(ends, ends[1:])]
+    return out
+
+
 class Toxicity:
     """A fitted model. `learn` is a condition over doc_id (of labels) that says which labels may be learnt from.
 
@@ -105,9 +116,13 @@ class Toxicity:
         chosen = sizes["doc_id"][(sizes["size"].cumsum() <= SAMPLE_BYTES).to_numpy()]
         if len(chosen) < len(sizes):
             each = each.join(F.broadcast(spark.createDataFrame(chosen.to_frame(), "doc_id long")), "doc_id", "left_semi")
-        got = each.select("doc_id", "y", "at").toArrow().to_pandas().sort_values("doc_id")  # the same model whatever order the rows arrive in
+        got = each.select("doc_id", "y", "at").toArrow()
         ws.drop("features")
-        self.places, self.weights, self.bias = (ftrl or Ftrl()).fit([np.frombuffer(x, np.int32) for x in got["at"]], got["y"].to_numpy(np.float64))
+        order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")  # the same model whatever order the rows arrive in
+        found = _views(got.column("at"))
+        self.places, self.weights, self.bias = (ftrl or Ftrl()).fit([found[i] for i in order.tolist()], got.column("y").to_numpy().astype(np.float64)[order])
+        del got, found
+        pa.default_memory_pool().release_unused()  # else the driver keeps the sample's memory
         self.shared = spark.sparkContext.broadcast((self.places, self.weights, self.bias))
 
     def _dense(self):
