@@ -1,7 +1,7 @@
 """ROUGE-N and its averages over tables of pairs.
 
-Pairs are dealt once by id; their n-grams are exploded, counted and reduced inside that one exchange, so what is shuffled
-are the texts, not their n-grams. Counts of a hypothesis and a reference come from one aggregation, without a join.
+Pairs are dealt once by id, so what is shuffled are the texts, not their n-grams. A pair's n-grams are counted within its row: both
+sides' are sorted together and walked once. So a task holds one pair's n-grams, not those of all pairs that are dealt to it.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -36,30 +36,43 @@ def scores(matches: Column, hyp: Column, ref: Column, alpha: float = 0.5) -> tup
     return p, r, f_score(p, r, alpha)
 
 
-def gram_bags(pairs: DataFrame, id: str, hyp: Column, ref: Column, n: int) -> DataFrame:
-    """id, gram, h, r: how often each n-gram occurs on either side (a full join of both bags)."""
-    both = pairs.select(id, ngrams(hyp, n).alias("hs"), ngrams(ref, n).alias("rs"))
-    side = lambda c, flag: F.transform(c, lambda g: F.struct(g.alias("gram"), F.lit(flag).alias("h")))
-    each = both.select(id, F.explode(F.concat(side("hs", 1), side("rs", 0))).alias("x")).select(id, "x.gram", "x.h")
-    return each.groupBy(id, "gram").agg(F.sum("h").alias("h"), F.sum(1 - F.col("h")).alias("r"))
+def gathered(pairs: DataFrame, id: str, **texts: Column) -> DataFrame:
+    """id and `rows`: the structs of the named columns of all rows with this id, one row an id."""
+    dealt = pairs.select(id, F.struct(*(c.alias(name) for name, c in texts.items())).alias("row")).repartition(F.col(id))
+    return dealt.groupBy(id).agg(F.collect_list("row").alias("rows"))
+
+
+def grams(rows: str, name: str, n: int) -> Column:
+    """The n-grams of all `name` (tokens) in gathered rows; none cross from one text to another, a null one has none."""
+    none = F.array().cast("array<string>")
+    return F.flatten(F.transform(rows, lambda x: F.coalesce(ngrams(x[name], n), none)))
+
+
+def matches(a: Column, b: Column) -> Column:
+    """How many n-grams two arrays share, each as often as both have it."""
+    side = lambda c, k: F.transform(c, lambda g: F.struct(g.alias("gram"), F.lit(k).alias("side")))
+    state = lambda gram, left, n: F.struct(gram.alias("gram"), left.alias("left"), n.alias("n"))
+
+    def step(s, x):
+        left = F.when(x["gram"].eqNullSafe(s["gram"]), s["left"]).otherwise(0)  # of b's, those that no one of a's took yet
+        taken = F.when(left > 0, 1).otherwise(0)
+        return F.when(x["side"] == 0, state(x["gram"], left + 1, s["n"])).otherwise(state(x["gram"], left - taken, s["n"] + taken))
+
+    start = state(F.lit("").cast("string"), F.lit(0), F.lit(0))
+    return F.aggregate(F.sort_array(F.concat(side(b, 0), side(a, 1))), start, step, lambda s: s["n"].cast("long"))
 
 
 def overlaps_by_size(pairs: DataFrame, id: str, hyp: str, ref: str, ns: tuple[int, ...], tokenized: bool = False) -> DataFrame:
     """id, and for each n matches_n (clipped), hyp_size_n, ref_size_n of each pair, in one exchange for all n.
 
-    Pairs without n-grams have zeros. Ids must be unique.
+    Pairs without n-grams, of null texts too, have zeros. Rows with one id are one pair, of the n-grams of all its rows.
     """
-    dealt = pairs.select(id, hyp, ref).repartition(F.col(id))
-    cut = (lambda c: F.col(c)) if tokenized else (lambda c: tokens(F.col(c)))
-    dealt = dealt.select(id, cut(hyp).alias("hyp_tokens"), cut(ref).alias("ref_tokens"))
-    marker = F.struct(F.lit(0).alias("n"), F.lit(None).cast("string").alias("gram"), F.lit(0).alias("h"), F.lit(0).alias("r"))
-    side = lambda c, n, h: F.transform(ngrams(F.col(c), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"), F.lit(h).alias("h"), F.lit(1 - h).alias("r")))
-    sides = [side(c, n, h) for n in ns for c, h in (("hyp_tokens", 1), ("ref_tokens", 0))]
-    each = dealt.select(id, F.explode(F.concat(F.array(marker), *sides)).alias("x")).select(id, "x.n", "x.gram", "x.h", "x.r")
-    bags = each.groupBy(id, "n", "gram").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
-    total = lambda c, n: F.coalesce(F.sum(F.when(F.col("n") == n, c)), F.lit(0)).cast("long")
-    sizes = [x for n in ns for x in (total(F.least("h", "r"), n).alias(f"matches_{n}"), total(F.col("h"), n).alias(f"hyp_size_{n}"), total(F.col("r"), n).alias(f"ref_size_{n}"))]
-    return bags.groupBy(id).agg(*sizes)
+    out = gathered(pairs, id, hyp=F.col(hyp), ref=F.col(ref))
+    if not tokenized:
+        out = out.withColumn("rows", F.transform("rows", lambda x: F.struct(*(tokens(x[side]).alias(side) for side in ("hyp", "ref")))))
+    out = out.select(id, *(grams("rows", side, n).alias(f"{side}_{n}") for n in ns for side in ("hyp", "ref")))
+    size = lambda c: F.size(c).cast("long")
+    return out.select(id, *(x for n in ns for x in (matches(F.col(f"hyp_{n}"), F.col(f"ref_{n}")).alias(f"matches_{n}"), size(f"hyp_{n}").alias(f"hyp_size_{n}"), size(f"ref_{n}").alias(f"ref_size_{n}"))))
 
 
 def overlaps(pairs: DataFrame, id: str, hyp: str, ref: str, n: int, tokenized: bool = False) -> DataFrame:

@@ -133,17 +133,17 @@ def evaluate_generator(spark, sf_dir):
 @query(f"""WITH {PAIRS}, grams AS (SELECT pair_id, t[i] || ' ' || t[i + 1] AS gram FROM (SELECT pair_id, t, unnest(range(1, len(t))) AS i FROM (SELECT pair_id, {TOKENS('output')} AS t FROM pairs) WHERE len(t) >= 2))
 SELECT pair_id, count(*) AS n_grams, count(DISTINCT gram) AS n_distinct FROM grams GROUP BY pair_id""")
 def ngram_counts(spark, sf_dir):
-    p = article_pairs(spark, sf_dir)
-    each = p.repartition(F.col("pair_id")).select("pair_id", F.explode(arrays.ngrams(text.tokens(F.col("output")), 2)).alias("gram"))
-    bags = each.groupBy("pair_id", "gram").agg(F.count("*").alias("n"))
-    return bags.groupBy("pair_id").agg(F.sum("n").alias("n_grams"), F.count("*").alias("n_distinct"))
+    each = rouge.gathered(article_pairs(spark, sf_dir), "pair_id", output=F.col("output"))
+    each = each.withColumn("rows", F.transform("rows", lambda x: F.struct(text.tokens(x["output"]).alias("output")))).select("pair_id", rouge.grams("rows", "output", 2).alias("grams"))
+    counts = each.select("pair_id", F.size("grams").cast("long").alias("n_grams"), F.size(F.array_distinct("grams")).cast("long").alias("n_distinct"))
+    return counts.where("n_grams > 0")
 
 
 @query(f"""WITH {PAIRS}, {_rouge_sql('pairs', 'pair_id', 'output', 'input', 1, 'r1')}
 SELECT pair_id, CAST(sum(least(h, r)) AS BIGINT) AS n_intersection, CAST(sum(greatest(h, r)) AS BIGINT) AS n_union FROM r1_bags GROUP BY pair_id""")
 def bag_union_intersect(spark, sf_dir):
-    bags = rouge.gram_bags(article_pairs(spark, sf_dir).repartition(F.col("pair_id")), "pair_id", text.tokens(F.col("output")), text.tokens(F.col("input")), 1)
-    return bags.groupBy("pair_id").agg(F.sum(F.least("h", "r")).alias("n_intersection"), F.sum(F.greatest("h", "r")).alias("n_union"))
+    out = rouge.overlaps(article_pairs(spark, sf_dir), "pair_id", "output", "input", 1).where("hyp_size + ref_size > 0")
+    return out.select("pair_id", F.col("matches").alias("n_intersection"), (F.col("hyp_size") + F.col("ref_size") - F.col("matches")).alias("n_union"))
 
 
 def _candidate_scores(spark, sf_dir, n: int) -> DataFrame:
