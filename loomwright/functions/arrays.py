@@ -5,11 +5,13 @@ from pyspark.sql import functions as F
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """All runs of n tokens, joined by a space; none if there are fewer tokens. (sequence(1, 0) would count down.)"""
+    """All runs of n tokens, joined by a space; none if there are fewer tokens. (sequence(1, 0) would count down.)
+
+    `tokens` may be an expression: it is bound to a variable, else each n-gram would compute it anew."""
     if n == 1:
         return tokens
-    at = F.sequence(F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(1)))
-    return F.when(F.size(tokens) >= n, F.transform(at, lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    run = lambda t: F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.concat_ws(" ", *(F.get(t, i + k) for k in range(n))))
+    return F.get(F.transform(F.array(tokens), lambda t: F.when(F.size(t) >= n, run(t)).otherwise(F.array().cast("array<string>"))), F.lit(0))
 
 
 def truncated(ids: Column, longest: int, last: int) -> Column:
