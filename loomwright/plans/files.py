@@ -62,9 +62,9 @@ def record_file_slice(spark, sf_dir):
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, source FROM documents")
 def csv_scan_split(spark, sf_dir):
-    """One CSV file with line breaks in its fields, read by a task a split."""
+    """CSV files with line breaks in their fields, one a partition of the table, each read by a task a split."""
     path = new_path(spark, "csv")
-    writers.csv(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string"), "text", "source").coalesce(1), path)
+    writers.csv(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string"), "text", "source"), path)
     return lines.csv_records(spark, path, "doc_id string, text string, source string", split_bytes=50 * SPLIT)
 
 
