@@ -2,11 +2,13 @@
 
 A rule is a host and the beginning of a path; it fits the host and its subdomains, and the longest that fits decides. URLs
 that rules decide are the examples of two Markov models of bytes, one of accepted and one of rejected URLs. A model's order
-varies: contexts of up to ORDER bytes that occur `least` times or more are kept, the CONTEXTS most frequent of them, and a
+varies: contexts of up to ORDER bytes that occur `least` times or more are kept, and a
 byte's chance is interpolated (Witten and Bell) from the longest kept context down to the uniform chance. Other URLs go by the
 difference of both log-likelihoods a byte, against a threshold that is calibrated on a part of the examples, which the models do not see.
 
-Counts are over all examples: summed by task, then by n-gram. What is broadcast is bounded by CONTEXTS.
+Counts are over all examples: summed by task, then by n-gram. A model's CONTEXTS most frequent contexts are broadcast; with each it has
+those that end it, which are as frequent and come first. So a byte's chance is begun from these. Where a model has more contexts, the rest is
+looked up by joins, once for each distinct window that needs it, and the CONTEXTS most frequent of such windows are broadcast as well.
 """
 
 import hashlib
@@ -87,14 +89,15 @@ class Markov:
         by, of = np.argsort(contexts), np.argsort(grams)
         self.contexts, self.n, self.kinds, self.grams, self.times = contexts[by], n[by], kinds[by], grams[of], times[of]
 
-    def chances(self, key: np.ndarray) -> np.ndarray:
-        """Of each window's last symbol after those before it."""
-        p = np.full(len(key), 1 / 257)
+    def begun(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The chance of each window's last symbol after those before it, and the order from which on no context is here."""
+        p, depth = np.full(len(key), 1 / 257), np.zeros(len(key), np.int64)
         for order in range(ORDER + 1):
             gram = _shorter(key, order)
             n, kinds, times = self._of(self.contexts, _context(gram), self.n), self._of(self.contexts, _context(gram), self.kinds), self._of(self.grams, gram, self.times)
             p = np.where(n > 0, (times + kinds * p) / np.maximum(n + kinds, 1), p)
-        return p
+            depth[n > 0] = order + 1
+        return p, depth
 
     @staticmethod
     def _of(known: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -104,13 +107,20 @@ class Markov:
         return np.where(known[at] == keys, values[at], 0)
 
 
+def gains(texts: list[bytes], accepted: Markov, rejected: Markov) -> tuple[np.ndarray, ...]:
+    """The texts' windows, their log-likelihoods as accepted ones less those as rejected ones, whether both models have their
+    contexts of all orders here, and the texts' numbers of windows."""
+    key, sizes = windows(texts)
+    distinct, inverse = np.unique(key, return_inverse=True)
+    (a, a_depth), (b, b_depth) = accepted.begun(distinct), rejected.begun(distinct)
+    return key, (np.log(a) - np.log(b))[inverse], (np.minimum(a_depth, b_depth) > ORDER)[inverse], sizes
+
+
 def differences(texts: list[bytes], accepted: Markov, rejected: Markov) -> np.ndarray:
     """The log-likelihood of each text as an accepted one less that as a rejected one, a symbol."""
     if not texts:
         return np.empty(0)
-    key, sizes = windows(texts)
-    distinct, inverse = np.unique(key, return_inverse=True)
-    gain = (np.log(accepted.chances(distinct)) - np.log(rejected.chances(distinct)))[inverse]
+    _, gain, _, sizes = gains(texts, accepted, rejected)
     return np.add.reduceat(gain, np.cumsum(sizes) - sizes) / sizes
 
 
@@ -168,9 +178,16 @@ class UrlFilter:
         self.parsed = self.ws.table(map_columns(rows, start, PARSED), "parsed")
         examples = self.parsed.where("ruling IS NOT NULL")
         counted = self._counted(examples.where("NOT held"))
-        self.accepted, self.rejected = (self._model(counted.where(F.col("ruling") == x), least, contexts) for x in ("allow", "block"))
-        self.models = spark.sparkContext.broadcast((self.accepted, self.rejected))
-        bins = self.differences(examples.where("held")).groupBy("bin", "ruling").agg(F.count("*").alias("n")).collect()  # 2 * (2 * EDGE + 1) rows at most
+        level = F.shiftright("gram", _LEVEL)
+        context = F.shiftright(F.col("gram").bitwiseAND((1 << _LEVEL) - 1), _BITS).bitwiseOR(F.shiftleft(level, _LEVEL))
+        self.grams = counted.select("ruling", context.alias("context"), "gram", "n")
+        kept = self.grams.groupBy("ruling", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where(F.col("total") >= least)
+        self.kept = self.ws.table(kept, "contexts")
+        self.accepted, self.rejected = (self._model(x, contexts) for x in ("allow", "block"))
+        self.models, self.gains = spark.sparkContext.broadcast((self.accepted, self.rejected)), None
+        if self.kept.groupBy("ruling").count().where(F.col("count") > contexts).count():
+            self._look_up(contexts)
+        bins = self.differences(examples.where("held"), "held").groupBy("bin", "ruling").agg(F.count("*").alias("n")).collect()  # 2 * (2 * EDGE + 1) rows at most
         sides = {x: np.zeros(2 * EDGE + 1, np.int64) for x in ("allow", "block")}
         for r in bins:
             sides[r["ruling"]][r["bin"] + EDGE] += r["n"]
@@ -197,20 +214,92 @@ class UrlFilter:
         grams = map_columns(examples.select("ruling", "host", "path"), start, "ruling string, gram long, n long", rows=8192)
         return self.ws.table(grams.groupBy("ruling", "gram").agg(F.sum("n").alias("n")), "grams")
 
-    @staticmethod
-    def _model(counted: DataFrame, least: int, contexts: int) -> Markov:
-        level = F.shiftright("gram", _LEVEL)
-        context = F.shiftright(F.col("gram").bitwiseAND((1 << _LEVEL) - 1), _BITS).bitwiseOR(F.shiftleft(level, _LEVEL))
-        grams = counted.select(context.alias("context"), "gram", "n")
-        kept = grams.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where(F.col("total") >= least)
-        kept = kept.orderBy(F.desc("total"), "context").limit(contexts)
-        found = grams.join(F.broadcast(kept), "context").select("gram", "n").toArrow()  # 257 a context at most
+    def _model(self, ruling: str, contexts: int) -> Markov:
+        own = F.col("ruling") == ruling
+        kept = self.kept.where(own).select("context", "total", "kinds").orderBy(F.desc("total"), "context").limit(contexts)
+        found = self.grams.where(own).join(F.broadcast(kept), "context").select("gram", "n").toArrow()  # 257 a context at most
         of = kept.toArrow()
         number = lambda table, name: table.column(name).to_numpy()
         return Markov(number(of, "context"), number(of, "total"), number(of, "kinds"), number(found, "gram"), number(found, "n"))
 
-    def differences(self, parsed: DataFrame) -> DataFrame:
+    def _look_up(self, contexts: int) -> None:
+        """`gains`: key, times, gain of the distinct windows of all pages whose contexts the broadcast models have not all."""
+        models = self.models
+
+        def open_keys():
+            def step(columns):
+                key, _, known, _ = gains([_text(h.decode(), p.decode()) for h, p in zip(*columns)], *models.value)
+                return list(np.unique(key[~known], return_counts=True))
+
+            return step
+
+        def begun():
+            def step(columns):
+                key = np.array(columns[0], np.int64)
+                return [*columns, *(m.begun(key)[0] for m in models.value)]
+
+            return step
+
+        def asked():
+            def step(columns):
+                key, out = np.array(columns[0], np.int64), [[], [], [], [], []]
+                for ruling, model in zip(("allow", "block"), models.value):
+                    depth = model.begun(key)[1]
+                    for order in range(ORDER + 1):
+                        k = key[depth <= order]
+                        gram = _shorter(k, order)
+                        for held, x in zip(out, (k.tolist(), [ruling] * len(k), [order] * len(k), _context(gram).tolist(), gram.tolist())):
+                            held += x
+                return out
+
+            return step
+
+        keys = map_columns(self.parsed.select("host", "path"), open_keys, "key long, times long", rows=8192)
+        keys = self.ws.table(keys.groupBy("key").agg(F.sum("times").alias("times")), "keys")
+        asks = map_columns(keys.select("key"), asked, "key long, ruling string, level int, context long, gram long", rows=8192)
+        met = asks.join(self.kept, ["ruling", "context"]).join(self.grams.select("ruling", "gram", "n"), ["ruling", "gram"], "left")
+        met = met.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("ruling", "level", "total", "kinds", F.coalesce("n", F.lit(0)).alias("n")))).alias("met"))  # 2 * (ORDER + 1) a key at most
+        out = map_columns(keys, begun, "key long, times long, allow double, block double", rows=8192).join(met, "key", "left")
+        further = lambda p, x: (x["n"] + x["kinds"] * p) / (x["total"] + x["kinds"])
+        chance = lambda side: F.coalesce(F.aggregate(F.filter("met", lambda x: x["ruling"] == side), F.col(side), further), F.col(side))
+        self.gains = self.ws.table(out.select("key", "times", (F.log(chance("allow")) - F.log(chance("block"))).alias("gain")), "gains")
+        often = self.gains.orderBy(F.desc("times"), "key").limit(contexts).orderBy("key").toArrow()
+        self.often = self.ws.spark.sparkContext.broadcast((often.column("key").to_numpy(), often.column("gain").to_numpy()))
+
+    def _joined(self, parsed: DataFrame, name: str) -> DataFrame:
+        """As `differences`, where windows are looked up in `gains`."""
+        models, often, fields = self.models, self.often, [f"{f.name} {f.dataType.simpleString()}" for f in parsed.schema]
+
+        def start():
+            keys, values = often.value
+
+            def step(columns):
+                key, gain, known, sizes = gains([_text(h.decode(), p.decode()) for h, p in zip(columns[1], columns[2])], *models.value)
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                here = ~known & (keys[at] == key)
+                gain = np.where(here, values[at], np.where(known, gain, 0.0))
+                first = np.cumsum(sizes) - sizes
+                far = np.flatnonzero(~known & ~here)
+                cut = np.searchsorted(far, np.append(first, sizes.sum()))
+                rest = key[far]
+                plain = [[x.decode() if isinstance(x, bytes) else x for x in c] for c in columns]
+                return [*plain, np.add.reduceat(gain, first), sizes, [rest[a:b] for a, b in zip(cut, cut[1:])]]
+
+            return step
+
+        rows = map_columns(parsed, start, ", ".join([*fields, "sum_here double", "symbols long", "far array<long>"]), rows=8192)
+        rows = self.ws.table(rows.withColumn("row", F.monotonically_increasing_id()), name)
+        each = rows.select("row", F.posexplode("far").alias("at", "key")).join(self.gains.select("key", "gain"), "key")
+        met = each.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "gain"))).alias("met"))
+        far = rows.where(F.size("far") > 0).join(met, "row").withColumn("sum_here", F.aggregate("met", F.col("sum_here"), lambda s, x: s + x["gain"])).drop("met")
+        out = rows.where(F.size("far") == 0).unionByName(far).withColumn("difference", F.col("sum_here") / F.col("symbols"))
+        bin_ = F.greatest(F.lit(-EDGE), F.least(F.lit(EDGE), F.floor(F.col("difference") * GRID))).cast("long")
+        return out.select(*parsed.columns, "difference", bin_.alias("bin"))
+
+    def differences(self, parsed: DataFrame, name: str = "rows") -> DataFrame:
         """`parsed` with `difference` (log-likelihoods a symbol), and its `bin`."""
+        if self.gains is not None:
+            return self._joined(parsed, name)
         models, names = self.models, [f"{f.name} {f.dataType.simpleString()}" for f in parsed.schema]
 
         def start():
