@@ -65,7 +65,7 @@ def csv_scan_split(spark, sf_dir):
     """CSV files with line breaks in their fields, one a partition of the table, each read by a task a split."""
     path = new_path(spark, "csv")
     writers.csv(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string"), "text", "source"), path)
-    return lines.csv_records(spark, path, "doc_id string, text string, source string", split_bytes=50 * SPLIT)
+    return lines.csv_records(spark, path, "doc_id string, text string, source string", split_bytes=50 * SPLIT, exact=True)
 
 
 @query("SELECT row_number() OVER (ORDER BY item_id = 0, 'a=' || (item_id % 4), 'n=' || item_id) AS place, md5(text || chr(10)) AS digest FROM benchmark")

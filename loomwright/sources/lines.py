@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scratch import new_path
 
@@ -85,13 +86,14 @@ def numbered_lines(spark: SparkSession, path: str | list[str], split_bytes: int
     return lines.select((F.col("lines") + F.col("at")).alias("row_id"), F.regexp_replace("value", r"\r$", "").alias("value"))
 
 
-def csv_records(spark: SparkSession, path: str | list[str], schema: str, header: bool = True, sep: str = ",", split_bytes: int | None = None) -> DataFrame:
+def csv_records(spark: SparkSession, path: str | list[str], schema: str, header: bool = True, sep: str = ",", split_bytes: int | None = None, exact: bool = False) -> DataFrame:
     """RFC 4180 CSV whose fields may hold line breaks, read by as many tasks as its files have splits.
 
     A quote inside quotes is doubled, and no field without quotes holds one, so that a line break ends a record if the quotes
     before it are even in number. The lines of a record that spans several are brought together; all others stay where they are. With
     `header`, the first record of each file is its header. Empty lines between records are no records. Line breaks inside quotes are read
-    as line feeds, as by `readers.csv`."""
+    as line feeds, and empty fields as null, as by `readers.csv`. `exact` is for files of `writers.csv`, whose records end in line feeds:
+    carriage returns are kept, and an empty field is null without quotes and an empty string with them."""
     lines = _placed(spark, path, split_bytes)
     quoted = F.col("quoted") == 1
     begun = F.when(quoted, F.col("odd")).otherwise(F.col("even"))
@@ -103,9 +105,16 @@ def csv_records(spark: SparkSession, path: str | list[str], schema: str, header:
     open_ = F.last("latest", ignorenulls=True).over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.join(ends.select("file", "start", open_.alias("open")), ["file", "start"]).withColumn("record", F.coalesce("record", "open"))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "value"))), lambda x: x["value"]), "\n")
-    spanning = parts.groupBy("file", "record").agg(F.replace(whole, F.lit("\r\n"), F.lit("\n")).alias("value")).select("file", F.col("record").alias("line"), "value")
-    records = single.unionByName(spanning).withColumn("value", F.regexp_replace("value", r"\r$", "")).where("value <> ''")
+    spanning = parts.groupBy("file", "record").agg((whole if exact else F.replace(whole, F.lit("\r\n"), F.lit("\n"))).alias("value")).select("file", F.col("record").alias("line"), "value")
+    records = single.unionByName(spanning)
+    records = (records if exact else records.withColumn("value", F.regexp_replace("value", r"\r$", ""))).where("value <> ''")
     if header:
         records = records.where("line > 0")
-    parsed = F.from_csv("value", schema, {"sep": sep, "quote": '"', "escape": '"'})
-    return records.select(parsed.alias("r")).select("r.*")
+    parsed = lambda **more: F.from_csv("value", schema, {"sep": sep, "quote": '"', "escape": '"', **more})
+    if not exact:
+        return records.select(parsed().alias("r")).select("r.*")
+    # a field that is written like nullValue is null too, but none is written like both of these; without charToEscapeQuoteEscaping, NUL is lost
+    names, kept = T.StructType.fromDDL(schema).names, {"charToEscapeQuoteEscaping": '"'}
+    rows = records.select("value", parsed(nullValue="null", **kept).alias("r"))
+    rows = rows.select("r", F.when(F.exists(F.array(*(F.col("r")[n].isNull() for n in names)), lambda x: x), parsed(nullValue="-", **kept)).alias("s"))
+    return rows.select(*(F.coalesce(F.col("r")[n], F.col("s")[n]).alias(n) for n in names))

@@ -35,7 +35,9 @@ def jsonl(frame: DataFrame, path: str, append: bool = True) -> None:
 
 
 def csv(frame: DataFrame, path: str) -> None:
-    frame.write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    """Fields keep the white space at their ends; null is nothing, and an empty string is two quotes."""
+    exact = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    frame.write.options(header=True, quote='"', escape='"', **exact).csv(path)
 
 
 def rankings(frame: DataFrame, path: str, ranking: str = "ranking") -> None:
